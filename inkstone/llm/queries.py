@@ -5,12 +5,15 @@ from __future__ import annotations
 from . import line_dedup
 from .line_dedup import op7_line_dedup
 from .mixing import op9_mixing
+from .packing import op2_packing
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op7_line_dedup": op7_line_dedup,
     "op9_mixing": op9_mixing,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_packing": op2_packing,
     "op7_line_dedup": line_dedup.ORACLE,
 }

@@ -17,6 +17,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: 0 for white space, 1 for other bytes; or 2 for ASCII marks.
+_WORD = (~_SPACE).astype(np.int8)
+_MARKED = _WORD.copy()
+_MARKED[[*range(0, 9), *range(14, 32), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = 2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,13 +63,14 @@ def _segments(flat: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def words(flat: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words in UTF-8 bytes; ``lower`` folds A-Z in the hashes."""
+def words(flat: np.ndarray, lower: bool = False, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words in UTF-8 bytes; ``lower`` folds A-Z in the hashes, ``marks`` makes runs of ASCII marks words of their own."""
     starts, ends, hashes = [], [], []
     for lo, hi in _segments(flat):
         part = flat[lo:hi]
-        edge = np.diff(np.concatenate(([0], (~_SPACE[part]).view(np.int8), [0])).astype(np.int8))
-        s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        kind = np.concatenate(([0], (_MARKED if marks else _WORD)[part], [0]))
+        edge = np.flatnonzero(np.diff(kind))
+        s, e = edge[kind[edge + 1] > 0], edge[kind[edge] > 0]
         up, down = powers(BASES[0], len(part) + 1)
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(((_LOWER[part] if lower else part).astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
@@ -104,7 +109,7 @@ class Chunk:
         return np.repeat(np.arange(len(self.texts)), np.diff(self.first))
 
 
-def chunks(texts: list[bytes | None], lower: bool = False, limit: int = SEGMENT) -> Iterator[Chunk]:
+def chunks(texts: list[bytes | None], lower: bool = False, marks: bool = False, limit: int = SEGMENT) -> Iterator[Chunk]:
     """Texts in runs of about ``limit`` bytes; null counts as empty."""
     at = 0
     while at < len(texts):
@@ -114,7 +119,7 @@ def chunks(texts: list[bytes | None], lower: bool = False, limit: int = SEGMENT)
             end += 1
         own = [t or b"" for t in texts[at:end]]
         flat = np.frombuffer(b"\n".join(own), np.uint8)
-        starts, ends, hashes = words(flat, lower)
+        starts, ends, hashes = words(flat, lower, marks)
         offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in own])))
         yield Chunk(at, own, hashes, np.searchsorted(starts, offsets), flat, starts, ends)
         at = end
