@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, topk
 from .line_dedup import op7_line_dedup
 from .mixing import op9_mixing
 from .packing import op2_packing
+from .quality import op4_quality_classifier
+from .topk import op3_topk
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_topk": op3_topk,
+    "op4_quality_classifier": op4_quality_classifier,
     "op7_line_dedup": op7_line_dedup,
     "op9_mixing": op9_mixing,
 }
 
 ORACLE: dict[str, str] = {
     "op2_packing": op2_packing,
+    "op3_topk": topk.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
 }
