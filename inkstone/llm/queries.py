@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import line_dedup, topk
+from .embedding_dedup import op1_embedding_dedup
 from .line_dedup import op7_line_dedup
 from .mixing import op9_mixing
 from .packing import op2_packing
@@ -10,6 +11,7 @@ from .quality import op4_quality_classifier
 from .topk import op3_topk
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_packing": op2_packing,
     "op3_topk": op3_topk,
     "op4_quality_classifier": op4_quality_classifier,
@@ -18,6 +20,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_packing": op2_packing,
     "op3_topk": topk.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
