@@ -125,15 +125,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target: float =
     encoded = pa.schema([("node", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("copies", pa.int64()), ("x", pa.binary()), ("u", pa.int32()), ("v", pa.int32()), ("visits", pa.list_(pa.struct([("list", pa.int32()), ("cells", pa.list_(pa.int32()))])))])
     index = checkpoint(distinct.withColumn("label", F.col("label").cast("long")).mapInArrow(encode, "node long, label long, dim int, copies long, x binary, u int, v int, visits array<struct<list: int, cells: array<int>>>"))
     keys = ["label", "dim", "u"]
-    asked = index.select("node", "label", "dim", "copies", "x", F.col("u").alias("hu"), F.col("v").alias("hv"), F.explode("visits").alias("visit")).select("node", "label", "dim", "copies", "x", "hu", "hv", F.col("visit.list").alias("u"), F.col("visit.cells").alias("cells"))
+    # Aliases, so that the two sides do not share column ids.
+    own = [F.col(c).alias(c) for c in ("node", "label", "dim", "copies", "x")]
+    visits = index.select(*own, F.col("u").alias("hu"), F.col("v").alias("hv"), F.explode("visits").alias("visit"))
+    asked = visits.select("node", "label", "dim", "copies", "x", "hu", "hv", F.col("visit.list").alias("u"), F.col("visit.cells").alias("cells"))
 
     def parts(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(name))
 
     # A long list and its many queries are dealt over pairs of chunks.
     dealt = parts(index, "ni").join(parts(asked, "nq"), keys)
-    index_side = index.select("node", *keys, "copies", "x", "v").join(dealt, keys).withColumns({"ic": F.pmod(F.xxhash64("node"), F.col("ni")), "qc": F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).cast("long")}).drop("ni", "nq")
-    query_side = asked.join(dealt, keys).withColumns({"qc": F.pmod(F.xxhash64("node"), F.col("nq")), "ic": F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).cast("long")}).drop("ni", "nq")
+    index_side = index.select("node", *keys, "copies", "x", "v").join(dealt, keys).withColumns({"ic": F.pmod(F.xxhash64("node"), F.col("ni")).cast("int"), "qc": F.explode(F.sequence(F.lit(0), F.col("nq") - 1))}).drop("ni", "nq")
+    query_side = asked.join(dealt, keys).withColumns({"qc": F.pmod(F.xxhash64("node"), F.col("nq")).cast("int"), "ic": F.explode(F.sequence(F.lit(0), F.col("ni") - 1))}).drop("ni", "nq")
 
     def verify(queries: pa.Table, lists: pa.Table) -> pa.Table:
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})

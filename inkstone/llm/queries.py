@@ -20,8 +20,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
-    "op1_embedding_dedup": op1_embedding_dedup,
-    "op2_packing": op2_packing,
     "op3_topk": topk.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
 }
