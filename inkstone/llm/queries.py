@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, topk
+from . import line_dedup, substring_dedup, topk
 from .embedding_dedup import op1_embedding_dedup
 from .line_dedup import op7_line_dedup
 from .mixing import op9_mixing
 from .packing import op2_packing
 from .quality import op4_quality_classifier
+from .substring_dedup import op5_substring_dedup
 from .topk import op3_topk
 
 QUERIES = {
@@ -15,11 +16,13 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_topk": op3_topk,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op9_mixing": op9_mixing,
 }
 
 ORACLE: dict[str, str] = {
     "op3_topk": topk.ORACLE,
+    "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
 }
