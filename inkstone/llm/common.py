@@ -33,12 +33,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def chunk_pairs(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Deal the members of each group of ``keys`` to all pairs of chunks of about ``size`` rows, so that no task holds a whole group.
+def chunk_pairs(df: DataFrame, member: str) -> DataFrame:
+    """Deal the rows of each group to all pairs of its ``chunks`` chunks, by a hash of ``member``, so that no task holds a whole group.
 
-    Adds ``chunk`` (the row's own) and ``a`` <= ``b`` (the pair it was dealt to; one of them is ``chunk``). Needs a column ``member`` to hash.
+    Adds ``chunk`` (the row's own) and ``a`` <= ``b`` (the pair it was dealt to; one of them is ``chunk``); ``chunks`` goes.
     """
-    counted = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n_chunks"))
-    dealt = df.join(counted, keys).withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("n_chunks")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-    return other.withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")}).drop("other", "n_chunks")
+    dealt = df.withColumn("chunk", F.pmod(F.xxhash64(member), F.col("chunks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return other.withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")}).drop("other", "chunks")

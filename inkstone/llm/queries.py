@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, substring_dedup, topk
+from . import line_dedup, ngram_join, substring_dedup, topk
 from .embedding_dedup import op1_embedding_dedup
 from .line_dedup import op7_line_dedup
 from .mixing import op9_mixing
+from .ngram_join import op6_ngram_jaccard_join
 from .packing import op2_packing
 from .quality import op4_quality_classifier
 from .substring_dedup import op5_substring_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_topk": op3_topk,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
     "op9_mixing": op9_mixing,
 }
@@ -24,5 +26,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op3_topk": topk.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
+    "op6_ngram_jaccard_join": ngram_join.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
 }
