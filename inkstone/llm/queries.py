@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, ngram_join, substring_dedup, topk
+from . import license_scan, line_dedup, ngram_join, substring_dedup, topk
 from .embedding_dedup import op1_embedding_dedup
+from .license_scan import op10_license_scan
 from .line_dedup import op7_line_dedup
 from .mixing import op9_mixing
 from .ngram_join import op6_ngram_jaccard_join
@@ -11,6 +12,7 @@ from .packing import op2_packing
 from .quality import op4_quality_classifier
 from .substring_dedup import op5_substring_dedup
 from .topk import op3_topk
+from .url_filter import op8_url_filter
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
@@ -20,7 +22,9 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
+    "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE: dict[str, str] = {
@@ -28,4 +32,5 @@ ORACLE: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op6_ngram_jaccard_join": ngram_join.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op10_license_scan": license_scan.oracle(),
 }
