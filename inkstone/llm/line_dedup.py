@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +39,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
 
     _, twice = bloom.build(keyed.select("hash").mapInArrow(seen, bloom.BLOBS), bits)
 
-    @F.pandas_udf("boolean")
-    def suspected(hashes: pd.Series) -> pd.Series:
-        return pd.Series(bloom.contains(twice.value, hashes.to_numpy().view(np.uint64), PROBES))
+    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.contains(twice.value, batch["hash"].to_numpy().view(np.uint64), PROBES)))
 
-    suspects = checkpoint(keyed.filter(suspected("hash")).select("id", "tkey", "no", "key"))
+    # Not as a UDF in a filter: that would queue the whole text beside each of its lines.
+    suspects = checkpoint(keyed.mapInArrow(suspected, keyed.schema).drop("hash"))
     # Documents of a key are counted by (key, id) first: a key that very many documents hold is never in one task.
     held = suspects.groupBy("key", "id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("n"), F.max("id").alias("last"))
     repeated = checkpoint(held.filter(F.col("n") >= min_docs).select("key", "last"))
