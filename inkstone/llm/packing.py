@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,9 +38,13 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.pattern = regex.compile(json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        #: The characters that stand for the bytes of each letter outside ASCII.
+        self.bytes = {c: level(chr(c))[0][0] for c in range(0x80, 0x250)}
         self.model = self.whole.model
         self.plain = re.compile("[\x21-įĲ-ɏ]*").fullmatch
+        # Letters and then marks: two pieces, as the tokenizer's pattern would have it.
+        self.simple = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)").fullmatch
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -48,11 +53,16 @@ class WordTokenizer:
         if found is None:
             if len(self.pieces) >= CACHED:
                 self.pieces.clear()
-            found = self.pieces[text] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(text if text.isascii() else self.bytes(text)[0][0]))
+            found = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.bytes))]).tobytes()
         return found
 
     def part(self, text: str) -> bytes:
-        if self.plain(text) and "<|" not in text:
+        if found := self.simple(text.lower()):
+            letters, marks = found.groups()
+            ids = self.pieces.get(letters) or self.piece(letters)
+            if marks:
+                ids += self.pieces.get(marks) or self.piece(marks)
+        elif self.plain(text) and "<|" not in text:
             ids = b"".join(map(self.piece, self.pattern(unicodedata.normalize("NFC", text).lower())))
         else:
             ids = b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
