@@ -20,7 +20,7 @@ END = 2
 #: Numbering within a length is dealt over so many hash groups, as one length may hold a third of all pieces.
 SALTS = 64
 #: Entries a worker's word caches may hold; a full cache starts anew.
-CACHED = 400_000
+CACHED = 200_000
 
 
 class WordTokenizer:

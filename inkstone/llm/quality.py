@@ -45,14 +45,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
-    """Weights from (buckets, values, label) by FTRL-proximal updates, one example at a time; the bias comes last."""
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    """Weights from (buckets, values, label) by FTRL-proximal updates, one example at a time; the bias, a bucket of its own with the value 1, comes last."""
+    z, n, bias = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), (np.array([1 << BITS], np.int32), np.ones(1, np.float32))
 
     def weights(at):
         return np.where(np.abs(z[at]) <= L1, 0.0, -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
     for _ in range(EPOCHS):
         for at, x, y in examples:
+            at, x = np.concatenate((at, bias[0])), np.concatenate((x, bias[1]))
             w = weights(at)
             g = (sigmoid(w @ x) - y) * x
             grown = n[at] + g * g
@@ -89,16 +90,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
                     xs.append((c / np.sqrt(max(1, len(own)))).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(ats, pa.binary()), pa.array(xs, pa.binary())], ["doc_id", "label", "at", "x"])
 
-    def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        bias = np.array([1 << BITS], np.int32), np.ones(1, np.float32)
-        frame = frame.sort_values(["order", "doc_id"])
-        examples = [(np.concatenate((np.frombuffer(a, np.int32), bias[0])), np.concatenate((np.frombuffer(x, np.float32), bias[1])), y) for a, x, y in zip(frame["at"], frame["x"], frame["label"], strict=True)]
-        return pd.DataFrame({"weights": [train(examples).tobytes()]})
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Batch by batch: only the examples themselves are held.
+        examples = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32), y) for batch in batches for a, x, y in zip(*(batch[n].to_pylist() for n in ("at", "x", "label")), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([train(examples).tobytes()], pa.binary())], ["weights"])
 
     # One task, of at most ``sample`` rows; ties and repeated rows are all examples.
     rows = picked.mapInArrow(sparse, "doc_id long, label int, at binary, x binary").withColumn("order", F.xxhash64("doc_id", F.lit(7)))
-    got = rows.groupBy().applyInPandas(learn, "weights binary").collect()
-    return np.frombuffer(got[0]["weights"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
+    got = rows.repartition(1).sortWithinPartitions("order", "doc_id").mapInArrow(learn, "weights binary").first()
+    return np.frombuffer(got["weights"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
