@@ -1,10 +1,278 @@
-"""The queries over the driver's tables, and their SQL."""
+"""The queries over the driver's tables, and their SQL.
+
+Lines of documents stand in for labels, a fixed corruption of them for predictions, and embeddings for scores.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codecs, scoring
+from ..operators import alignment, sampling
+from ..sources import samples
+
+#: Labels longer than this are filtered, as a recogniser's input is.
+LONGEST = 100
+ALPHABET = "abcdefghijklmnopqrstuvwxyz ,."
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = f"{WITH}{sql}"
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, lang, no, label): lines of documents within the label length."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("no", "label"))
+    return lines.filter(F.char_length("label") <= LONGEST)
+
+
+def corrupted(gt: Column) -> Column:
+    kind = F.col("doc_id") % 4
+    return F.when(kind == 0, gt).when(kind == 1, F.replace(gt, F.lit("e"), F.lit("a"))).when(kind == 2, F.substring(gt, F.lit(2), F.char_length(gt))).otherwise(F.replace(gt, F.lit("n"), F.lit("")))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, no, gt, pred, ned) in ASCII."""
+    both = labels(spark, sf_dir).withColumn("gt", F.regexp_replace("label", r"[^\x00-\x7F]", "#")).withColumn("pred", corrupted(F.col("gt")))
+    return both.withColumn("ned", scoring.normalized_similarity(F.col("gt"), F.col("pred")))
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, ids): token ids 0 to 3, one for each component."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.pmod(F.floor(x.cast("double") * 16), F.lit(4)).cast("int")).alias("ids"))
+
+
+WITH = rf"""WITH label AS (
+  SELECT * FROM (SELECT doc_id, source, lang, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no, unnest(string_split(text, chr(10))) AS label FROM documents) WHERE length(label) <= {LONGEST}
+), gt AS (
+  SELECT *, regexp_replace(label, '[^\x00-\x7F]', '#', 'g') AS gt FROM label
+), guess AS (
+  SELECT *, CASE doc_id % 4 WHEN 0 THEN gt WHEN 1 THEN replace(gt, 'e', 'a') WHEN 2 THEN substring(gt, 2) ELSE replace(gt, 'n', '') END AS pred FROM gt
+), pair AS (
+  SELECT *, CASE WHEN gt = '' OR pred = '' THEN 0.0 ELSE 1 - levenshtein(pred, gt) / CAST(greatest(length(gt), length(pred)) AS DOUBLE) END AS ned FROM guess
+), seq AS (
+  SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 16) AS INTEGER) & 3 FOR x IN embedding] AS ids FROM embeddings
+), vec AS (
+  SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+)
+"""
+
+
+@query("SELECT source, count(*) AS n, round(100 * avg(CAST(gt = pred AS INTEGER)), 6) AS accuracy, round(sum(ned * length(gt)) / nullif(sum(length(gt)), 0), 6) AS norm_ed, CAST(sum(length(gt)) AS BIGINT) AS chars FROM pair GROUP BY source")
+def eval_summary(spark, sf_dir):
+    size = F.char_length("gt")
+    return pairs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg((F.col("gt") == F.col("pred")).cast("int")), 6).alias("accuracy"), F.round(F.sum(F.col("ned") * size) / F.nullif(F.sum(size), F.lit(0)), 6).alias("norm_ed"), F.sum(size).alias("chars"))
+
+
+@query("SELECT doc_id, no, round(ned, 6) AS ned FROM pair")
+def normalized_edit_distance(spark, sf_dir):
+    return pairs(spark, sf_dir).select("doc_id", "no", F.round("ned", 6).alias("ned"))
+
+
+@query("SELECT doc_id, no, gt, pred FROM pair WHERE round(ned * 100, 6) <= 80")
+def threshold_report(spark, sf_dir):
+    return pairs(spark, sf_dir).filter(F.round(F.col("ned") * 100, 6) <= 80).select("doc_id", "no", "gt", "pred")
+
+
+@query("SELECT CAST(least(floor(round(ned, 6) * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM pair GROUP BY 1")
+def ned_histogram(spark, sf_dir):
+    return pairs(spark, sf_dir).groupBy(F.least(F.floor(F.round("ned", 6) * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT ch, count(*) AS total FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch")
+def char_frequency(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.explode(codecs.chars(F.col("text"))).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("total"))
+
+
+@query("SELECT ch, total, correct, round(100.0 * correct / total, 6) AS accuracy FROM (SELECT g AS ch, count(*) AS total, count(*) FILTER (WHERE g = p) AS correct FROM (SELECT unnest(string_split(gt, '')) AS g, unnest(string_split(replace(gt, 'e', 'a'), '')) AS p FROM gt) WHERE g <> '' GROUP BY g)")
+def char_accuracy(spark, sf_dir):
+    gt = F.regexp_replace("label", r"[^\x00-\x7F]", "#")
+    zipped = F.arrays_zip(codecs.chars(gt).alias("g"), codecs.chars(F.replace(gt, F.lit("e"), F.lit("a"))).alias("p"))
+    both = labels(spark, sf_dir).select(F.inline(zipped).alias("g", "p"))
+    counted = both.groupBy(F.col("g").alias("ch")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("g") == F.col("p")).alias("correct"))
+    return counted.withColumn("accuracy", F.round(100 * F.col("correct") / F.col("total"), 6))
+
+
+@query()
+def char_alignment(spark, sf_dir):
+    return alignment.char_report(pairs(spark, sf_dir), F.col("gt"), F.col("pred")).orderBy(F.desc("accuracy"), "ch")
+
+
+@query("SELECT vec_id, coalesce(list_aggregate([substring('abc', ids[i], 1) FOR i IN range(1, len(ids) + 1) IF ids[i] <> 0 AND (i = 1 OR ids[i - 1] <> ids[i])], 'string_agg', ''), '') AS decoded FROM seq")
+def ctc_greedy_decode(spark, sf_dir):
+    return sequences(spark, sf_dir).select("vec_id", codecs.ctc_decode(F.col("ids"), "abc").alias("decoded"))
+
+
+@query("SELECT vec_id, coalesce(array_to_string([i - 1 FOR i IN range(1, len(ids) + 1) IF ids[i] <> 0 AND (i = len(ids) OR ids[i + 1] <> ids[i])], ' '), '') AS places FROM seq")
+def dedup_runs(spark, sf_dir):
+    return sequences(spark, sf_dir).select("vec_id", F.array_join(codecs.last_of_runs(F.col("ids")), " ").alias("places"))
+
+
+@query("SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS best, round(1 / list_sum([exp(x - list_max(v)) FOR x IN v]), 6) AS confidence FROM vec")
+def softmax_confidence(spark, sf_dir):
+    x = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", scoring.argmax(x).alias("best"), F.round(F.array_max(scoring.softmax(x)), 6).alias("confidence"))
+
+
+@query("SELECT vec_id, round(coalesce(list_product([1 - abs(x) / 100 FOR x IN v]), 0), 6) AS confidence FROM vec")
+def confidence_product(spark, sf_dir):
+    p = F.transform("embedding", lambda x: 1 - F.abs(x.cast("double")) / 100)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(scoring.cumulative_product(p), 6).alias("confidence"))
+
+
+@query("SELECT vec_id, round(list_sum([(x - list_min(v)) / (list_max(v) - list_min(v)) FOR x IN v]), 6) AS total FROM vec")
+def min_max(spark, sf_dir):
+    total = F.aggregate(scoring.min_max(F.col("embedding")), F.lit(0.0), lambda a, b: a + b)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(total, 6).alias("total"))
+
+
+@query("SELECT vec_id, array_to_string([CAST(j = label AS INTEGER) FOR j IN range(0, 10)], '') AS hot FROM embeddings")
+def one_hot(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(scoring.one_hot(F.col("label"), 10), "").alias("hot"))
+
+
+@query("SELECT vec_id, round(list_sum(v) + 16 * v[len(v)], 6) AS total FROM vec")
+def edge_pad(spark, sf_dir):
+    row = F.transform("embedding", lambda x: x.cast("double"))
+    total = F.aggregate(scoring.edge_pad(row, 80), F.lit(0.0), lambda a, b: a + b)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(total, 6).alias("total"))
+
+
+@query("SELECT p_partkey, CAST(least(400, ceil(32.0 * p_size * 20 / (10 + p_partkey % 50))) AS INTEGER) AS width FROM part")
+def resize_width(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", scoring.resized_width(F.col("p_size") * 20, 10 + F.col("p_partkey") % 50, 32, 400).alias("width"))
+
+
+@query("SELECT label, pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM vec) GROUP BY label, pos")
+def ensemble_mean(spark, sf_dir):
+    long = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("pos", "x"))
+    return long.groupBy("label", "pos").agg(F.round(F.avg("x"), 6).alias("mean"))
+
+
+@query(f"SELECT doc_id, no, array_to_string([coalesce(nullif(strpos('{ALPHABET}', label[i]), 0), 0) FOR i IN range(1, length(label) + 1)] || [0 FOR i IN range(length(label), {LONGEST})], ' ') AS ids, length(label) AS length FROM label")
+def ctc_encode_pad(spark, sf_dir):
+    return labels(spark, sf_dir).select("doc_id", "no", F.array_join(codecs.ctc_encode(F.col("label"), ALPHABET, LONGEST), " ").alias("ids"), F.char_length("label").alias("length"))
+
+
+@query(f"SELECT doc_id, no, array_to_string(CASE WHEN len([1 FOR i IN range(1, length(label) + 1) IF strpos('{ALPHABET}', label[i]) = 0]) > 0 THEN [0 FOR i IN range(0, {LONGEST} + 2)] ELSE [0] || [strpos('{ALPHABET}', label[i]) + 1 FOR i IN range(1, length(label) + 1)] || [1] || [0 FOR i IN range(length(label), {LONGEST})] END, ' ') AS ids FROM label")
+def attn_encode_pad(spark, sf_dir):
+    return labels(spark, sf_dir).select("doc_id", "no", F.array_join(codecs.attention_encode(F.col("label"), ALPHABET, LONGEST), " ").alias("ids"))
+
+
+@query("SELECT doc_id, no, CASE WHEN instr(p, '[s]') > 0 THEN left(p, instr(p, '[s]') - 1) ELSE substring(p, 1, greatest(length(p) - 1, 0)) END AS pruned FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN label || '[s]xx' ELSE label END AS p FROM label)")
+def attn_prune(spark, sf_dir):
+    p = F.when(F.col("doc_id") % 2 == 0, F.concat("label", F.lit("[s]xx"))).otherwise(F.col("label"))
+    return labels(spark, sf_dir).select("doc_id", "no", codecs.prune(p).alias("pruned"))
+
+
+@query(f"SELECT doc_id, no FROM label WHERE regexp_full_match(lower(label), '[{ALPHABET}]*')")
+def label_filter(spark, sf_dir):
+    return labels(spark, sf_dir).filter(codecs.known(F.lower("label"), ALPHABET)).select("doc_id", "no")
+
+
+@query(f"SELECT doc_id, no, regexp_replace(label, '[^{ALPHABET}]', '', 'g') AS label FROM label")
+def strip_oov(spark, sf_dir):
+    return labels(spark, sf_dir).select("doc_id", "no", codecs.strip_unknown(F.col("label"), ALPHABET).alias("label"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS idx FROM documents WHERE n_chars <= 2000")
+def dense_index(spark, sf_dir):
+    return sampling.dense_index(table(spark, sf_dir, "documents").filter("n_chars <= 2000").select("doc_id"), "doc_id")
+
+
+@query("SELECT item_id, CAST(sum(length(text)) OVER (ORDER BY item_id) - length(text) AS BIGINT) AS offset, CAST(length(text) AS BIGINT) AS length FROM benchmark")
+def flat_offsets(spark, sf_dir):
+    size = F.char_length("text").cast("long")
+    total = sampling.running_total(table(spark, sf_dir, "benchmark").withColumn("length", size), "item_id", F.col("length"), "upto")
+    return total.select("item_id", (F.col("upto") - F.col("length")).alias("offset"), "length")
+
+
+@query("SELECT printf('label-%09d', doc_id) AS key, text AS value FROM documents UNION ALL SELECT printf('image-%09d', doc_id), md5(text) FROM documents UNION ALL SELECT 'num-samples', CAST(count(*) AS VARCHAR) FROM documents")
+def kv_records(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("label"), F.md5("text").cast("binary").alias("image"))
+    return samples.key_values(rows).select("key", F.decode("value", "UTF-8").alias("value"))
+
+
+@query("SELECT item_id, CAST(item_id AS VARCHAR) || '.png' AS image_path, CASE item_id % 4 WHEN 0 THEN text ELSE '' END AS label FROM benchmark WHERE item_id % 4 IN (0, 3) AND NOT (item_id % 4 = 0 AND contains(text, chr(9)))")
+def ingest_tsv(spark, sf_dir):
+    kind, path = F.col("item_id") % 4, F.concat(F.col("item_id").cast("string"), F.lit(".png"))
+    line = F.when(kind == 0, F.concat(path, F.lit("\t"), "text")).when(kind == 1, path).when(kind == 2, F.concat(path, F.lit("\tx\ty"))).otherwise(F.concat(path, F.lit("\t")))
+    return samples.split_fields(table(spark, sf_dir, "benchmark").select("item_id", line.alias("value")))
+
+
+@query("SELECT 'documents' AS source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents UNION ALL SELECT 'benchmark', count(*), CAST(sum(length(text)) AS BIGINT) FROM benchmark UNION ALL SELECT 'conversations', count(*), CAST(sum(length(text)) AS BIGINT) FROM conversations")
+def union_sources(spark, sf_dir):
+    names = ("documents", "benchmark", "conversations")
+    first, *rest = (table(spark, sf_dir, n).select(F.lit(n).alias("source"), "text") for n in names)
+    for df in rest:
+        first = first.unionByName(df)
+    return first.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE i <= floor(n * 0.3)")
+def prefix_fraction(spark, sf_dir):
+    return sampling.prefix_fraction(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 0.3)
+
+
+@query("SELECT doc_id, source, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 2) AS BIGINT) AS batch_id FROM documents")
+def batch_quota(spark, sf_dir):
+    return sampling.balanced_batches(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 10, 0.25)
+
+
+@query("SELECT event_id, event_type, value FROM (SELECT *, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE value > greatest(coalesce(before, -1), -1)")
+def running_best(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    return sampling.running_best(events, "event_type", ["ts", "event_id"], "value", F.to_date("ts")).select("event_id", "event_type", "value")
+
+
+@query("SELECT event_type, round(coalesce(avg(value), 0), 6) AS mean FROM events GROUP BY event_type")
+def running_average(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.coalesce(F.avg("value"), F.lit(0.0)), 6).alias("mean"))
+
+
+@query("SELECT source, round(avg(length(text)), 6) AS mean_length, CAST(max(length(text)) AS BIGINT) AS max_length, count(*) AS n FROM documents GROUP BY source")
+def label_stats(spark, sf_dir):
+    size = F.char_length("text")
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.round(F.avg(size), 6).alias("mean_length"), F.max(size).cast("long").alias("max_length"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, md5('3-' || doc_id) AS place FROM documents")
+def epoch_shuffle(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sampling.seeded_order(3, F.col("doc_id")).alias("place"))
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY md5('0-' || doc_id) LIMIT 10")
+def sample_ten(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source").orderBy(sampling.seeded_order(0, F.col("doc_id"))).limit(10)
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(source, 'c1') OR contains(source, '7')")
+def source_select(spark, sf_dir):
+    return samples.select_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["c1", "7"])
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d_%H-%M-%S') AS stamp FROM events")
+def run_stamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", codecs.run_stamp(F.col("ts").cast("timestamp")).alias("stamp"))
+
+
+@query("SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN event_type ELSE CAST(user_id AS VARCHAR) END AS INTEGER) AS step FROM events")
+def resume_step(spark, sf_dir):
+    tail = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", samples.checkpoint_step(F.concat(F.lit("best_model_"), tail, F.lit(".pth"))).alias("step"))
