@@ -46,6 +46,19 @@ def blobs(hashes: np.ndarray, bits: int, probes: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([p.tobytes() for p in parts] if len(at) else [], pa.binary())], ["segment", "at"])
 
 
+def gathered(hashes: Iterator[np.ndarray], bits: int, probes: int, at_once: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """``blobs`` of a task's hashes, at least ``at_once`` together, so that rows do not multiply with small batches."""
+    wait, n = [], 0
+    for h in hashes:
+        wait.append(h)
+        n += len(h)
+        if n >= at_once:
+            yield blobs(np.concatenate(wait), bits, probes)
+            wait, n = [], 0
+    if n:
+        yield blobs(np.concatenate(wait), bits, probes)
+
+
 BLOBS = "segment int, at binary"
 
 

@@ -23,6 +23,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """Send texts to Python in batches of ``rows``, unless the session says otherwise: 10,000 long texts, Spark's default, are too many for a worker and for the JVM's buffers."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, rows)
+    return df
+
+
 def text_key(text: Column) -> Column:
     """Tells rows apart that repeat a doc_id with another text."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

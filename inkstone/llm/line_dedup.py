@@ -34,8 +34,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     bits = bloom.bits_for(docs.count(), 256)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield bloom.blobs(batch["hash"].to_numpy(zero_copy_only=False).view(np.uint64), bits, PROBES)
+        yield from bloom.gathered((batch["hash"].to_numpy(zero_copy_only=False).view(np.uint64) for batch in batches), bits, PROBES)
 
     _, twice = bloom.build(keyed.select("hash").mapInArrow(seen, bloom.BLOBS), bits)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bloom, textvec
-from .common import checkpoint, chunk_pairs, small, table
+from .common import checkpoint, chunk_pairs, small, small_batches, table
 from .graph import components, forest
 
 #: Prefix trees, and minhashes in a signature of each at most.
@@ -117,7 +117,7 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, width: int = 5, target:
     Equal texts are one node. Nodes with a prefix in common in some tree whose signatures agree nearly enough form clusters; within a cluster every pair is verified by its texts and only counts and spanning trees leave the task. Groups and clusters of any size are dealt out as pairs of chunks.
     """
     columns = [c for c in docs.columns if c not in ("n_links", "component_id", "kept", "__node", "__id", "__n")]
-    docs = docs.select(*columns).withColumns({"__node": F.xxhash64("text"), "__id": F.coalesce("doc_id", F.lit(-(1 << 63)))})
+    docs = small_batches(docs).select(*columns).withColumns({"__node": F.xxhash64("text"), "__id": F.coalesce("doc_id", F.lit(-(1 << 63)))})
     depth = depth_for(threshold, target)
     raw = F.col("text").cast("binary").alias("text")
 
@@ -191,8 +191,7 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, width: int = 5, target:
     bits = bloom.bits_for(total["n"])
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield bloom.blobs(textvec.mix(batch["node"].to_numpy().view(np.uint64)), bits, 2)
+        yield from bloom.gathered((textvec.mix(batch["node"].to_numpy().view(np.uint64)) for batch in batches), bits, 2)
 
     wanted, _ = bloom.build(counted.select("node").mapInArrow(seen, bloom.BLOBS), bits)
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small, table, text_key
+from .common import checkpoint, small, small_batches, table, text_key
 from .subset_sum import closest_fill
 
 END = 2
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFram
 
     A document is its ids and an end id; null text counts as empty and gives the end id alone. Documents longer than ``capacity`` are cut at its multiples. The remainders are packed whole by ``plan_windows``; pieces of lengths that nothing completes are laid end to end and cut at window borders, and what is left at the end is cut into sequences whose lengths are powers of two, so no sequence needs padding. Rows that repeat are packed each; an empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("tkey"))
+    docs = small_batches(docs).select("doc_id", "text", text_key(F.col("text")).alias("tkey"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = tokenizer(tokenizer_path).ids

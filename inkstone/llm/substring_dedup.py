@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom, textvec
-from .common import table
+from .common import small_batches, table
 
 PROBES = 3
 #: Bytes of text whose candidate windows meet in one task to be confirmed, and documents that are rewritten in one task.
@@ -100,7 +100,7 @@ def dedup_passages(docs: DataFrame, window: int = 35) -> DataFrame:
     """
     block = (window + 1) // 2
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "__group", "__key")]
-    docs = docs.select(*columns)
+    docs = small_batches(docs).select(*columns)
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     bits, n_groups = bloom.bits_for(total["bytes"] // (5 * block)), total["n"] // TOGETHER + 1
     n_buckets = min(MANY, max(FEW, total["bytes"] // CONFIRM_BYTES))
@@ -108,9 +108,8 @@ def dedup_passages(docs: DataFrame, window: int = 35) -> DataFrame:
     raw = F.col("text").cast("binary").alias("text")
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in textvec.chunks(batch["text"].to_pylist()):
-                yield bloom.blobs(hashes(c, block)[blocks(c, block)], bits, PROBES)
+        found = (hashes(c, block)[blocks(c, block)] for batch in batches for c in textvec.chunks(batch["text"].to_pylist()))
+        yield from bloom.gathered(found, bits, PROBES)
 
     once, twice = bloom.build(docs.select(raw).mapInArrow(anchor, bloom.BLOBS), bits)
 
