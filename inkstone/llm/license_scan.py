@@ -92,7 +92,7 @@ def lowered(text: Column) -> Column:
 def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``files`` (path, text and more) with ``license``, ``score``, ``origin`` and ``license_from``.
 
-    Every line and every whole text is a TF-IDF vector of words and word pairs (idf over the templates); the template of the highest cosine names the license, ties going to the smaller name. ``origin`` is "header" for a line and "file" for a whole text (the line if both score the same, unless the file is a licence file). A licence file is one whose name says so or whose whole text reaches the threshold; files without a license of their own take that of the licence file in the nearest directory above them ("inherited", with that directory in ``license_from``): of several there the best score, then the smaller name. Else all four are null; so they are for null or empty texts without a licence file above. Null paths have no directory. Rows that repeat are judged alike; an empty table gives no rows; columns of ``files`` with the names added are replaced.
+    Every line and every whole text is a TF-IDF vector of words and word pairs (idf over the templates); the template of the highest cosine names the license, ties going to the smaller name. ``origin`` is "header" for a line and "file" for a whole text (the line if both score the same, unless the file's name is a licence file's). A licence file is one whose name says so or whose whole text reaches the threshold; files without a license of their own take that of the licence file in the nearest directory above them ("inherited", with that directory in ``license_from``): of several there the best score, then the smaller name. Else all four are null; so they are for null or empty texts without a licence file above. Null paths have no directory. Rows that repeat are judged alike; an empty table gives no rows; columns of ``files`` with the names added are replaced.
     """
     added = ("license", "score", "origin", "license_from")
     columns = [c for c in files.columns if c not in (*added, "__key", "__dir")]
