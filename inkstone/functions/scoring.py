@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +14,16 @@ def normalized_similarity(gt: Column, pred: Column) -> Column:
     return F.when((F.char_length(gt) == 0) | (F.char_length(pred) == 0), F.lit(0.0)).otherwise(1 - F.levenshtein(pred, gt) / longest)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def softmax(x: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp(v.cast("double") - F.array_max(x).cast("double")))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda v: v / total))
+
+    return let(F.array_max(x).cast("double"), lambda top: let(F.transform(x, lambda v: F.exp(v.cast("double") - top)), shares))
 
 
 def argmax(x: Column) -> Column:
@@ -29,8 +38,12 @@ def cumulative_product(x: Column) -> Column:
 
 def min_max(x: Column) -> Column:
     """To 0 and 1; all 0 where the values are equal."""
-    low, high = F.array_min(x).cast("double"), F.array_max(x).cast("double")
-    return F.transform(x, lambda v: F.when(high == low, F.lit(0.0)).otherwise((v.cast("double") - low) / (high - low)))
+
+    def scaled(ends: Column) -> Column:
+        low, high = ends["low"], ends["high"]
+        return F.transform(x, lambda v: F.when(high == low, F.lit(0.0)).otherwise((v.cast("double") - low) / (high - low)))
+
+    return let(F.struct(F.array_min(x).cast("double").alias("low"), F.array_max(x).cast("double").alias("high")), scaled)
 
 
 def centred(x: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,14 +10,22 @@ from pyspark.sql import functions as F
 PAIRS = "array<struct<g: string, p: string>>"
 
 
+def costs(gt: str, pred: str) -> np.ndarray:
+    """Least costs of aligning each prefix of one with each prefix of the other, a row at a time: gaps along a row are a running minimum."""
+    g, p = (np.array([ord(c) for c in x], np.int32) for x in (gt, pred))
+    places = np.arange(len(p) + 1, dtype=np.int32)
+    out = np.empty((len(g) + 1, len(p) + 1), np.int32)
+    out[0] = places
+    for i in range(1, len(g) + 1):
+        out[i, 0] = i
+        out[i, 1:] = np.minimum(out[i - 1, 1:] + 1, out[i - 1, :-1] + (g[i - 1] != p))
+        out[i] = np.minimum.accumulate(out[i] - places) + places
+    return out
+
+
 def align(gt: str, pred: str) -> list[tuple[str | None, str | None]]:
     """Pairs of characters at unit cost for a substitution or a gap (None). From the end: equal characters pair; else a substitution, a gap in the prediction, a gap in the label, whichever comes first among the cheapest."""
-    cost = [list(range(len(pred) + 1))]
-    for i, g in enumerate(gt, 1):
-        row, above = [i], cost[-1]
-        for j, p in enumerate(pred, 1):
-            row.append(above[j - 1] if g == p else 1 + min(above[j - 1], above[j], row[j - 1]))
-        cost.append(row)
+    cost = costs(gt, pred).tolist()
     i, j, out = len(gt), len(pred), []
     while i or j:
         if i and j and (gt[i - 1] == pred[j - 1] or cost[i][j] == cost[i - 1][j - 1] + 1):
@@ -45,8 +54,11 @@ def char_report(pairs: DataFrame, gt: Column, pred: Column, vocab: DataFrame | N
 
     With ``vocab`` (ch) characters that never occur are there with zeros and a null accuracy.
     """
-    both = pairs.select(aligned(F.replace(gt, F.lit(" "), F.lit("")), F.replace(pred, F.lit(" "), F.lit(""))).alias("a")).select(F.inline("a"))
-    counted = both.groupBy(F.col("g").alias("ch")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("g") == F.col("p")).alias("correct"))
+    texts = pairs.select(F.replace(gt, F.lit(" "), F.lit("")).alias("gt"), F.replace(pred, F.lit(" "), F.lit("")).alias("pred"))
+    # Each pair of texts is aligned once, however often it comes.
+    distinct = texts.groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("n"))
+    both = distinct.select("n", aligned(F.col("gt"), F.col("pred")).alias("a")).select("n", F.inline("a"))
+    counted = both.groupBy(F.col("g").alias("ch")).agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("g") == F.col("p"), F.col("n"))), F.lit(0)).alias("correct"))
     if vocab is not None:
         counted = counted.join(vocab.select("ch"), "ch", "right").select("ch", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("correct", F.lit(0)).alias("correct"))
     return counted.withColumn("accuracy", F.when(F.col("total") > 0, 100 * F.col("correct") / F.col("total")))
