@@ -55,8 +55,9 @@ def char_report(pairs: DataFrame, gt: Column, pred: Column, vocab: DataFrame | N
     With ``vocab`` (ch) characters that never occur are there with zeros and a null accuracy.
     """
     texts = pairs.select(F.replace(gt, F.lit(" "), F.lit("")).alias("gt"), F.replace(pred, F.lit(" "), F.lit("")).alias("pred"))
-    # Each pair of texts is aligned once, however often it comes.
-    distinct = texts.groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("n"))
+    # Each pair of texts is aligned once, however often it comes; by number, as small partitions of costly rows must not be merged.
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = texts.repartition(n, "gt", "pred").groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("n"))
     both = distinct.select("n", aligned(F.col("gt"), F.col("pred")).alias("a")).select("n", F.inline("a"))
     counted = both.groupBy(F.col("g").alias("ch")).agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("g") == F.col("p"), F.col("n"))), F.lit(0)).alias("correct"))
     if vocab is not None:
