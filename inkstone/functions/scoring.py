@@ -8,17 +8,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def normalized_similarity(gt: Column, pred: Column) -> Column:
-    """1 - edit distance / longer length in code points; 0 if either is empty."""
-    longest = F.greatest(F.char_length(gt), F.char_length(pred))
-    return F.when((F.char_length(gt) == 0) | (F.char_length(pred) == 0), F.lit(0.0)).otherwise(1 - F.levenshtein(pred, gt) / longest)
-
-
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is worked out once, however often it stands there."""
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance; bands of growing width come first, as the whole table is dear for long texts. A band that is too narrow says -1."""
+    banded = (let(F.levenshtein(a, b, width), lambda d: F.when(d >= 0, d)) for width in (32, 512, 4096))
+    return F.coalesce(*banded, F.levenshtein(a, b))
+
+
+def normalized_similarity(gt: Column, pred: Column) -> Column:
+    """1 - edit distance / longer length in code points; 0 if either is empty."""
+    longest = F.greatest(F.char_length(gt), F.char_length(pred))
+    return F.when((F.char_length(gt) == 0) | (F.char_length(pred) == 0), F.lit(0.0)).otherwise(1 - edit_distance(pred, gt) / longest)
+
+
 def softmax(x: Column) -> Column:
     def shares(e: Column) -> Column:
         return let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda v: v / total))

@@ -2,36 +2,44 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAIRS = "array<struct<g: string, p: string>>"
+COUNTS = "array<struct<g: string, p: string, times: long>>"
 
 
-def costs(gt: str, pred: str) -> np.ndarray:
-    """Least costs of aligning each prefix of one with each prefix of the other, a row at a time: gaps along a row are a running minimum."""
-    g, p = (np.array([ord(c) for c in x], np.int32) for x in (gt, pred))
-    places = np.arange(len(p) + 1, dtype=np.int32)
-    out = np.empty((len(g) + 1, len(p) + 1), np.int32)
-    out[0] = places
-    for i in range(1, len(g) + 1):
-        out[i, 0] = i
-        out[i, 1:] = np.minimum(out[i - 1, 1:] + 1, out[i - 1, :-1] + (g[i - 1] != p))
-        out[i] = np.minimum.accumulate(out[i] - places) + places
-    return out
+#: Costs that are kept whole (cells); of more, rows at a distance are kept and those between worked out again.
+KEPT = 1 << 22
+FAR = 1 << 29
 
 
 def align(gt: str, pred: str) -> list[tuple[str | None, str | None]]:
-    """Pairs of characters at unit cost for a substitution or a gap (None). From the end: equal characters pair; else a substitution, a gap in the prediction, a gap in the label, whichever comes first among the cheapest."""
-    cost = costs(gt, pred).tolist()
-    i, j, out = len(gt), len(pred), []
+    """Pairs of characters at unit cost for a substitution or a gap (None). From the end: equal characters pair; else a substitution, a gap in the prediction, a gap in the label, whichever comes first among the cheapest.
+
+    Only costs within a band of the diagonal are worked out, widened until the whole cost is within it: a path that leaves the band costs more, so the alignment is that of the full table.
+    """
+    if gt == pred:
+        return list(zip(gt, pred, strict=True))
+    g, p = (np.array([ord(c) for c in x], np.int32) for x in (gt, pred))
+    n, m, short = len(g), len(p), min(len(g), len(p))
+    most = abs(n - m) + int(np.count_nonzero(g[:short] != p[:short]))
+    width = min(max(abs(n - m), 32), most)
+    while (at := band(g, p, width))(n, m) > width:
+        width = min(4 * width, most)
+    i, j, out = n, m, []
     while i or j:
-        if i and j and (gt[i - 1] == pred[j - 1] or cost[i][j] == cost[i - 1][j - 1] + 1):
+        if i and j and (gt[i - 1] == pred[j - 1] or at(i, j) == at(i - 1, j - 1) + 1):
             i, j = i - 1, j - 1
             out.append((gt[i], pred[j]))
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+        elif i and at(i, j) == at(i - 1, j) + 1:
             i -= 1
             out.append((gt[i], None))
         else:
@@ -40,6 +48,39 @@ def align(gt: str, pred: str) -> list[tuple[str | None, str | None]]:
     return out[::-1]
 
 
+def band(g: np.ndarray, p: np.ndarray, width: int) -> Callable[[int, int], int]:
+    """Least costs of aligning a prefix of one with a prefix of the other, by their lengths, by paths at most ``width`` off the diagonal. A row at a time: gaps along a row are a running minimum."""
+    n, left, right = len(g), min(width, len(g)), min(width, len(p))
+    places = np.arange(left + right + 1, dtype=np.int32)
+    beside = np.concatenate([np.full(left, -1, np.int32), p, np.full(n + right, -1, np.int32)])
+
+    def after(row: np.ndarray, i: int) -> np.ndarray:
+        out = row + (beside[i - 1 : i + left + right] != g[i - 1])
+        np.minimum(out[:-1], row[1:] + 1, out=out[:-1])
+        return np.minimum.accumulate(out - places) + places
+
+    step = 1 if (n + 1) * len(places) <= KEPT else math.isqrt(n) + 1
+    row = np.where(places >= left, places - left, np.int32(FAR))
+    kept = [row]
+    for i in range(1, n + 1):
+        row = after(row, i)
+        if i % step == 0:
+            kept.append(row)
+
+    @lru_cache(maxsize=2)
+    def block(b: int) -> list[np.ndarray]:
+        rows = [kept[b]]
+        for i in range(b * step + 1, min((b + 1) * step, n + 1)):
+            rows.append(after(rows[-1], i))
+        return rows
+
+    def at(i: int, j: int) -> int:
+        x = j - i + left
+        return int(block(i // step)[i % step][x]) if 0 <= x <= left + right else FAR
+
+    return at
+
+
 def align_all(gt: pd.Series, pred: pd.Series) -> pd.Series:
     return pd.Series([[{"g": g, "p": p} for g, p in align(a, b)] if a is not None and b is not None else None for a, b in zip(gt, pred, strict=True)])
 
@@ -49,6 +90,15 @@ def aligned(gt: Column, pred: Column) -> Column:
     return F.pandas_udf(align_all, PAIRS)(gt, pred)
 
 
+def count_all(gt: pd.Series, pred: pd.Series) -> pd.Series:
+    return pd.Series([[{"g": g, "p": p, "times": n} for (g, p), n in Counter(align(a, b)).items()] if a is not None and b is not None else None for a, b in zip(gt, pred, strict=True)])
+
+
+def counted_pairs(gt: Column, pred: Column) -> Column:
+    """How often each pair comes in the alignment; null if either is null."""
+    return F.pandas_udf(count_all, COUNTS)(gt, pred)
+
+
 def char_report(pairs: DataFrame, gt: Column, pred: Column, vocab: DataFrame | None = None) -> DataFrame:
     """(ch, total, correct, accuracy) over aligned pairs without spaces; insertions (no label character) are the row with null.
 
@@ -58,7 +108,7 @@ def char_report(pairs: DataFrame, gt: Column, pred: Column, vocab: DataFrame | N
     # Each pair of texts is aligned once, however often it comes; by number, as small partitions of costly rows must not be merged.
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = texts.repartition(n, "gt", "pred").groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("n"))
-    both = distinct.select("n", aligned(F.col("gt"), F.col("pred")).alias("a")).select("n", F.inline("a"))
+    both = distinct.select("n", counted_pairs(F.col("gt"), F.col("pred")).alias("a")).select("n", F.inline("a")).withColumn("n", F.col("n") * F.col("times"))
     counted = both.groupBy(F.col("g").alias("ch")).agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("g") == F.col("p"), F.col("n"))), F.lit(0)).alias("correct"))
     if vocab is not None:
         counted = counted.join(vocab.select("ch"), "ch", "right").select("ch", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("correct", F.lit(0)).alias("correct"))

@@ -6,6 +6,7 @@ Lines of documents stand in for labels, a fixed corruption of them for predictio
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +23,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
+def query(sql: str | None = None, whole: bool = False):
+    """Register a query and its SQL; with ``whole`` it takes ``longest``, and NAME_whole is the same query over lines of any length."""
+
+    def register(f: Callable[..., DataFrame]):
         QUERIES[f.__name__] = f
         if sql:
             ORACLE[f.__name__] = f"{WITH}{sql}"
+        if whole:
+            QUERIES[f"{f.__name__}_whole"] = partial(f, longest=None)
+            if sql:
+                ORACLE[f"{f.__name__}_whole"] = f"{WITH_WHOLE}{sql}"
         return f
 
     return register
@@ -36,10 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, lang, no, label): lines of documents within the label length."""
+def labels(spark: SparkSession, sf_dir: str, longest: int | None = LONGEST) -> DataFrame:
+    """(doc_id, source, lang, no, label): lines of documents within the label length, or all."""
     lines = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("no", "label"))
-    return lines.filter(F.char_length("label") <= LONGEST)
+    if longest is not None:
+        return lines.filter(F.char_length("label") <= longest)
+    # Long lines are dear to compare, so they are dealt out singly; by number, as small partitions of costly rows must not be merged.
+    return lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "no")
 
 
 def corrupted(gt: Column) -> Column:
@@ -47,9 +57,9 @@ def corrupted(gt: Column) -> Column:
     return F.when(kind == 0, gt).when(kind == 1, F.replace(gt, F.lit("e"), F.lit("a"))).when(kind == 2, F.substring(gt, F.lit(2), F.char_length(gt))).otherwise(F.replace(gt, F.lit("n"), F.lit("")))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, longest: int | None = LONGEST) -> DataFrame:
     """(doc_id, source, no, gt, pred, ned) in ASCII."""
-    both = labels(spark, sf_dir).withColumn("gt", F.regexp_replace("label", r"[^\x00-\x7F]", "#")).withColumn("pred", corrupted(F.col("gt")))
+    both = labels(spark, sf_dir, longest).withColumn("gt", F.regexp_replace("label", r"[^\x00-\x7F]", "#")).withColumn("pred", corrupted(F.col("gt")))
     return both.withColumn("ned", scoring.normalized_similarity(F.col("gt"), F.col("pred")))
 
 
@@ -72,27 +82,29 @@ WITH = rf"""WITH label AS (
   SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
 )
 """
+#: The same over lines of any length.
+WITH_WHOLE = WITH.replace(f" WHERE length(label) <= {LONGEST}", "")
 
 
-@query("SELECT source, count(*) AS n, round(100 * avg(CAST(gt = pred AS INTEGER)), 6) AS accuracy, round(sum(ned * length(gt)) / nullif(sum(length(gt)), 0), 6) AS norm_ed, CAST(sum(length(gt)) AS BIGINT) AS chars FROM pair GROUP BY source")
-def eval_summary(spark, sf_dir):
+@query("SELECT source, count(*) AS n, round(100 * avg(CAST(gt = pred AS INTEGER)), 6) AS accuracy, round(sum(ned * length(gt)) / nullif(sum(length(gt)), 0), 6) AS norm_ed, CAST(sum(length(gt)) AS BIGINT) AS chars FROM pair GROUP BY source", whole=True)
+def eval_summary(spark, sf_dir, longest=LONGEST):
     size = F.char_length("gt")
-    return pairs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg((F.col("gt") == F.col("pred")).cast("int")), 6).alias("accuracy"), F.round(F.sum(F.col("ned") * size) / F.nullif(F.sum(size), F.lit(0)), 6).alias("norm_ed"), F.sum(size).alias("chars"))
+    return pairs(spark, sf_dir, longest).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg((F.col("gt") == F.col("pred")).cast("int")), 6).alias("accuracy"), F.round(F.sum(F.col("ned") * size) / F.nullif(F.sum(size), F.lit(0)), 6).alias("norm_ed"), F.sum(size).alias("chars"))
 
 
-@query("SELECT doc_id, no, round(ned, 6) AS ned FROM pair")
-def normalized_edit_distance(spark, sf_dir):
-    return pairs(spark, sf_dir).select("doc_id", "no", F.round("ned", 6).alias("ned"))
+@query("SELECT doc_id, no, round(ned, 6) AS ned FROM pair", whole=True)
+def normalized_edit_distance(spark, sf_dir, longest=LONGEST):
+    return pairs(spark, sf_dir, longest).select("doc_id", "no", F.round("ned", 6).alias("ned"))
 
 
-@query("SELECT doc_id, no, gt, pred FROM pair WHERE round(ned * 100, 6) <= 80")
-def threshold_report(spark, sf_dir):
-    return pairs(spark, sf_dir).filter(F.round(F.col("ned") * 100, 6) <= 80).select("doc_id", "no", "gt", "pred")
+@query("SELECT doc_id, no, gt, pred FROM pair WHERE round(ned * 100, 6) <= 80", whole=True)
+def threshold_report(spark, sf_dir, longest=LONGEST):
+    return pairs(spark, sf_dir, longest).filter(F.round(F.col("ned") * 100, 6) <= 80).select("doc_id", "no", "gt", "pred")
 
 
-@query("SELECT CAST(least(floor(round(ned, 6) * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM pair GROUP BY 1")
-def ned_histogram(spark, sf_dir):
-    return pairs(spark, sf_dir).groupBy(F.least(F.floor(F.round("ned", 6) * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+@query("SELECT CAST(least(floor(round(ned, 6) * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM pair GROUP BY 1", whole=True)
+def ned_histogram(spark, sf_dir, longest=LONGEST):
+    return pairs(spark, sf_dir, longest).groupBy(F.least(F.floor(F.round("ned", 6) * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT ch, count(*) AS total FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch")
@@ -100,18 +112,18 @@ def char_frequency(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(codecs.chars(F.col("text"))).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("total"))
 
 
-@query("SELECT ch, total, correct, round(100.0 * correct / total, 6) AS accuracy FROM (SELECT g AS ch, count(*) AS total, count(*) FILTER (WHERE g = p) AS correct FROM (SELECT unnest(string_split(gt, '')) AS g, unnest(string_split(replace(gt, 'e', 'a'), '')) AS p FROM gt) WHERE g <> '' GROUP BY g)")
-def char_accuracy(spark, sf_dir):
+@query("SELECT ch, total, correct, round(100.0 * correct / total, 6) AS accuracy FROM (SELECT g AS ch, count(*) AS total, count(*) FILTER (WHERE g = p) AS correct FROM (SELECT unnest(string_split(gt, '')) AS g, unnest(string_split(replace(gt, 'e', 'a'), '')) AS p FROM gt) WHERE g <> '' GROUP BY g)", whole=True)
+def char_accuracy(spark, sf_dir, longest=LONGEST):
     gt = F.regexp_replace("label", r"[^\x00-\x7F]", "#")
     zipped = F.arrays_zip(codecs.chars(gt).alias("g"), codecs.chars(F.replace(gt, F.lit("e"), F.lit("a"))).alias("p"))
-    both = labels(spark, sf_dir).select(F.inline(zipped).alias("g", "p"))
+    both = labels(spark, sf_dir, longest).select(F.inline(zipped).alias("g", "p"))
     counted = both.groupBy(F.col("g").alias("ch")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("g") == F.col("p")).alias("correct"))
     return counted.withColumn("accuracy", F.round(100 * F.col("correct") / F.col("total"), 6))
 
 
-@query()
-def char_alignment(spark, sf_dir):
-    return alignment.char_report(pairs(spark, sf_dir), F.col("gt"), F.col("pred")).orderBy(F.desc("accuracy"), "ch")
+@query(whole=True)
+def char_alignment(spark, sf_dir, longest=LONGEST):
+    return alignment.char_report(pairs(spark, sf_dir, longest), F.col("gt"), F.col("pred")).orderBy(F.desc("accuracy"), "ch")
 
 
 @query("SELECT vec_id, coalesce(list_aggregate([substring('abc', ids[i], 1) FOR i IN range(1, len(ids) + 1) IF ids[i] <> 0 AND (i = 1 OR ids[i - 1] <> ids[i])], 'string_agg', ''), '') AS decoded FROM seq")
@@ -175,10 +187,10 @@ def attn_encode_pad(spark, sf_dir):
     return labels(spark, sf_dir).select("doc_id", "no", F.array_join(codecs.attention_encode(F.col("label"), ALPHABET, LONGEST), " ").alias("ids"))
 
 
-@query("SELECT doc_id, no, CASE WHEN instr(p, '[s]') > 0 THEN left(p, instr(p, '[s]') - 1) ELSE substring(p, 1, greatest(length(p) - 1, 0)) END AS pruned FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN label || '[s]xx' ELSE label END AS p FROM label)")
-def attn_prune(spark, sf_dir):
+@query("SELECT doc_id, no, CASE WHEN instr(p, '[s]') > 0 THEN left(p, instr(p, '[s]') - 1) ELSE substring(p, 1, greatest(length(p) - 1, 0)) END AS pruned FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN label || '[s]xx' ELSE label END AS p FROM label)", whole=True)
+def attn_prune(spark, sf_dir, longest=LONGEST):
     p = F.when(F.col("doc_id") % 2 == 0, F.concat("label", F.lit("[s]xx"))).otherwise(F.col("label"))
-    return labels(spark, sf_dir).select("doc_id", "no", codecs.prune(p).alias("pruned"))
+    return labels(spark, sf_dir, longest).select("doc_id", "no", codecs.prune(p).alias("pruned"))
 
 
 @query(f"SELECT doc_id, no FROM label WHERE regexp_full_match(lower(label), '[{ALPHABET}]*')")
@@ -186,9 +198,9 @@ def label_filter(spark, sf_dir):
     return labels(spark, sf_dir).filter(codecs.known(F.lower("label"), ALPHABET)).select("doc_id", "no")
 
 
-@query(f"SELECT doc_id, no, regexp_replace(label, '[^{ALPHABET}]', '', 'g') AS label FROM label")
-def strip_oov(spark, sf_dir):
-    return labels(spark, sf_dir).select("doc_id", "no", codecs.strip_unknown(F.col("label"), ALPHABET).alias("label"))
+@query(f"SELECT doc_id, no, regexp_replace(label, '[^{ALPHABET}]', '', 'g') AS label FROM label", whole=True)
+def strip_oov(spark, sf_dir, longest=LONGEST):
+    return labels(spark, sf_dir, longest).select("doc_id", "no", codecs.strip_unknown(F.col("label"), ALPHABET).alias("label"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS idx FROM documents WHERE n_chars <= 2000")

@@ -67,6 +67,59 @@ def test_alignment(a, b):
     assert sum(g != p for g, p in got) == distance(a, b)
 
 
+def full_table(a, b):
+    cost = [[distance(a[:i], b[:j]) for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    i, j, out = len(a), len(b), []
+    while i or j:
+        if i and j and (a[i - 1] == b[j - 1] or cost[i][j] == cost[i - 1][j - 1] + 1):
+            i, j = i - 1, j - 1
+            out.append((a[i], b[j]))
+        elif i and cost[i][j] == cost[i - 1][j] + 1:
+            i -= 1
+            out.append((a[i], None))
+        else:
+            j -= 1
+            out.append((None, b[j]))
+    return out[::-1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab_ ", max_size=12), st.text("ab_ ", max_size=12), st.booleans())
+def test_alignment_is_that_of_the_full_table(a, b, kept):
+    was = alignment.KEPT
+    alignment.KEPT = was if kept else 0
+    try:
+        assert alignment.align(a, b) == full_table(a, b)
+    finally:
+        alignment.KEPT = was
+
+
+def test_alignment_of_a_very_long_line():
+    text = "the even number seven is not the end, " * 800
+    for pred in (text.replace("e", "a"), text[1:], text.replace("n", "")):
+        got = alignment.align(text, pred)
+        assert "".join(g for g, _ in got if g) == text and "".join(p for _, p in got if p) == pred
+        assert sum(g != p for g, p in got) == max(text.count("e") if "e" not in pred else 0, len(text) - len(pred))
+
+
+WHOLE = ("eval_summary", "normalized_edit_distance", "threshold_report", "ned_histogram", "char_accuracy", "char_alignment", "attn_prune", "strip_oov")
+
+
+def test_whole_queries_read_every_line(spark):
+    from inkstone.plans import catalog
+
+    from .conftest import SMALL
+
+    lines = catalog.table(spark, SMALL, "documents").select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    want, chars = lines.agg(F.count(F.lit(1)), F.sum(F.char_length("line"))).first()
+    for name in ("normalized_edit_distance", "attn_prune", "strip_oov"):
+        assert catalog.QUERIES[f"{name}_whole"](spark, SMALL).count() == want
+    assert catalog.QUERIES["eval_summary_whole"](spark, SMALL).agg(F.sum("n"), F.sum("chars")).first() == (want, chars)
+    blanks = lines.agg(F.sum(F.char_length(F.replace("line", F.lit(" "), F.lit(""))))).first()[0]
+    assert catalog.QUERIES["char_alignment_whole"](spark, SMALL).filter("ch is not null").agg(F.sum("total")).first()[0] == blanks
+    assert all(f"{name}_whole" in catalog.QUERIES for name in WHOLE)
+
+
 def test_char_report(spark):
     pairs = spark.createDataFrame([("a b", "ab"), ("abb", "ac"), ("a", None)], "g string, p string")
     vocab = spark.createDataFrame([("a",), ("b",), ("z",)], "ch string")
