@@ -208,6 +208,11 @@ def dense_index(spark, sf_dir):
     return sampling.dense_index(table(spark, sf_dir, "documents").filter("n_chars <= 2000").select("doc_id"), "doc_id")
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS idx FROM documents")
+def dense_index_whole(spark, sf_dir):
+    return sampling.dense_index(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
 @query("SELECT item_id, CAST(sum(length(text)) OVER (ORDER BY item_id) - length(text) AS BIGINT) AS offset, CAST(length(text) AS BIGINT) AS length FROM benchmark")
 def flat_offsets(spark, sf_dir):
     size = F.char_length("text").cast("long")

@@ -173,3 +173,13 @@ def test_pushdown(spark):
     plan = catalog.QUERIES["dense_index"](spark, SMALL)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(n_chars), LessThanOrEqual(n_chars,2000)]" in plan and "text" not in plan.split("ReadSchema")[1].split("\n")[0]
     assert "CartesianProduct" not in plan
+
+
+def test_dense_index_whole_numbers_every_document(spark):
+    from inkstone.plans import catalog
+
+    from .conftest import SMALL
+
+    docs = catalog.table(spark, SMALL, "documents").select("doc_id").orderBy("doc_id").collect()
+    got = catalog.QUERIES["dense_index_whole"](spark, SMALL).orderBy("idx").collect()
+    assert [tuple(r) for r in got] == [(r["doc_id"], i) for i, r in enumerate(docs, 1)]
