@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 # Words that mark a URL as an example of what is to be blocked.
 SEEDS = ("adult", "betting", "bingo", "blackjack", "casino", "escort", "gambling", "jackpot", "keygen", "lottery", "malware", "naked", "nude", "phishing", "pills", "poker", "porn", "roulette", "sex", "slots", "spam", "torrent", "viagra", "warez", "webcam", "xxx")
-#: Letters of a word at most; the count that a seed has at least, so that names made of seeds are split.
-LONGEST, SEEDED = 24, 1_000
+#: Letters of a word at most; the number of words that the weight of one never seen is held against, whatever the input's own number, so that splits do not depend on the input's size.
+LONGEST, UNSEEN = 24, 10**9
 WORDS = r"\p{L}+"
 
 
@@ -36,21 +38,31 @@ def by_rules(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return rule, verdict
 
 
-def split_words(name: str, counts: dict[str, int], total: int) -> list[str]:
-    """The likeliest words that make up ``name``: a word's probability is its share of all words; one never seen has ten in the total, a tenth of that for each of its letters. Of equal splits the one whose last word is longest."""
+def split_words(name: str, counts: dict[str, int], total: int, seeds: tuple[str, ...] = ()) -> list[str]:
+    """The likeliest words that make up ``name``: a word's probability is its share of all words; one never seen has ten in ``UNSEEN``, a tenth of that for each of its letters. Of equal splits the one whose last word is longest. Seeds within letters that are no known word are split off, however rare they are."""
     best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
     log_total = math.log(max(total, 1))
     for end in range(1, len(name) + 1):
         for start in range(max(0, end - LONGEST), end):
             n = counts.get(name[start:end], 0)
-            score = best[start] + (math.log(n) if n else math.log(10) * (1 - (end - start))) - log_total
+            score = best[start] + (math.log(n) - log_total if n else math.log(10) * (1 - (end - start)) - math.log(UNSEEN))
             if score > best[end] + 1e-12:
                 best[end], back[end] = score, start
     words, end = [], len(name)
     while end:
         words.append(name[back[end] : end])
         end = back[end]
-    return words[::-1]
+    words.reverse()
+    if not seeds:
+        return words
+    seed = re.compile("(" + "|".join(sorted(map(re.escape, seeds), key=len, reverse=True)) + ")")
+    out = []
+    for known, run in groupby(words, lambda w: w in counts):
+        # Letters beyond LONGEST are several words here; a seed may lie across them.
+        run = list(run)
+        parts = seed.split("".join(run))
+        out += run if known or len(parts) == 1 else filter(None, parts)
+    return out
 
 
 def word_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -72,13 +84,13 @@ def segment(names: DataFrame, texts: DataFrame, seeds: tuple[str, ...] = SEEDS)
     subs = checkpoint(subs.distinct())
     counts = checkpoint(word_counts(texts, subs.select("word").distinct()))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = subs.join(counts, "word", "left").withColumn("n", F.when(F.col("word").isin(*seeds), F.greatest(F.coalesce("n", F.lit(0)), F.lit(SEEDED))).otherwise(F.col("n"))).filter("n is not null")
+    known = subs.join(counts, "word", "left").filter("n is not null")
     # A map holds the substrings of one name, at most LONGEST for each of its letters.
     maps = known.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
 
     @F.pandas_udf("array<string>")
     def words(name: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series([split_words(n, dict(c) if c is not None else {}, total) for n, c in zip(name, counts, strict=True)])
+        return pd.Series([split_words(n, dict(c) if c is not None else {}, total, seeds) for n, c in zip(name, counts, strict=True)])
 
     return names.join(maps, "name", "left").select("name", words("name", "counts").alias("words"))
 

@@ -210,6 +210,20 @@ def test_split_words():
     assert url_filter.split_words("", counts, 100) == [] and "".join(url_filter.split_words("zzqplain", counts, 100)) == "zzqplain"
 
 
+@pytest.mark.parametrize("name, words", [("xqzporn", ["xqz", "porn"]), ("xqzpornqqj", ["xqz", "porn", "qqj"]), ("xqzpoker", ["xqz", "poker"]), ("xqzcasino", ["xqz", "casino"]), ("qjcasinopoker", ["qj", "casino", "poker"]), ("essex", ["essex"]), ("q" * 22 + "casino" + "j" * 9, ["q" * 22, "casino", "j" * 9])])
+def test_splits_do_not_depend_on_size(name, words):
+    counts = {"essex": 3, "plain": 5, "words": 9}
+    for times in (1, 1_000, 1_000_000):
+        assert url_filter.split_words(name, {w: n * times for w, n in counts.items()}, 1_000_000 * times, url_filter.SEEDS) == words
+        assert url_filter.split_words("xqzplain", {w: n * times for w, n in counts.items()}, 1_000_000 * times) == ["xqzplain"]
+
+
+def test_a_rare_seed_is_split_off_on_large_pages(spark):
+    names = spark.createDataFrame([("xqzporn",)], "name string")
+    texts = spark.range(200).select(F.expr("repeat('filler words ', 50000)").alias("text"))
+    assert url_filter.segment(names, texts).first()["words"] == ["xqz", "porn"]
+
+
 def test_licenses(spark):
     rows = [("r/LICENSE", "Released under the MIT License.\nmore text"), ("r/a/x.py", "code only"), ("r/a/y.py", "# Licensed under the Apache License, Version 2.0.\n" + "some more code here " * 9), ("r/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("r/b/c/z.py", None), ("q/w.py", ""), (None, "Licensed under CC BY-NC 4.0."), ("r/a/x.py", "code only")]
     got = license_scan.scan(spark.createDataFrame(rows, "path string, text string").withColumn("score", F.lit("x"))).collect()
