@@ -44,6 +44,30 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+DISCLAIMER = "this software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. in no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+# Whole texts of short licences, and the headings that full texts of long ones begin with. They have the idf of TEMPLATES, so scores against those stay as they are.
+FULL: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",),
+    "BSD-2-Clause": (f"{BSD} {DISCLAIMER}",),
+    "BSD-3-Clause": (f"{BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {DISCLAIMER}",),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International Public License",),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International Public License",),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International Public License",),
+    "CC0-1.0": ("CC0 1.0 Universal",),
+    "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    ),
+    "MPL-2.0": ("Mozilla Public License Version 2.0",),
+}
+#: Number of the first of FULL among a licence's templates.
+FIRST_FULL = 100
+#: What a comment's line begins with.
+MARK = r"[ \t]*(?:#|//|--|;|%|\*)"
 # Words so common that they tell nothing.
 COMMON = frozenset("a all an and any are as at be by can for form free found from has in into is it may met not of on or person that the this to use was with work you your".split())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,6 +94,24 @@ def vectors(templates: dict[str, tuple[str, ...]]) -> tuple[dict[str, float], li
     return idf, out, round(math.log(1 + len(found)) + 1, 9)
 
 
+def full_vectors(full: dict[str, tuple[str, ...]], idf: dict[str, float], unknown: float) -> list[tuple[str, int, dict[str, float]]]:
+    """Unit vectors of more templates, by the idf of others."""
+    out = []
+    for name, texts in sorted(full.items()):
+        for n, text in enumerate(texts, FIRST_FULL):
+            x = {t: c * idf.get(t, unknown) for t, c in Counter(terms(text)).items()}
+            norm = math.sqrt(sum(v * v for v in x.values()))
+            out.append((name, n, {t: v / norm for t, v in x.items()}))
+    return out
+
+
+def paragraphs(low: Column) -> Column:
+    """Runs of lines with letters or digits; a run ends too where comment lines begin or end."""
+    parted = F.regexp_replace(low, rf"(?m)(^{MARK}[^\n]*\n)(?!{MARK}|$)", "$1\n")
+    parted = F.regexp_replace(parted, rf"(?m)(^(?!{MARK})[^\n]+\n)(?={MARK})", "$1\n")
+    return F.split(parted, r"\n(?:[^a-z0-9\n]*\n)+")
+
+
 def anchors(units: list[tuple[str, int, dict[str, float]]], threshold: float) -> list[str]:
     """Words of which a text must have one to come to the threshold with any template: the terms of a template without such a word make too short a vector. Common words are chosen last, and only where they are needed."""
     out: set[str] = set()
@@ -89,25 +131,29 @@ def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, full: dict[str, tuple[str, ...]] = FULL) -> DataFrame:
     """``files`` (path, text and more) with ``license``, ``score``, ``origin`` and ``license_from``.
 
-    Every line and every whole text is a TF-IDF vector of words and word pairs (idf over the templates); the template of the highest cosine names the license, ties going to the smaller name. ``origin`` is "header" for a line and "file" for a whole text (the line if both score the same, unless the file's name is a licence file's). A licence file is one whose name says so or whose whole text reaches the threshold; files without a license of their own take that of the licence file in the nearest directory above them ("inherited", with that directory in ``license_from``): of several there the best score, then the smaller name. Else all four are null; so they are for null or empty texts without a licence file above. Null paths have no directory. Rows that repeat are judged alike; an empty table gives no rows; columns of ``files`` with the names added are replaced.
+    Every line, every paragraph of several lines and every whole text is a TF-IDF vector of words and word pairs (idf over the templates); the template of the highest cosine names the license, ties going to the smaller name. ``origin`` is "header" for a line or paragraph and "file" for a whole text (the line if both score the same, unless the file's name is a licence file's). A licence file is one whose name says so or whose whole text reaches the threshold; files without a license of their own take that of the licence file in the nearest directory above them ("inherited", with that directory in ``license_from``): of several there the best score, then the smaller name. Else all four are null; so they are for null or empty texts without a licence file above. Null paths have no directory. Rows that repeat are judged alike; an empty table gives no rows; columns of ``files`` with the names added are replaced.
     """
     added = ("license", "score", "origin", "license_from")
     columns = [c for c in files.columns if c not in (*added, "__key", "__dir")]
     directory = F.when(F.col("path").isNotNull(), F.regexp_replace("path", r"(^|/)[^/]*$", ""))
     files = files.select(*columns).withColumns({"__key": F.xxhash64("path", "text"), "__dir": directory})
     idf, units, unknown = vectors(templates)
+    units = units + full_vectors(full, idf, unknown)
+    known = {t for _, _, unit in units for t in unit}
     own = "(?s)(?:^|[^a-z0-9])(?:" + "|".join(anchors(units, threshold)) + ")(?:[^a-z0-9]|$)"
     spark = files.sparkSession
-    rows = [{"t": t, "i": idf[t], "w": [{"license": n, "n": k, "w": u[t]} for n, k, u in units if t in u]} for t in sorted(idf)]
+    rows = [{"t": t, "i": idf.get(t, unknown), "w": [{"license": n, "n": k, "w": u[t]} for n, k, u in units if t in u]} for t in sorted(known)]
     # A row for each term of the templates, however large the input.
     weights = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<t: string, i: double, w: array<struct<license: string, n: int, w: double>>>>")))
 
     hit = files.withColumn("low", lowered(F.col("text"))).filter(F.col("low").rlike(own))
     named = F.coalesce(F.col("path").rlike(NAMES), F.lit(False))
-    parts = F.concat(F.array(F.struct(F.lit(-1).alias("no"), F.col("low").alias("part"))), F.transform(F.split("low", "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("part"))))
+    # Paragraphs of several lines are numbered from -2 down.
+    wrapped = F.filter(F.transform(paragraphs(F.col("low")), lambda x, i: F.struct((-2 - i).alias("no"), x.alias("part"))), lambda p: p["part"].contains("\n"))
+    parts = F.concat(F.array(F.struct(F.lit(-1).alias("no"), F.col("low").alias("part"))), F.transform(F.split("low", "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("part"))), wrapped)
     pieces = hit.select("__key", "__dir", named.alias("named"), F.inline(F.filter(parts, lambda p: p["part"].rlike(own))))
     words = pieces.dropDuplicates(["__key", "no"]).withColumn("word", F.regexp_extract_all("part", F.lit("[a-z0-9]+"), F.lit(0)))
     pairs = F.zip_with(F.slice("word", 1, F.greatest(F.array_size("word") - 1, F.lit(0))), F.slice("word", 2, F.array_size("word")), lambda a, b: F.concat_ws(" ", a, b))
@@ -119,14 +165,16 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, th
     # The first of a term's templates carries its share of the length.
     spread = weighed.select(*place, "x", F.posexplode_outer("w").alias("k", "at")).select(*place, "x", "k", "at.*")
     dots = spread.groupBy(*place, "license", "n").agg(F.sum(F.col("x") * F.col("w")).alias("dot"), norm.alias("square"))
-    lengths = dots.groupBy(*place).agg(F.sum("square").alias("square"), F.filter(F.collect_list(F.struct("license", "dot")), lambda d: d["license"].isNotNull()).alias("dots"))
+    lengths = dots.groupBy(*place).agg(F.sum("square").alias("square"), F.filter(F.collect_list(F.struct("license", "n", "dot")), lambda d: d["license"].isNotNull()).alias("dots"))
     best = F.array_max(F.transform("dots", lambda d: F.struct(F.round(d["dot"] / F.sqrt("square"), 6).alias("score"), d["license"].alias("license"))))
     # Of equal scores array_max takes the larger name, so the score decides first and the smallest name of that score is looked up.
     scored = lengths.withColumn("score", best["score"])
     same = F.filter("dots", lambda d: F.round(d["dot"] / F.sqrt("square"), 6) == F.col("score"))
-    scored = scored.filter(F.col("score") >= threshold).select(*place, "score", F.array_min(F.transform(same, lambda d: d["license"])).alias("license"))
+    scored = scored.filter(F.col("score") >= threshold).select(*place, "score", F.array_min(F.transform(same, lambda d: d["license"])).alias("license"), F.exists(same, lambda d: d["n"] >= FIRST_FULL).alias("full"))
     scored = scored.withColumn("whole", F.col("no") == -1)
-    rank = F.row_number().over(Window.partitionBy("__key").orderBy(F.desc("score"), F.when(F.col("named"), ~F.col("whole")).otherwise(F.col("whole")), "license", "no"))
+    # A licence's whole text decides before any paragraph that licences share; of equal scores a line comes before a paragraph.
+    full_text, wrapped_at = F.col("whole") & F.col("full"), F.col("no") < -1
+    rank = F.row_number().over(Window.partitionBy("__key").orderBy(F.desc(full_text), F.desc("score"), F.when(F.col("named"), ~F.col("whole")).otherwise(F.col("whole")), wrapped_at, "license", F.abs("no")))
     found = checkpoint(scored.withColumn("rank", rank).groupBy("__key").agg(*(F.max(F.when(F.col("rank") == 1, F.col(c))).alias(c) for c in ("license", "score", "whole", "named", "__dir")), F.max("whole").alias("file")))
 
     # One license for each directory that has a licence file.

@@ -1,5 +1,6 @@
 """Edge cases of every operator, and brute force where SQL has no answer."""
 
+import textwrap
 import zlib
 
 import numpy as np
@@ -232,6 +233,19 @@ def test_licenses(spark):
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).collect() == []
 
 
+def test_wrapped_headers_and_full_licence_files(spark):
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    code = "\n".join(f"int value_{i} = compute(other, {i});" for i in range(60))
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + textwrap.fill(license_scan.FULL["MIT"][1], 76) + ":\n\nThe above copyright" + textwrap.fill(license_scan.FULL["MIT"][0].split("The above copyright")[1], 76)
+    bsd = "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + "\n\n".join(textwrap.fill(t, 76) for t in license_scan.FULL["BSD-2-Clause"][0].replace(": 1.", ":\f1.").replace(" this software is", "\fthis software is", 1).split("\f"))
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n" + "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n" + code
+    rows = [("a/x.c", "\n".join(f"// {x}" for x in gpl) + "\n" + code), ("b/x.c", "/*\n" + "\n".join(f" * {x}" for x in gpl) + "\n */\n" + code), ("c/x.py", "import os\n" + "\n".join(f"# {x}" for x in gpl) + "\n#\n# more\n" + code), ("m/LICENSE", mit), ("m/x.c", code), ("n/LICENSE", bsd), ("n/x.c", code), ("p/LICENSE", apache), ("p/x.c", code), ("q/x.c", code)]
+    got = {r["path"]: (r["license"], r["origin"]) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[f"{d}"] for d in ("a/x.c", "b/x.c", "c/x.py")] == [("GPL-3.0", "header")] * 3
+    assert (got["m/LICENSE"][0], got["n/LICENSE"][0], got["p/LICENSE"][0]) == ("MIT", "BSD-2-Clause", "Apache-2.0")
+    assert [got[f"{d}/x.c"] for d in "mnpq"] == [("MIT", "inherited"), ("BSD-2-Clause", "inherited"), ("Apache-2.0", "inherited"), (None, None)]
+
+
 def test_license_scan_is_native(spark):
     plan = queries.QUERIES["op10_license_scan"](spark, SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Cartesian" not in plan
