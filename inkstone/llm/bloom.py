@@ -1,6 +1,6 @@
 """Two Bloom filters of fixed size over 64-bit hashes: seen once or more, and seen twice or more.
 
-They are built in segments, each merged in one task that streams positions, and the finished bits go to the executors as a broadcast whose size is a parameter. A full filter only lets more rows through: what passes is always confirmed exactly.
+They are built in segments, each merged in one task that streams positions; the caller broadcasts what it asks, at most ``MOST_BITS`` whatever the input. A full filter only lets more rows through: what passes is always confirmed exactly.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 SEGMENT_BITS = 1 << 18
@@ -62,8 +61,8 @@ def gathered(hashes: Iterator[np.ndarray], bits: int, probes: int, at_once: int
 BLOBS = "segment int, at binary"
 
 
-def build(rows: DataFrame, bits: int) -> tuple[Broadcast, Broadcast]:
-    """The filters (once, twice) of rows made by ``blobs``, as broadcast numpy bytes."""
+def build(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filters (once, twice) of rows made by ``blobs``. A row counts as seen twice only if it was in the first filter before."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by segment: one segment's counters are held at a time.
@@ -90,5 +89,4 @@ def build(rows: DataFrame, bits: int) -> tuple[Broadcast, Broadcast]:
     for segment, a, b in merged.toLocalIterator():
         once[segment * width : (segment + 1) * width] = np.frombuffer(a, np.uint8)
         twice[segment * width : (segment + 1) * width] = np.frombuffer(b, np.uint8)
-    context = rows.sparkSession.sparkContext
-    return context.broadcast(once), context.broadcast(twice)
+    return once, twice

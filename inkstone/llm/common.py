@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,25 +17,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; only where a session has none (tests) a temporary one is set."""
-    context = df.sparkSession.sparkContext
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Let Hadoop delete a folder of intermediate results when the driver ends."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where it is unset a local session, whose executors are this machine, gets a temporary one; any other one gets an error, as its executors would not see this machine's folders."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="inkstone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="inkstone-")
+            remove_at_exit(spark, folder)
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder; this runs a job."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """Send texts to Python in batches of ``rows``, unless the session says otherwise: 10,000 long texts, Spark's default, are too many for a worker and for the JVM's buffers."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name, "10000") == "10000":
-        conf.set(name, rows)
-    return df
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """While jobs inside run, texts go to Python in batches of ``rows``, unless the session's are shorter: Spark's default of 10,000 long texts is much for a worker and for the JVM's buffers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def carried(df: DataFrame, added: Iterable[str] = ()) -> DataFrame:
+    """``df`` as one column ``row``, so that no name of its columns can clash with an operator's own; columns with the names ``added`` are left out."""
+    added = set(added)
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in added)).alias("row"))
+
+
+def released(df: DataFrame, **columns: Column) -> DataFrame:
+    """The columns of ``row`` again, those named here replaced or added at the end."""
+    own = df.schema["row"].dataType.names
+    kept = [columns.pop(c).alias(c) if c in columns else F.col("row").getField(c).alias(c) for c in own]
+    return df.select(*kept, *(c.alias(n) for n, c in columns.items()))
 
 
 def text_key(text: Column) -> Column:
-    """Tells rows apart that repeat a doc_id with another text."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    """Tells rows apart that repeat a doc_id with another text, by way of SHA-256."""
+    return F.xxhash64(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

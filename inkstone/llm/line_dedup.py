@@ -3,63 +3,81 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import checkpoint, table, text_key
+from .common import carried, checkpoint, released, short_batches, table, text_key
 
 PROBES = 2
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACE = b" \t\n\x0b\x0c\r"
+LINE = pa.schema([("id", pa.int64()), ("tkey", pa.int64()), ("no", pa.int32()), ("key", pa.string())])
 
 
-def line_key(line: Column) -> Column:
-    """The line without ASCII white space at both ends and with A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), UPPER, LOWER)
+def line_keys(text: bytes, least: int) -> Iterator[tuple[int, bytes]]:
+    """(place, key) of the lines whose key, the line without ASCII white space at both ends and with A-Z lower-cased, has ``least`` code points or more."""
+    for no, line in enumerate(text.split(b"\n")):
+        if len(line) >= least:
+            key = line.strip(SPACE).lower()
+            if len(key) >= least and (key.isascii() or len(key.decode()) >= least):
+                yield no, key
+
+
+def hash_of(key: bytes) -> int:
+    return int.from_bytes(blake2b(key, digest_size=8).digest(), "little")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with the lines that many documents share removed from all but the largest doc_id holding them.
 
-    Keys of at least ``min_chars`` code points in at least ``min_docs`` documents (distinct doc_ids; rows that repeat a doc_id count once, rows without one count as one document, the smallest) lose all their lines elsewhere. Other lines stay, joined by a line feed. Null or empty text is one empty line. Adds ``n_lines`` and ``n_dropped`` and replaces ``text``, and ``n_chars`` where there is one. An empty table gives no rows. Columns of ``docs`` with the names added are replaced.
+    Keys of at least ``min_chars`` code points in at least ``min_docs`` documents (distinct doc_ids; rows that repeat a doc_id count once, rows without one count as one document, the smallest) lose all their lines elsewhere. Other lines stay, joined by a line feed. Null or empty text is one empty line. Adds ``n_lines`` and ``n_dropped`` and replaces ``text``, and ``n_chars`` where there is one. An empty table gives no rows. Columns of ``docs`` with the names added are replaced; other names are free.
+
+    The filter of keys seen twice, built behind that of keys seen once, picks the suspects; only these shuffle, as text, to be counted exactly.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    docs = docs.select(*columns)
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), text_key(F.col("text")).alias("tkey"), F.posexplode(lines).alias("no", "line"))
-    keyed = keyed.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_chars).select("id", "tkey", "no", "key", F.xxhash64("key").alias("hash"))
+    spark, rows = docs.sparkSession, carried(docs, ("n_lines", "n_dropped"))
+    text = F.coalesce("row.text", F.lit(""))
+    keyed = rows.withColumns({"id": F.coalesce("row.doc_id", F.lit(-(1 << 63))), "tkey": text_key(F.col("row.text"))})
     bits = bloom.bits_for(docs.count(), 256)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from bloom.gathered((batch["hash"].to_numpy(zero_copy_only=False).view(np.uint64) for batch in batches), bits, PROBES)
-
-    _, twice = bloom.build(keyed.select("hash").mapInArrow(seen, bloom.BLOBS), bits)
-
-    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(bloom.contains(twice.value, batch["hash"].to_numpy().view(np.uint64), PROBES)))
-
-    # Not as a UDF in a filter: that would queue the whole text beside each of its lines.
-    suspects = checkpoint(keyed.mapInArrow(suspected, keyed.schema).drop("hash"))
+        found = (np.array([hash_of(key) for x in batch["text"].to_pylist() for _, key in line_keys(x, min_chars)], np.uint64) for batch in batches)
+        yield from bloom.gathered(found, bits, PROBES)
+
+    with short_batches(spark):
+        _, often = bloom.build(rows.select(text.cast("binary").alias("text")).mapInArrow(seen, bloom.BLOBS), bits)
+        twice = spark.sparkContext.broadcast(often)
+
+        def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                of, no, keys = [], [], []
+                for i, x in enumerate(batch["text"].to_pylist()):
+                    for place, key in line_keys(x, min_chars):
+                        of.append(i), no.append(place), keys.append(key)
+                hit = np.flatnonzero(bloom.contains(twice.value, np.array([hash_of(k) for k in keys], np.uint64), PROBES))
+                own = pa.array(np.array(of, np.int64)[hit])
+                yield pa.RecordBatch.from_arrays([batch["id"].take(own), batch["tkey"].take(own), pa.array(np.array(no, np.int32)[hit]), pa.array([keys[i].decode() for i in hit], pa.string())], schema=LINE)
+
+        suspects = checkpoint(keyed.select("id", "tkey", text.cast("binary").alias("text")).mapInArrow(suspected, "id long, tkey long, no int, key string"))
     # Documents of a key are counted by (key, id) first: a key that very many documents hold is never in one task.
     held = suspects.groupBy("key", "id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("n"), F.max("id").alias("last"))
     repeated = checkpoint(held.filter(F.col("n") >= min_docs).select("key", "last"))
     dropped = suspects.join(repeated, "key").filter(F.col("id") != F.col("last"))
-    drops = dropped.groupBy("id", "tkey").agg(F.collect_set("no").alias("__drops"))
-    joined = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-(1 << 63))), "__tkey": text_key(F.col("text"))}).join(
-        drops.select(F.col("id").alias("__id"), F.col("tkey").alias("__tkey"), "__drops"), ["__id", "__tkey"], "left"
-    )
-    kept = F.when(F.col("__drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__drops", i)), "\n"))
-    out = joined.withColumns({"n_lines": F.array_size(lines).cast("long"), "n_dropped": F.coalesce(F.array_size("__drops"), F.lit(0)).cast("long"), "text": kept})
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*columns, "n_lines", "n_dropped")
+    drops = dropped.groupBy("id", "tkey").agg(F.collect_set("no").alias("drops"))
+    joined = keyed.join(drops, ["id", "tkey"], "left")
+    lines = F.split(text, "\n", -1)
+    # array_except looks places up by hash; the lines are split once.
+    left = F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.array_size(x) - 1), "drops"), lambda i: F.get(x, i)), "\n"))
+    joined = joined.withColumns({"kept": F.when(F.col("drops").isNull(), text).otherwise(F.get(left, 0)), "n_dropped": F.coalesce(F.array_size("drops"), F.lit(0)).cast("long")})
+    follows = {"n_chars": F.char_length("kept").cast("long")} if "n_chars" in docs.columns else {}
+    return released(joined, text=F.col("kept"), n_lines=F.array_size(lines).cast("long"), n_dropped=F.col("n_dropped"), **follows)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every document: doc_id, n_lines, n_dropped, kept_sha256; cases as in ``dedup_lines``."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

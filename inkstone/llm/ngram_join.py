@@ -1,7 +1,8 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, the shared shingles of their texts are counted exactly."""
+"""N-gram Jaccard join: a MinHash LSH forest finds candidates, the shingles that their texts share are counted exactly."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,26 +12,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bloom, textvec
-from .common import checkpoint, chunk_pairs, small, small_batches, table
+from .common import carried, checkpoint, chunk_pairs, released, short_batches, small, table
 from .graph import components, forest
 
-#: Prefix trees, and minhashes in a signature of each at most.
-TREES, DEPTH = 25, 5
+#: Prefix trees; minhashes that a tree has to itself; places of the sequence that a tree is sorted by, which goes on with other trees' minhashes.
+TREES, OWN, LONGEST = 25, 5, 12
 #: Share of the links at the threshold that the trees are meant to find.
 TARGET = 0.9999
 #: Standard deviations that a signature's estimate may lie under the threshold and still be verified.
-SLACK = 5
+SLACK = 5.0
 #: Documents of one prefix, documents and bytes of one cluster, and bytes of clusters that a task holds at once.
 TOGETHER, CLUSTER, BYTES = 4_096, 512, 1 << 23
 #: Entries of an incidence matrix at a time.
 MATRIX = 1 << 22
+#: Rows of a block of signatures that are compared at once.
+ROWS = 64
 
 
-def depth_for(threshold: float, target: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Prefixes are shortened from the full depth on until links at the threshold are found with the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+def trees_for(threshold: float, target: float, depth: int) -> int:
+    """Trees in which two texts at the threshold must be held against each other by prefixes of ``depth`` minhashes to be found with the target probability."""
+    return max(1, math.ceil(math.log(1 - target) / math.log1p(-(threshold**depth))))
+
+
+def depths(threshold: float, target: float) -> tuple[int, int]:
+    """The shortest prefix and the longest one that a document may stop at: with the longest in all trees the target is met just so, with shorter ones in fewer."""
+    longest = max((d for d in range(1, OWN + 1) if trees_for(threshold, target, d) <= TREES), default=0)
+    if not longest:
+        raise ValueError(f"{TREES} trees cannot find links at {threshold} with probability {target}")
+    return max(1, longest - 2), longest
 
 
 def shingles(chunk: textvec.Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,33 +52,75 @@ def shingles(chunk: textvec.Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
     for few in range(1, width):
         short = np.flatnonzero(n == few)
         if len(short):
-            out = np.concatenate((out, textvec.mix(textvec.windows(h, few)[chunk.first[short]] + np.uint64(few))))
+            out = np.concatenate((out, textvec.windows(h, few)[chunk.first[short]]))
             of = np.concatenate((of, short))
     order = np.argsort(of, kind="stable")
     return out[order], of[order]
 
 
-def signatures(chunk: textvec.Chunk, width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with any word, and ``n`` minhashes of each."""
+def signatures(chunk: textvec.Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with any word, and 16 bits of each of their minhashes."""
     h, of = shingles(chunk, width)
     at, first = np.unique(of, return_index=True)
-    out = np.zeros((len(at), n), np.uint32)
+    out = np.zeros((len(at), TREES * OWN), "<u2")
     if len(at):
         h = (h >> np.uint64(32)).astype(np.uint32) ^ h.astype(np.uint32)
-        draw = np.random.default_rng(23).integers(0, 1 << 32, (n, 2), dtype=np.uint32) | np.uint32(1)
+        draw = np.random.default_rng(23).integers(0, 1 << 32, (TREES * OWN, 2), dtype=np.uint32) | np.uint32(1)
         for i, (a, b) in enumerate(draw):
             x = (h ^ b) * a
-            out[:, i] = np.minimum.reduceat(x ^ (x >> np.uint32(15)), first)
+            least = np.minimum.reduceat(x ^ (x >> np.uint32(15)), first)
+            out[:, i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
     return at, out
 
 
-def alike(sketch: np.ndarray, least: int, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def sequence(sketch: np.ndarray, tree: int) -> np.ndarray:
+    """The minhashes that a tree is sorted by."""
+    return sketch[:, (tree * OWN + np.arange(LONGEST)) % (TREES * OWN)]
+
+
+def exact_shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) without repeats, shingles numbered by their very words: words are told apart by themselves and runs by the numbers of their halves, so nothing rests on a hash."""
+    names: dict[bytes, int] = {}
+    parts = [t.split() for t in texts]
+    n = np.array([len(p) for p in parts])
+    word = np.fromiter((names.setdefault(w, len(names)) for p in parts for w in p), np.int64, int(n.sum()))
+    doc, first = np.repeat(np.arange(len(texts)), n), np.concatenate(([0], np.cumsum(n)))
+    ofs, runs, base = [], [], 0
+    for size in sorted({min(width, int(k)) for k in n if k}):
+        ids, have = word, 1
+        while have < size:
+            step = min(have, size - have)
+            ids = np.unique(ids[:-step] * (int(ids.max()) + 1) + ids[step:], return_inverse=True)[1]
+            have += step
+        at = np.flatnonzero(doc[size - 1 :] == doc[: len(doc) - size + 1])
+        at = at[n[doc[at]] >= width] if size == width else first[:-1][n == size]
+        ofs.append(doc[at])
+        runs.append(ids[at] + base)
+        base += int(ids.max()) + 1
+    of, run = np.concatenate(ofs), np.concatenate(runs)
+    both = np.unique(of * base + run)
+    return both // base, both % base
+
+
+def alike(sketch: np.ndarray, tree: int, least: int, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs of rows that agree in ``least`` places or more; with ``fresh`` only pairs of a row with it and one without matter.
 
-    A pair in different trees has one end outside the largest, so only those rows are held against all.
+    Rows are sorted as the tree's leaves are, and neighbours, whose common prefix is the longest, are joined first. Prefixes are then shortened up to the root that these rows share: a pair in different parts of the forest has one end outside the largest, so only those rows are still held against all.
     """
-    n, a, b = len(sketch), [], []
-    root, looked = np.arange(n), np.zeros(n, bool)
+    order = np.lexsort(sequence(sketch, tree).T[::-1])
+    sketch, fresh = sketch[order], None if fresh is None else fresh[order]
+    p, q = spanning(sketch, least, fresh)
+    return order[p], order[q]
+
+
+def spanning(sketch: np.ndarray, least: int, fresh: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    n = len(sketch)
+    close = (sketch[1:] == sketch[:-1]).sum(1) >= least
+    if fresh is not None:
+        close &= fresh[1:] != fresh[:-1]
+    a, b = np.flatnonzero(close).tolist(), (np.flatnonzero(close) + 1).tolist()
+    root = np.concatenate(([0], np.cumsum(~close)))
+    root, looked = np.unique(root, return_index=True)[1][root], np.zeros(n, bool)
     while True:
         counts = np.bincount(root, minlength=n)
         rest = np.flatnonzero((root != counts.argmax()) & ~looked)
@@ -109,127 +160,173 @@ def shared(of: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def near_texts(docs: DataFrame, threshold: float = 0.8, width: int = 5, target: float = TARGET) -> DataFrame:
+def partners(sketch: np.ndarray, least: int, chunk: np.ndarray | None = None) -> np.ndarray:
+    """Which rows agree with another one (of another chunk, if there are two) in ``least`` places or more."""
+    out = np.zeros(len(sketch), bool)
+    for lo in range(0, len(sketch), ROWS):
+        part = np.zeros((min(ROWS, len(sketch) - lo), len(sketch)), np.int16)
+        for place in sketch.T:
+            part += place[lo : lo + ROWS, None] == place[None, :]
+        hits = part >= least
+        hits[np.arange(len(hits)), lo + np.arange(len(hits))] = False
+        if chunk is not None:
+            hits &= chunk[lo : lo + ROWS, None] != chunk[None, :]
+        out[lo : lo + ROWS] |= hits.any(1)
+    return out
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and where each group begins (and the end), of rows that come sorted by ``keys``; the last group of a batch waits for the next batch."""
+
+    def cuts(t: pa.Table) -> np.ndarray:
+        columns = [t[n].to_numpy() for n in keys]
+        return np.concatenate(([0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1, [t.num_rows]))
+
+    wait = None
+    for batch in batches:
+        wait = pa.concat_tables([*([wait] if wait else []), pa.Table.from_batches([batch])])
+        at = cuts(wait)
+        if len(at) > 2:
+            yield wait.slice(0, int(at[-2])), at[:-1]
+            wait = wait.slice(int(at[-2])).combine_chunks()
+    if wait and wait.num_rows:
+        yield wait, cuts(wait)
+
+
+def sketches(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(t.num_rows, -1)
+
+
+def prefix_groups(nodes: DataFrame, threshold: float, target: float) -> DataFrame:
+    """(prefix, t, chunks, member): the nodes under each root of the trees' tries.
+
+    A root is the shortest prefix, by trie node, under which at most ``TOGETHER`` nodes stand; where even the longest prefix that the target allows has more, these are dealt out as chunks. Nodes with short prefixes meet the target in few trees and stand in no others; only those of crowded prefixes go on to all trees.
+    """
+    shortest, longest = depths(threshold, target)
+    few, span = min(TREES, trees_for(threshold, target, shortest)), range(shortest, longest + 1)
+    prefix = [F.xxhash64("t", F.lit(d), F.expr(f"substring(sig, t * {2 * OWN} + 1, {2 * d})")) for d in span]
+
+    def places(of: DataFrame, lo: int, hi: int) -> DataFrame:
+        return of.select(F.col("node").alias("member"), "sig", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("t")).select("member", "t", F.array(*prefix).alias("path"))
+
+    def at_level(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        rows = rows.withColumn("prefix", F.col("path")[k])
+        shared = checkpoint(rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        crowded = (F.col("n") > TOGETHER) & F.lit(k + 1 < len(span))
+        found = rows.join(shared.filter(~crowded).select("prefix", F.ceil(F.col("n") / TOGETHER).cast("int").alias("chunks")), "prefix")
+        return rows, found.select("prefix", "t", "chunks", "member"), shared.filter(crowded).select("prefix")
+
+    first = places(nodes, 0, few)
+    rows, found, crowded = at_level(first, 0)
+    if crowded.limit(1).count():
+        # In the other trees they stand beside one another only: a pair with one end elsewhere is met in the first ones.
+        pressed = rows.join(small(checkpoint(crowded), 100_000), "prefix", "left_semi").select(F.col("member").alias("node")).distinct()
+        rest = places(nodes.join(checkpoint(pressed), "node", "left_semi"), few, TREES) if few < TREES else None
+        rows = first if rest is None else first.unionByName(rest)
+        rows, found, crowded = at_level(rows, 0)
+        for k in range(1, len(span)):
+            rows, more, crowded_next = at_level(rows.join(small(checkpoint(crowded), 100_000), "prefix", "left_semi").drop("prefix"), k)
+            found, crowded = found.unionByName(more), crowded_next
+    return found
+
+
+def near_texts(docs: DataFrame, threshold: float = 0.8, width: int = 5, target: float = TARGET, slack: float | None = SLACK) -> DataFrame:
     """``docs`` with ``n_links`` (other rows whose text is near), ``component_id`` (smallest doc_id reachable by links) and ``kept`` (this row is the one of its component that stays).
 
-    Texts are near if the sets of their shingles of ``width`` words, as they are, have a Jaccard coefficient of ``threshold`` or more; a text of fewer words is one shingle of its own. Null and empty texts are near nothing: no links, their own doc_id, kept. A row without doc_id counts as one with the smallest number. Rows that repeat are linked, and of rows that repeat doc_id and text one is kept. An empty table gives no rows. Columns of ``docs`` with the names added are replaced.
+    Texts are near if the sets of their shingles of ``width`` words, as they are, have a Jaccard coefficient of ``threshold`` or more; a text of fewer words is one shingle of its own. Null and empty texts are near nothing: no links, their own doc_id, kept. A row without doc_id counts as one with the smallest number. Rows that repeat are linked; of a component's rows one is kept, of those with the smallest doc_id one text, and of rows that repeat both one. Texts may be of any length. An empty table gives no rows. Columns of ``docs`` with the names added are replaced; other names are free.
 
-    Equal texts are one node. Nodes with a prefix in common in some tree whose signatures agree nearly enough form clusters; within a cluster every pair is verified by its texts and only counts and spanning trees leave the task. Groups and clusters of any size are dealt out as pairs of chunks.
+    Equal texts are one node. Nodes under one root of a trie whose signatures agree nearly enough are joined, and so form clusters; in these the nodes that have a partner by signature are verified by their words, and only counts and spanning trees leave a task. Groups and clusters of any size are dealt out as pairs of chunks. ``slack`` is how many standard deviations a signature may lie under the threshold to be verified; with None all pairs under a root are.
     """
-    columns = [c for c in docs.columns if c not in ("n_links", "component_id", "kept", "__node", "__id", "__n")]
-    docs = small_batches(docs).select(*columns).withColumns({"__node": F.xxhash64("text"), "__id": F.coalesce("doc_id", F.lit(-(1 << 63)))})
-    depth = depth_for(threshold, target)
-    raw = F.col("text").cast("binary").alias("text")
+    spark, rows = docs.sparkSession, carried(docs, ("n_links", "component_id", "kept"))
+    full = F.col("row.text")
+    rows = rows.withColumns({"own_node": F.xxhash64(F.sha2(full, 256)), "own_id": F.coalesce("row.doc_id", F.lit(-(1 << 63)))})
+    raw = full.cast("binary").alias("text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in textvec.chunks(batch["text"].to_pylist()):
-                at, sig = signatures(c, width, TREES * DEPTH)
+                at, sig = signatures(c, width)
                 if len(at):
                     own = batch.take(pa.array(c.at + at))
-                    prefix = np.ascontiguousarray(sig.reshape(len(at), TREES, DEPTH)[:, :, :depth]).astype(np.uint64)
-                    up = textvec.powers(textvec.BASES[1], depth)[0]
-                    tree = textvec.mix((prefix * up).sum(2) + np.arange(TREES, dtype=np.uint64))
-                    sketch = textvec.mix(sig.astype(np.uint64)).astype(np.uint8)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * TREES, pa.int32()), pa.array(tree.view(np.int64).ravel()))
                     size = pa.array([len(c.texts[i]) for i in at], pa.int64())
-                    yield pa.RecordBatch.from_arrays([own["__node"], own["__id"], size, lists, pa.array([s.tobytes() for s in sketch], pa.binary())], ["node", "id", "size", "tree", "sketch"])
+                    yield pa.RecordBatch.from_arrays([own["own_node"], own["own_id"], size, pa.array([s.tobytes() for s in sig], pa.binary())], ["node", "id", "size", "sig"])
 
-    signed = docs.select("__node", "__id", raw).mapInArrow(sign, "node long, id long, size long, tree array<long>, sketch binary")
-    nodes = checkpoint(signed.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("tree").alias("tree"), F.first("sketch").alias("sketch")))
+    with short_batches(spark):
+        signed = rows.select("own_node", "own_id", raw).mapInArrow(sign, "node long, id long, size long, sig binary")
+        nodes = checkpoint(signed.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")))
 
-    # Prefixes that stand alone leave before the sketches are dealt out.
-    places = nodes.select(F.col("node").alias("member"), F.posexplode("tree").alias("t", "prefix"))
-    met = checkpoint(places.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("prefix", F.ceil(F.col("n") / TOGETHER).cast("int").alias("chunks")))
-    dealt = chunk_pairs(places.join(met, "prefix"), "member").select("prefix", "a", "b", "chunk", "member")
-    dealt = dealt.join(nodes.select(F.col("node").alias("member"), "sketch"), "member")
-    least = int(np.floor(TREES * DEPTH * threshold - SLACK * np.sqrt(TREES * DEPTH * threshold * (1 - threshold))))
+    places = TREES * OWN
+    least = 0 if slack is None else max(0, math.floor(places * threshold - slack * math.sqrt(places * threshold * (1 - threshold))))
+    members = chunk_pairs(prefix_groups(nodes, threshold, target), "member")
+    dealt = members.join(nodes.select(F.col("node").alias("member"), "sig"), "member")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by group; the last group of a batch waits for the next batch.
-        wait = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            wait = pa.concat_tables([wait, now]) if wait else now
-            keys = group_ids(wait)
-            if keys[0] != keys[-1]:
-                cut = int(np.searchsorted(keys, keys[-1]))
-                yield from linked(wait.slice(0, cut))
-                wait = wait.slice(cut).combine_chunks()
-        if wait:
-            yield from linked(wait)
-
-    def group_ids(t: pa.Table) -> np.ndarray:
-        p, a, b = (t[n].to_numpy() for n in ("prefix", "a", "b"))
-        return np.concatenate(([0], np.cumsum((p[1:] != p[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-
-    def linked(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        member, chunk, a, b = (t[n].to_numpy() for n in ("member", "chunk", "a", "b"))
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(member), -1)
-        keys, out = group_ids(t), []
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
-        two = cuts[:-1][np.diff(cuts) == 2]
-        two = two[((a[two] == b[two]) | (chunk[two] != chunk[two + 1])) & ((sketch[two] == sketch[two + 1]).sum(1) >= least)]
-        out.append((member[two], member[two + 1]))
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi - lo > 2:
-                p, q = alike(sketch[lo:hi], least, chunk[lo:hi] if a[lo] != b[lo] else None)
-                out.append((member[lo + p], member[lo + q]))
-        p, q = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], ["a", "b"])
+        for t, cuts in grouped(batches, ["prefix", "a", "b"]):
+            member, chunk, a, b, tree = (t[n].to_numpy() for n in ("member", "chunk", "a", "b", "t"))
+            sketch, out = sketches(t), []
+            two = cuts[:-1][np.diff(cuts) == 2]
+            two = two[((a[two] == b[two]) | (chunk[two] != chunk[two + 1])) & ((sketch[two] == sketch[two + 1]).sum(1) >= least)]
+            out.append((member[two], member[two + 1]))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi - lo > 2:
+                    p, q = alike(sketch[lo:hi], int(tree[lo]), least, chunk[lo:hi] if a[lo] != b[lo] else None)
+                    out.append((member[lo + p], member[lo + q]))
+            p, q = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], ["a", "b"])
 
     keys = ["prefix", "a", "b"]
-    laid = dealt.select(*keys, "chunk", "member", "sketch").repartition(*keys).sortWithinPartitions(*keys, "member")
+    laid = dealt.select(*keys, "t", "chunk", "member", "sig").repartition(*keys).sortWithinPartitions(*keys, "member")
     clusters = components(laid.mapInArrow(candidates, "a long, b long"))
 
-    # Only texts in a cluster go on, one of each node.
-    cluster = checkpoint(clusters.join(nodes.select("node", "id", "size", "copies"), "node"))
+    # Within a cluster, pairs of chunks are looked through by signature: only texts with a partner there go on.
+    cluster = checkpoint(clusters.join(nodes.select("node", "id", "size", "copies", "sig"), "node"))
     sizes = cluster.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER), F.ceil(F.sum("size") / BYTES)).cast("int").alias("chunks"))
-    counted = cluster.join(sizes, "component")
-    counted = checkpoint(counted)
-    total = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("size") * F.col("chunks")), F.lit(0)).alias("bytes")).first()
+    keys = ["component", "a", "b"]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in grouped(batches, keys):
+            chunk, a, b = (t[n].to_numpy() for n in ("chunk", "a", "b"))
+            sketch, keep = sketches(t), np.zeros(t.num_rows, bool)
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                keep[lo:hi] = partners(sketch[lo:hi], least, chunk[lo:hi] if a[lo] != b[lo] else None) if hi - lo > 2 else hi - lo == 2
+            yield from t.filter(pa.array(keep)).select(names).to_batches()
+
+    names = ["node", "id", "size", "copies", "component", "chunk", "a", "b"]
+    looked = chunk_pairs(cluster.join(sizes, "component"), "node").repartition(*keys).sortWithinPartitions(*keys, "node")
+    wanted = checkpoint(looked.select(*names, "sig").mapInArrow(look, "node long, id long, size long, copies long, component long, chunk int, a int, b int"))
+    total = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     bits = bloom.bits_for(total["n"])
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from bloom.gathered((textvec.mix(batch["node"].to_numpy().view(np.uint64)) for batch in batches), bits, 2)
 
-    wanted, _ = bloom.build(counted.select("node").mapInArrow(seen, bloom.BLOBS), bits)
+    in_use = spark.sparkContext.broadcast(bloom.build(wanted.select("node").mapInArrow(seen, bloom.BLOBS), bits)[0])
 
     @F.pandas_udf("boolean")
     def in_cluster(node: pd.Series) -> pd.Series:
-        return pd.Series(bloom.contains(wanted.value, textvec.mix(node.to_numpy().view(np.uint64)), 2))
+        return pd.Series(bloom.contains(in_use.value, textvec.mix(node.to_numpy().view(np.uint64)), 2))
 
-    texts = docs.select("__node", "__id", raw).filter(in_cluster("__node"))
-    texts = texts.join(counted, (F.col("__node") == F.col("node")) & (F.col("__id") == F.col("id"))).select("node", "component", "copies", "chunks", "text")
-    texts = chunk_pairs(texts, "node")
+    texts = rows.select("own_node", "own_id", raw).filter(in_cluster("own_node"))
+    texts = texts.join(wanted, (F.col("own_node") == F.col("node")) & (F.col("own_id") == F.col("id"))).select(*(n for n in names if n not in ("id", "size")), "text")
     buckets = max(1, total["bytes"] // (2 * BYTES))
-    texts = texts.withColumn("bucket", F.pmod(F.xxhash64("component", "a", "b"), F.lit(buckets)))
+    texts = texts.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
 
     def verify(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("component", "ascending"), ("a", "ascending"), ("b", "ascending"), ("node", "ascending")])
-        node, component, copies, chunk, a, b = (t[n].to_numpy() for n in ("node", "component", "copies", "chunk", "a", "b"))
-        texts = t["text"].to_pylist()
+        t = t.sort_by([*((k, "ascending") for k in keys), ("node", "ascending")])
+        node, copies, chunk, component, a, b = (t[n].to_numpy() for n in ("node", "copies", "chunk", *keys))
+        new = np.concatenate(([True], (component[1:] != component[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         # Rows that repeat doc_id and text.
-        once = np.concatenate(([True], (node[1:] != node[:-1]) | (component[1:] != component[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        node, component, copies, chunk, a, b = (x[once] for x in (node, component, copies, chunk, a, b))
-        texts = [x for x, keep in zip(texts, once, strict=True) if keep]
-        cuts = np.concatenate(([0], np.flatnonzero((component[1:] != component[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [len(node)]))
+        once = np.flatnonzero(new | np.concatenate(([True], node[1:] != node[:-1])))
+        texts = t["text"].take(pa.array(once)).to_pylist()
+        new, node, copies, chunk, a, b = (x[once] for x in (new, node, copies, chunk, a, b))
+        cuts = np.concatenate((np.flatnonzero(new), [len(node)]))
         out = []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             n = hi - lo
             if n < 2:
                 continue
-            ofs, hs = [], []
-            for c in textvec.chunks(texts[lo:hi]):
-                h, of = shingles(c, width)
-                ofs.append(of + c.at)
-                hs.append(h)
-            of, h = np.concatenate(ofs), np.concatenate(hs)
-            order = np.lexsort((h, of))
-            of, h = of[order], h[order]
-            first = np.concatenate(([True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])))
-            of, h = of[first], h[first]
-            inter, size = shared(of, h, n), np.bincount(of, minlength=n)
+            of, which = exact_shingles(texts[lo:hi], width)
+            inter, size = shared(of, which, n), np.bincount(of, minlength=n)
             near = inter / np.maximum(size[:, None] + size[None, :] - inter, 1) >= threshold
             np.fill_diagonal(near, False)
             if a[lo] != b[lo]:
@@ -241,27 +338,30 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, width: int = 5, target:
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table(columns, names=["a", "b", "n"])
 
-    found = checkpoint(texts.groupBy("bucket").applyInArrow(verify, "a long, b long, n long"))
+    with short_batches(spark):
+        found = checkpoint(texts.groupBy("bucket").applyInArrow(verify, "a long, b long, n long"))
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     joined = nodes.select("node", "id", "copies").join(links, "node", "left").join(components(found.select("a", "b")), "node", "left")
     joined = checkpoint(joined.withColumn("component", F.coalesce("component", "node")))
-    least_id = joined.groupBy("component").agg(F.min("id").alias("least"))
-    plain = joined.filter("linked is null").select("node", F.col("id").alias("least"), (F.col("copies") - 1).alias("n"))
-    near = joined.filter("linked is not null").join(least_id, "component").select("node", "least", (F.col("copies") - 1 + F.col("linked")).alias("n"))
+    first = joined.groupBy("component").agg(F.min(F.struct("id", "node")).alias("first"))
+    plain = joined.filter("linked is null").select("node", F.col("id").alias("least"), F.col("node").alias("keeper"), (F.col("copies") - 1).alias("n"))
+    near = joined.filter("linked is not null").join(first, "component").select("node", F.col("first.id").alias("least"), F.col("first.node").alias("keeper"), (F.col("copies") - 1 + F.col("linked")).alias("n"))
     # Most nodes have no company; their own id says it all, so only the others are looked up.
-    told = small(checkpoint(near.unionByName(plain.filter("n > 0"))), 100_000).withColumnRenamed("node", "__n")
-    out = docs.join(told, F.col("__node") == F.col("__n"), "left")
-    out = out.withColumns({"n_links": F.coalesce("n", F.lit(0)).cast("long"), "component_id": F.coalesce("least", "__id")}).withColumn("kept", F.col("__id") == F.col("component_id"))
+    told = small(checkpoint(near.unionByName(plain.filter("n > 0"))), 100_000)
+    out = rows.join(told, F.col("own_node") == F.col("node"), "left")
+    stays = F.col("node").isNull() | ((F.col("own_id") == F.col("least")) & (F.col("node") == F.col("keeper")))
+    out = out.select("row", "own_node", "own_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "own_id").alias("component_id"), stays.alias("kept"))
     # Repeated rows are rare: only if there are any, one of each is chosen.
-    repeats = docs.filter(F.length("text") > 0).groupBy(F.col("__id").alias("i"), F.col("__node").alias("m")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    repeats = rows.filter(F.length(full) > 0).groupBy(F.col("own_id").alias("i"), F.col("own_node").alias("m")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     if repeats.limit(1).count():
-        same = (F.col("__id") == F.col("i")) & (F.col("__node") == F.col("m"))
-        nth = F.row_number().over(Window.partitionBy("__id", "__node").orderBy(F.xxhash64(*columns)))
+        same = (F.col("own_id") == F.col("i")) & (F.col("own_node") == F.col("m"))
+        nth = F.row_number().over(Window.partitionBy("own_id", "own_node").orderBy(F.xxhash64("row")))
         out = out.join(repeats, same, "left_anti").unionByName(out.join(repeats, same, "left_semi").withColumn("kept", F.col("kept") & (nth == 1)))
-    return out.select(*columns, "n_links", "component_id", "kept")
+    return released(out, n_links=F.col("n_links"), component_id=F.col("component_id"), kept=F.col("kept"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, n_links, component_id, kept; cases as in ``near_texts``."""
     return near_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_links", "component_id", "kept")
 
 

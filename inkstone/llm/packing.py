@@ -3,80 +3,102 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small, small_batches, table, text_key
+from .common import checkpoint, short_batches, small, table, text_key
 from .subset_sum import closest_fill
 
 END = 2
 #: Numbering within a length is dealt over so many hash groups, as one length may hold a third of all pieces.
 SALTS = 64
-#: Entries a worker's word caches may hold; a full cache starts anew.
-CACHED = 200_000
+#: Parts of texts that a worker's cache may hold; a full cache starts anew.
+CACHED = 400_000
+#: Bytes of a text that are cut into parts at a time.
+PIECE = 1 << 20
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+LETTERS = re.compile(rb"([A-Za-z]+)([.,;:!?]*)").fullmatch
 
 
 class WordTokenizer:
-    """Token ids of whole texts as little-endian 32-bit bytes, by way of a cache of words.
+    """Token ids of whole texts as little-endian 32-bit bytes, by way of a cache of their parts.
 
-    The tokenizer drops white space before it looks for words, so the ids of a text are those of its white-space-separated parts. A part in Latin letters is folded and cut by the tokenizer's own pattern and its pieces go to the tokenizer's model; any other part, or one that may hold a special token, goes to the tokenizer whole.
+    The tokenizer drops white space and no token of its reaches across it, so the ids of a text are those of its white-space-separated parts, one after another. Every part goes to the tokenizer itself, as it is; only ASCII white space cuts. New parts go there together, with a special token between them.
     """
 
     def __init__(self, path: str):
-        import json
-
-        import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            self.pattern = regex.compile(json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        #: The characters that stand for the bytes of each letter outside ASCII.
-        self.bytes = {c: level(chr(c))[0][0] for c in range(0x80, 0x250)}
-        self.model = self.whole.model
-        self.plain = re.compile("[\x21-įĲ-ɏ]*").fullmatch
-        # Letters and then marks: two pieces, as the tokenizer's pattern would have it.
-        self.simple = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)").fullmatch
-        self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
-        if found is None:
-            if len(self.pieces) >= CACHED:
-                self.pieces.clear()
-            found = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.bytes))]).tobytes()
-        return found
-
-    def part(self, text: str) -> bytes:
-        if found := self.simple(text.lower()):
-            letters, marks = found.groups()
-            ids = self.pieces.get(letters) or self.piece(letters)
-            if marks:
-                ids += self.pieces.get(marks) or self.piece(marks)
-        elif self.plain(text) and "<|" not in text:
-            ids = b"".join(map(self.piece, self.pattern(unicodedata.normalize("NFC", text).lower())))
-        else:
-            ids = b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
-        if len(self.parts) >= CACHED:
-            self.parts.clear()
-        if len(text) <= 64:
-            self.parts[text] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        # Each of these four counts as white space to Python but not to the tokenizer.
-        parts = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else [p for p in re.split("[ \t\n\r\f\v]+", text) if p]
-        get, part = self.parts.get, self.part
-        return b"".join([get(p) or part(p) for p in parts])
+        self.between, self.between_id = min((t.content, i) for i, t in self.whole.get_added_tokens_decoder().items())
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, parts: list[bytes]) -> list[bytes]:
+        (found,) = self.whole.encode_batch_fast([self.between.join(p.decode() for p in parts)], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        cuts = np.flatnonzero(ids == self.between_id).tolist()
+        raw = ids.tobytes()
+        return [raw[4 * a + 4 : 4 * b] for a, b in zip([-1, *cuts], [*cuts, len(ids)], strict=True)]
+
+    def learn(self, parts: set[bytes]) -> None:
+        """Ids of new parts. Small ASCII letters are one piece to the tokenizer, so they go to its model; the same letters in capitals or before closing marks are looked up by them. A part that may hold a special token goes alone."""
+        known, model = self.known, self.whole.model.tokenize
+        others, alone = [], []
+        for part in parts:
+            if found := LETTERS(part):
+                letters, marks = found.groups()
+                low = letters.lower()
+                if low not in known:
+                    known[low] = array("I", [t.id for t in model(low.decode())]).tobytes()
+                if marks:
+                    if marks not in known:
+                        known[marks] = self.encode([marks])[0]
+                    known[part] = known[low] + known[marks]
+                elif part != low:
+                    known[part] = known[low]
+            else:
+                (alone if b"<|" in part else others).append(part)
+        known.update(zip(others, self.encode(others), strict=True) if others else ())
+        known.update((p, array("I", self.whole.encode(p.decode(), add_special_tokens=False).ids).tobytes()) for p in alone)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        for together in pieces(texts):
+            if len(self.known) > CACHED:
+                self.known = {}
+            known = self.known
+            found = [list(map(known.get, parts)) for _, parts in together]
+            missing = [[k for k, x in enumerate(own) if x is None] for own in found]
+            self.learn({parts[k] for (_, parts), lack in zip(together, missing, strict=True) for k in lack})
+            for (i, parts), own, lack in zip(together, found, missing, strict=True):
+                for k in lack:
+                    own[k] = known[parts[k]]
+                out[i].append(b"".join(own))
+        return [b"".join(x) for x in out]
+
+
+def pieces(texts: list[str]) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """The parts of the texts between ASCII white space, with the text's place; of about ``PIECE`` bytes at a time, so that memory does not grow with one very long text."""
+    together, size = [], 0
+    for i, text in enumerate(t.encode() for t in texts):
+        at = 0
+        while at < len(text):
+            space = SPACE.search(text, at + PIECE)
+            end = space.start() if space else len(text)
+            together.append((i, text[at:end].split()))
+            size += end - at
+            at = end
+            if size >= PIECE:
+                yield together
+                together, size = [], 0
+    yield together
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -134,14 +156,15 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFram
 
     A document is its ids and an end id; null text counts as empty and gives the end id alone. Documents longer than ``capacity`` are cut at its multiples. The remainders are packed whole by ``plan_windows``; pieces of lengths that nothing completes are laid end to end and cut at window borders, and what is left at the end is cut into sequences whose lengths are powers of two, so no sequence needs padding. Rows that repeat are packed each; an empty table gives no rows; other columns are ignored.
     """
-    docs = small_batches(docs).select("doc_id", "text", text_key(F.col("text")).alias("tkey"))
+    docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("tkey"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = tokenizer(tokenizer_path).ids
         for batch in batches:
             doc, key, start, length, crc, total = [], [], [], [], [], []
-            for i, k, text in zip(batch["doc_id"].to_pylist(), batch["tkey"].to_pylist(), batch["text"], strict=True):
-                ids = ids_of(text.as_py() or "") + END.to_bytes(4, "little")
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            for i, k, ids in zip(batch["doc_id"].to_pylist(), batch["tkey"].to_pylist(), ids_of(texts), strict=True):
+                ids += END.to_bytes(4, "little")
                 n = len(ids) // 4
                 for s in range(0, n, capacity):
                     own = ids[4 * s : 4 * (s + capacity)]
@@ -149,13 +172,14 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64())], names)
 
     names = ["doc_id", "tkey", "start", "length", "ids_crc32", "doc_tokens"]
-    pieces = checkpoint(docs.mapInArrow(cut, ", ".join(f"{n} long" for n in names)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "tkey", "start"), F.lit(SALTS)).cast("int")))
+    with short_batches(docs.sparkSession):
+        cut_up = checkpoint(docs.mapInArrow(cut, ", ".join(f"{n} long" for n in names)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "tkey", "start"), F.lit(SALTS)).cast("int")))
     # At most capacity * SALTS rows, whatever the input: they are numbered and broadcast whole.
-    by_salt = checkpoint(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")))
+    by_salt = checkpoint(cut_up.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")))
     counts = {int(r["length"]): int(r["n"]) for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_windows(counts, capacity)
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "tkey", "start")) - 1
-    numbered = pieces.withColumn("i", within).join(F.broadcast(by_salt.select("length", "salt", "before")), ["length", "salt"]).withColumn("i", F.col("i") + F.col("before"))
+    numbered = cut_up.withColumn("i", within).join(F.broadcast(by_salt.select("length", "salt", "before")), ["length", "salt"]).withColumn("i", F.col("i") + F.col("before"))
 
     placed = [*names, "sequence_id", "offset"]
     spark = docs.sparkSession
@@ -192,8 +216,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFram
         ids_of = tokenizer(tokenizer_path).ids
         for batch in batches:
             rows = []
-            for i, k, text, own in zip(batch["doc_id"].to_pylist(), batch["tkey"].to_pylist(), batch["text"].to_pylist(), batch["parts"].to_pylist(), strict=True):
-                ids = ids_of(text or "") + END.to_bytes(4, "little")
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            for i, k, ids, own in zip(batch["doc_id"].to_pylist(), batch["tkey"].to_pylist(), ids_of(texts), batch["parts"].to_pylist(), strict=True):
+                ids += END.to_bytes(4, "little")
                 rows += [(i, k, p["start"], p["length"], zlib.crc32(ids[4 * p["start"] : 4 * (p["start"] + p["length"])]), p["doc_tokens"], p["sequence_id"], p["offset"]) for p in own]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 8)], placed)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import small_batches, table
+from .common import short_batches, table
 
 #: Hash space of the features: the model is always 2**BITS weights and a bias, 1 MB.
 BITS = 18
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights fitted on at most ``sample`` labelled documents that are not held out. Null labels and ids are left out, a doc_id labelled twice has its lower label; without examples of both labels all weights but the bias may be 0."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    picked = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
     # One task, of at most ``sample`` rows; ties and repeated rows are all examples.
     rows = picked.mapInArrow(sparse, "doc_id long, label int, at binary, x binary").withColumn("order", F.xxhash64("doc_id", F.lit(7)))
-    got = rows.repartition(1).sortWithinPartitions("order", "doc_id").mapInArrow(learn, "weights binary").first()
+    with short_batches(docs.sparkSession):
+        got = rows.repartition(1).sortWithinPartitions("order", "doc_id").mapInArrow(learn, "weights binary").first()
     return np.frombuffer(got["weights"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 
@@ -109,7 +110,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(scores(texts.tolist(), model.value))
 
-    out = small_batches(docs).drop("score", "predicted").withColumn("score", scored(F.col("text").cast("binary")))
+    out = docs.drop("score", "predicted").withColumn("score", scored(F.col("text").cast("binary")))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

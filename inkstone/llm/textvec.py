@@ -1,18 +1,20 @@
 """Words of many texts at once as numpy arrays: where they start and a 64-bit hash of each.
 
-Polynomial hashes by prefix sums need no Python object per word, and windows of words hash the same way from the words' hashes.
+A word's hash takes eight bytes at a time through a mixing that is not linear, so that no family of words collides by its structure; windows of words are hashed the same way from the words' hashes. Hashes only choose candidates: what is decided by words is confirmed on the words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SEGMENT = 1 << 20
+#: Bytes of a word at most that are hashed with all other words' at once; longer words are rare and hashed one by one.
+LONG = 128
+STEP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -21,6 +23,8 @@ _LOWER[65:91] += 32
 _WORD = (~_SPACE).astype(np.int8)
 _MARKED = _WORD.copy()
 _MARKED[[*range(0, 9), *range(14, 32), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = 2
+#: The low bytes of a number that belong to a word with so many bytes left.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,21 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least ``n`` of each (``n`` a power of two)."""
-
-    def run(b: int) -> np.ndarray:
-        p = np.ones(n, np.uint64)
-        p[1:] = b
-        return np.multiply.accumulate(p)
-
-    return run(base), run(pow(base, -1, 1 << 64))
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = _powers(base, 1 << max(10, int(n).bit_length()))
-    return a[:n], b[:n]
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * STEP + b
+    return (x ^ (x >> np.uint64(29))) * SPREAD
 
 
 def _segments(flat: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -57,40 +49,57 @@ def _segments(flat: np.ndarray) -> Iterator[tuple[int, int]]:
             if len(back):
                 end -= int(back[0])
             else:
-                ahead = np.flatnonzero(_SPACE[flat[end:]])
-                end = end + int(ahead[0]) if len(ahead) else len(flat)
+                while end < len(flat) and not _SPACE[flat[end : end + SEGMENT]].any():
+                    end += SEGMENT
+                if end < len(flat):
+                    end += int(_SPACE[flat[end : end + SEGMENT]].argmax())
+                end = min(end, len(flat))
         yield at, end
         at = end
 
 
+def hashed(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words at these places."""
+    size = ends - starts
+    eights = np.ndarray((len(flat) + 1,), "<u8", buffer=np.concatenate((flat, np.zeros(8, np.uint8))), strides=(1,))
+    out = mix((eights[starts] & _KEEP[np.minimum(size, 8)]) + size.astype(np.uint64) * SPREAD)
+    more, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(more):
+        out[more] = mix(out[more] * STEP + (eights[starts[more] + done] & _KEEP[np.minimum(size[more] - done, 8)]))
+        done += 8
+        more = more[size[more] > done]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(blake2b(flat[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def words(flat: np.ndarray, lower: bool = False, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words in UTF-8 bytes; ``lower`` folds A-Z in the hashes, ``marks`` makes runs of ASCII marks words of their own."""
     starts, ends, hashes = [], [], []
     for lo, hi in _segments(flat):
         part = flat[lo:hi]
-        kind = np.concatenate(([0], (_MARKED if marks else _WORD)[part], [0]))
-        edge = np.flatnonzero(np.diff(kind))
+        kind = np.zeros(len(part) + 2, np.int8)
+        kind[1:-1] = (_MARKED if marks else _WORD)[part]
+        edge = np.flatnonzero(kind[1:] != kind[:-1])
         s, e = edge[kind[edge + 1] > 0], edge[kind[edge] > 0]
-        up, down = powers(BASES[0], len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(((_LOWER[part] if lower else part).astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
         starts.append(s + lo)
         ends.append(e + lo)
-        hashes.append(mix((total[e] - total[s]) * down[s]))
+        hashes.append(hashed(_LOWER[part] if lower else part, s, e))
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
 
 
-def windows(hashes: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """A hash of each run of ``width`` items; windows that cross texts are the caller's to leave out."""
+def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` items, by doubling; windows that cross texts are the caller's to leave out."""
     if len(hashes) < width:
         return np.zeros(0, np.uint64)
-    up, down = powers(BASES[which], len(hashes) + 1)
-    items = hashes if not which else mix(hashes + np.uint64(0xD6E8FEB86659FD93))
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(items * up[:-1], out=total[1:])
-    return mix((total[width:] - total[:-width]) * down[: len(hashes) - width + 1])
+    out, have = hashes, 1
+    while have < width:
+        step = min(have, width - have)
+        out = joined(out[:-step], out[step:])
+        have += step
+    return mix(out + np.uint64(width))
 
 
 @dataclass
