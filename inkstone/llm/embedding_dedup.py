@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, small, table
 from .graph import components, forest
 from .topk import whole
 
-#: Codewords of each half; vectors that the codebooks are fitted on at most (those of the lowest hash); rows of a list in one task.
-CODEWORDS, SAMPLE, CHUNK = 64, 20_000, 2_048
+#: Codewords of each half grow with the square root of the vectors, between these; vectors that the codebooks are fitted on at most (those of the lowest hash); vectors of a tile in one task.
+FEWEST, MOST, SAMPLE, CHUNK = 16, 1_024, 20_000, 4_096
 #: Share of links at the threshold that a visit is meant to find, from one of its two ends.
 TARGET = 0.995
 
@@ -33,7 +31,9 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         for j in range(len(centres)):
             if (mine := own == j).any():
                 centres[j] = x[mine].mean(0)
-    return centres
+    # Along the direction in which they differ most, so that neighbours stand close to one another.
+    _, _, axes = np.linalg.svd(centres - centres.mean(0), full_matrices=False)
+    return centres[np.argsort(centres @ axes[0], kind="stable")] if len(centres) > 1 else centres
 
 
 def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,41 +55,44 @@ def calibrate(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: fl
     return float(np.quantile(excess, target))
 
 
-def traverse(first: np.ndarray, second: np.ndarray, excess: float) -> list[tuple[int, int]]:
-    """Multi-sequence traversal: cells (i, j) by rising sum of the two distances, until the sum is ``excess`` over the least."""
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    most = first[a[0]] + second[b[0]] + excess
-    heap, seen, cells = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, []
-    while heap:
-        total, i, j = heapq.heappop(heap)
-        if total > most:
-            break
-        cells.append((int(a[i]), int(b[j])))
-        for p, q in ((i + 1, j), (i, j + 1)):
-            if p < len(a) and q < len(b) and (p, q) not in seen:
-                seen.add((p, q))
-                heapq.heappush(heap, (first[a[p]] + second[b[q]], p, q))
-    return cells
+def traverse(first: np.ndarray, second: np.ndarray, excess: float) -> tuple[np.ndarray, np.ndarray]:
+    """Multi-sequence traversal for each row: along the two sorted sequences of distances, cells (i, j) by rising sum, until the sum is ``excess`` over the least. Gives how far the second may lie for each i (nothing where that is below the nearest), and the row's bound."""
+    most = first.min(1) + second.min(1) + excess
+    return most[:, None] - first, most
+
+
+def tiles_of(first: np.ndarray, second: np.ndarray, excess: float, grid: int) -> list[np.ndarray]:
+    """The tiles, blocks of neighbouring cells, that each row's traversal comes to."""
+    reach, _ = traverse(first, second, excess)
+    rows = np.arange(first.shape[1]) * grid // first.shape[1]
+    columns = np.arange(second.shape[1]) * grid // second.shape[1]
+    near = np.stack([second[:, columns == c].min(1, initial=np.inf) for c in range(grid)], 1) - 1e-9
+    far = np.stack([reach[:, rows == r].max(1, initial=-np.inf) for r in range(grid)], 1)
+    return [np.flatnonzero(x) for x in (far[:, :, None] >= near[:, None, :]).reshape(len(first), -1)]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target: float = TARGET) -> DataFrame:
     """One row for each of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
-    Vectors with equal, non-null labels and a cosine of ``threshold`` or more, in double precision, are linked; a null vector or label, a zero vector, null or non-finite components, and vectors of another length link with nothing. ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest vec_id reachable. Rows that repeat a vec_id count each; exact copies are collapsed before the search and counted by their number. An empty table gives no rows; other columns are ignored.
+    Vectors with equal, non-null labels and a cosine of ``threshold`` or more, in double precision, are linked; a null vector or label, a zero vector, null or non-finite components, and vectors of another length link with nothing. ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest vec_id reachable. Rows that repeat a vec_id count each; exact copies are collapsed before the search and counted by their number. Vectors may be of any length. An empty table gives no rows; other columns are ignored.
 
-    A pair is looked for from both ends and counted once; what is found is verified, so no link is below the threshold.
+    The grid's cells are kept in tiles of neighbouring cells; a vector lies in its own cell's tile and visits the other tiles that its traversal comes to, once each. A pair is looked for from both ends and counted once; what is found is verified, so no link is below the threshold.
     """
-    double = F.transform("embedding", lambda x: x.cast("double"))
-    scaled = vectors.select("vec_id", "label", F.when(whole(F.col("embedding")), double).alias("x")).withColumn("top", F.array_max(F.transform("x", F.abs)))
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    wide = "<f4" if kind == "float" else "<f8"
+    own = F.transform("embedding", lambda x: x.cast(kind))
+    scaled = vectors.select("vec_id", "label", F.when(whole(F.col("embedding")), own).alias("x")).withColumn("top", F.array_max(F.transform("x", F.abs)))
     valid = F.col("label").isNotNull() & F.coalesce(F.col("top") > 0, F.lit(False))
     rows = checkpoint(scaled.withColumn("node", F.when(valid, F.xxhash64("label", "x"))).select("vec_id", "label", "node", F.when(valid, F.col("x")).alias("x")))
     distinct = rows.filter("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("x").alias("x"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("x"))
+    distinct = checkpoint(distinct)
     sample = distinct.select("dim", "x", "node").orderBy(F.xxhash64("node", F.lit(3)), "node").limit(SAMPLE)
+    total = distinct.count()
+    codewords = int(min(MOST, max(FEWEST, 1 << (int(np.sqrt(total)) // 4).bit_length())))
 
     def learn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(frame.sort_values("node")["x"].to_list())
-        x = unit(x)
-        books = tuple(codebook(h, CODEWORDS) for h in halves(x))
+        x = unit(np.stack(frame.sort_values("node")["x"].to_list()).astype(np.float64))
+        books = tuple(codebook(h, codewords) for h in halves(x))
         return pd.DataFrame({"dim": [key[0]], "first": [books[0].tobytes()], "second": [books[1].tobytes()], "k1": [len(books[0])], "k2": [len(books[1])], "excess": [calibrate(x[:4000], books, threshold, target)]})
 
     # One group a vector length, of a bounded sample; the books of the commonest lengths fit any driver.
@@ -97,89 +100,76 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target: float =
     models = {r["dim"]: ((np.frombuffer(r["first"]).reshape(r["k1"], -1), np.frombuffer(r["second"]).reshape(r["k2"], -1)), r["excess"]) for r in learnt}
     shared = distinct.sparkSession.sparkContext.broadcast(models)
 
+    def model(dim: int) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+        # A length that the sample lacks has a single cell.
+        return shared.value.get(dim, ((np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2))), 0.0))
+
+    def distances(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        books, excess = model(x.shape[1])
+        return *(squared(h, b) for h, b in zip(halves(x), books, strict=True)), excess
+
     def encode(batches):
         for batch in batches:
-            out = {n: [] for n in ("node", "x", "u", "v", "visits")}
-            dims = batch["dim"].to_numpy()
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                part = batch.take(pa.array(at))
-                x = unit(part["x"].flatten().to_numpy().reshape(len(at), dim))
-                # A length that the sample lacks has a single cell.
-                (b1, b2), excess = shared.value.get(int(dim), ((np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2))), 0.0))
-                d1, d2 = (squared(h, b) for h, b in zip(halves(x), (b1, b2), strict=True))
-                for k in range(len(at)):
-                    by_list: dict[int, list[int]] = {}
-                    for i, j in traverse(d1[k], d2[k], excess):
-                        by_list.setdefault(i, []).append(j)
-                    out["visits"].append([{"list": i, "cells": j} for i, j in by_list.items()])
-                out["node"] += part["node"].to_pylist()
-                out["x"] += [v.tobytes() for v in x]
-                out["u"] += d1.argmin(1).tolist()
-                out["v"] += d2.argmin(1).tolist()
-            sent = batch.to_pydict()
-            order = {n: i for i, n in enumerate(sent["node"])}
-            to = [order[n] for n in out["node"]]
-            yield pa.RecordBatch.from_pydict({"node": out["node"], "label": [sent["label"][i] for i in to], "dim": [sent["dim"][i] for i in to], "copies": [sent["copies"][i] for i in to], "x": out["x"], "u": out["u"], "v": out["v"], "visits": out["visits"]}, schema=encoded)
-
-    encoded = pa.schema([("node", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("copies", pa.int64()), ("x", pa.binary()), ("u", pa.int32()), ("v", pa.int32()), ("visits", pa.list_(pa.struct([("list", pa.int32()), ("cells", pa.list_(pa.int32()))])))])
-    index = checkpoint(distinct.withColumn("label", F.col("label").cast("long")).mapInArrow(encode, "node long, label long, dim int, copies long, x binary, u int, v int, visits array<struct<list: int, cells: array<int>>>"))
-    keys = ["label", "dim", "u"]
-    # Aliases, so that the two sides do not share column ids.
-    own = [F.col(c).alias(c) for c in ("node", "label", "dim", "copies", "x")]
-    visits = index.select(*own, F.col("u").alias("hu"), F.col("v").alias("hv"), F.explode("visits").alias("visit"))
-    asked = visits.select("node", "label", "dim", "copies", "x", "hu", "hv", F.col("visit.list").alias("u"), F.col("visit.cells").alias("cells"))
-
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(name))
-
-    # A long list and its many queries are dealt over pairs of chunks.
-    dealt = parts(index, "ni").join(parts(asked, "nq"), keys)
-    index_side = index.select("node", *keys, "copies", "x", "v").join(dealt, keys).withColumns({"ic": F.pmod(F.xxhash64("node"), F.col("ni")).cast("int"), "qc": F.explode(F.sequence(F.lit(0), F.col("nq") - 1))}).drop("ni", "nq")
-    query_side = asked.join(dealt, keys).withColumns({"qc": F.pmod(F.xxhash64("node"), F.col("nq")).cast("int"), "ic": F.explode(F.sequence(F.lit(0), F.col("ni") - 1))}).drop("ni", "nq")
-
-    def verify(queries: pa.Table, lists: pa.Table) -> pa.Table:
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        if not queries.num_rows or not lists.num_rows:
-            return empty
-        dim = int(lists["dim"][0].as_py())
-        book, excess = shared.value.get(dim, ((np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2))), 0.0))
-
-        def arrays(t: pa.Table):
-            return t["node"].to_numpy(), t["copies"].to_numpy(), np.frombuffer(b"".join(t["x"].to_pylist())).reshape(-1, dim)
-
-        (qn, qm, qx), (inode, im, ix) = arrays(queries), arrays(lists)
-        cell, hu, hv = lists["v"].to_numpy(), queries["hu"].to_numpy(), queries["hv"].to_numpy()
-        asks: dict[int, list[int]] = {}
-        for i, cells in enumerate(queries["cells"].to_pylist()):
-            for c in cells:
-                asks.setdefault(c, []).append(i)
-        d1, d2 = (squared(h, b) for h, b in zip(halves(ix), book, strict=True))
-        most = d1.min(1) + d2.min(1) + excess
+            dims, grids = batch["dim"].to_numpy(), batch["grid"].to_numpy()
+            for dim, grid in sorted(set(zip(dims.tolist(), grids.tolist(), strict=True))):
+                part = batch.take(pa.array(np.flatnonzero((dims == dim) & (grids == grid))))
+                x = part["x"].flatten().to_numpy().reshape(part.num_rows, dim)
+                first, second, excess = distances(unit(x.astype(np.float64)))
+                home = (first.argmin(1) * grid // first.shape[1]) * grid + second.argmin(1) * grid // second.shape[1]
+                visits = [t[t != h].tolist() for t, h in zip(tiles_of(first, second, excess, grid), home, strict=True)]
+                yield pa.RecordBatch.from_arrays([part["node"], part["label"], part["dim"], part["copies"], pa.array([v.astype(wide).tobytes() for v in x], pa.binary()), pa.array(home, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], ["node", "label", "dim", "copies", "x", "tile", "visits"])
+
+    # As many tiles as a label's vectors fill.
+    crowd = distinct.groupBy("label", "dim").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / CHUNK)).cast("int").alias("grid"))
+    gridded = distinct.join(small(checkpoint(crowd), 100_000), ["label", "dim"]).withColumn("label", F.col("label").cast("long"))
+    index = checkpoint(gridded.select("node", "label", "dim", "copies", "x", "grid").mapInArrow(encode, "node long, label long, dim int, copies long, x binary, tile int, visits array<int>"))
+    keys, carry = ["label", "dim", "tile"], ["node", "copies", "x"]
+    home = index.select(*keys, *carry, F.lit(True).alias("home"))
+    asked = home.unionByName(index.select("label", "dim", F.explode("visits").alias("tile"), *carry, F.lit(False).alias("home")))
+    # A full tile and its many visitors are dealt over pairs of chunks.
+    parts = asked.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count_if("home") / CHUNK)).cast("int").alias("ni"), F.ceil(F.count(F.lit(1)) / (4 * CHUNK)).cast("int").alias("nq"), F.max("home").alias("full"))
+    parts = parts.filter("full").drop("full")
+    dealt = asked.join(small(checkpoint(parts), 100_000), keys).withColumns({"i": F.pmod(F.xxhash64("node"), F.col("ni")).cast("int"), "q": F.pmod(F.xxhash64("node", F.lit(1)), F.col("nq")).cast("int")})
+    at_home = F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda b: F.struct(F.col("i").alias("ic"), b.alias("qc"), F.lit(True).alias("is_index"), (b == F.col("q")).alias("is_query")))
+    away = F.transform(F.filter(F.sequence(F.lit(0), F.col("ni") - 1), lambda a: ~F.col("home") | (a != F.col("i"))), lambda a: F.struct(a.alias("ic"), F.col("q").alias("qc"), F.lit(False).alias("is_index"), F.lit(True).alias("is_query")))
+    laid = dealt.select(*keys, *carry, F.inline(F.when(F.col("home"), F.concat(at_home, away)).otherwise(away)))
+
+    def verify(t: pa.Table) -> pa.Table:
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        node, copies = t["node"].to_numpy(), t["copies"].to_numpy()
+        x = unit(np.frombuffer(b"".join(t["x"].to_pylist()), wide).reshape(len(node), -1).astype(np.float64))
+        its, qs = (np.flatnonzero(t[n].to_numpy(zero_copy_only=False)) for n in ("is_index", "is_query"))
+        if not len(its) or not len(qs):
+            return none
+        first, second, excess = distances(x)
+        most = traverse(first, second, excess)[1]
+        u, v, nearest = first.argmin(1), second.argmin(1), second.min(1)
         found = []
-        for c in np.unique(cell):
-            if int(c) in asks:
-                qs, its = np.array(asks[int(c)]), np.flatnonzero(cell == c)
-                p, q = np.nonzero(qx[qs] @ ix[its].T >= threshold)
-                p, q = qs[p], its[q]
+        for row in np.unique(u[its]):
+            mine = its[u[its] == row]
+            for lo in range(0, len(qs), CHUNK):
+                comers = qs[lo : lo + CHUNK]
+                comers = comers[first[comers, row] + nearest[comers] <= most[comers]]
+                if not len(comers):
+                    continue
+                # Of the row's cells those within the query's reach are looked into.
+                p, q = np.nonzero((first[comers, row][:, None] + second[np.ix_(comers, v[mine])] <= most[comers][:, None]) & (x[comers] @ x[mine].T >= threshold))
+                p, q = comers[p], mine[q]
                 # Seen from both ends, a pair counts from its larger node only.
-                back = d1[q, hu[p]] + d2[q, hv[p]] <= most[q]
-                keep = (qn[p] > inode[q]) | ((qn[p] < inode[q]) & ~back)
+                back = first[q, u[p]] + second[q, v[p]] <= most[q]
+                keep = (node[p] > node[q]) | ((node[p] < node[q]) & ~back)
                 found.append((p[keep], q[keep]))
-        if not found or not sum(len(p) for p, _ in found):
-            return empty
+        if not sum(len(p) for p, _ in found):
+            return none
         p, q = (np.concatenate(x) for x in zip(*found, strict=True))
-        names, at = np.unique(np.concatenate((qn, inode)), return_inverse=True)
-        pa_, qa = at[: len(qn)][p], at[len(qn) :][q]
-        links = np.bincount(pa_, weights=im[q], minlength=len(names)) + np.bincount(qa, weights=qm[p], minlength=len(names))
-        root, some = forest(len(names), pa_, qa), links > 0
-        return pa.table({"a": names[some], "b": names[root[some]], "n": links[some].astype(np.int64)})
-
-    cut = [*keys, "qc", "ic"]
-    found = checkpoint(query_side.groupBy(*cut).cogroup(index_side.groupBy(*cut)).applyInArrow(verify, "a long, b long, n long"))
+        links = np.bincount(p, weights=copies[q], minlength=len(node)) + np.bincount(q, weights=copies[p], minlength=len(node))
+        root, some = forest(len(node), p, q), links > 0
+        return pa.table({"a": node[some], "b": node[root[some]], "n": links[some].astype(np.int64)})
+
+    found = checkpoint(laid.groupBy(*keys, "ic", "qc").applyInArrow(verify, "a long, b long, n long"))
     linked = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
-    own = components(found.select("a", "b")).join(linked, "node", "left")
-    placed = rows.join(distinct.select("node", "copies"), "node", "left").join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = components(found.select("a", "b")).join(linked, "node", "left")
+    placed = rows.select("vec_id", "node").join(distinct.select("node", "copies"), "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = placed.filter("node is not null").groupBy("component").agg(F.min("vec_id").alias("least"))
     out = placed.join(smallest, "component", "left").withColumn("component_id", F.coalesce("least", "vec_id"))
     return out.select("vec_id", F.coalesce(F.col("copies") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -192,4 +182,5 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a vector: vec_id, n_links, component_id, kept; cases as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

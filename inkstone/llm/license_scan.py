@@ -1,4 +1,4 @@
-"""License scans with DataFrame functions only: sparse TF-IDF cosine of lines and whole files to templates, then inheritance from the nearest directory above."""
+"""License scans with DataFrame functions only: sparse TF-IDF cosine of lines, paragraphs and whole files to templates, then inheritance from the nearest directory above."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small, table
+from .common import carried, checkpoint, released, small, table
 
 # Usual notices of well-known licences, by SPDX identifier.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -46,30 +46,42 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 DISCLAIMER = "this software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. in no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
 BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
-# Whole texts of short licences, and the headings that full texts of long ones begin with. They have the idf of TEMPLATES, so scores against those stay as they are.
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
+NAMES_CLAUSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+# Whole texts of short licences, titles, and the headings that full texts of long ones begin with.
 FULL: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",),
-    "BSD-2-Clause": (f"{BSD} {DISCLAIMER}",),
-    "BSD-3-Clause": (f"{BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {DISCLAIMER}",),
+    "0BSD": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",),
+    "AGPL-3.0": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "Apache-2.0": ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Apache License Version 2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    "BSD-2-Clause": (f"{BSD} {DISCLAIMER}", "BSD 2-Clause License"),
+    "BSD-3-Clause": (f"{BSD} {NAMES_CLAUSE} {DISCLAIMER}", "BSD 3-Clause License"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", "Distributed under the Boost Software License, Version 1.0."),
     "CC-BY-4.0": ("Creative Commons Attribution 4.0 International Public License",),
     "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International Public License",),
     "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International Public License",),
-    "CC0-1.0": ("CC0 1.0 Universal",),
+    "CC0-1.0": ("CC0 1.0 Universal", "Creative Commons Legal Code CC0 1.0 Universal"),
     "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
     "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
-    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC License"),
+    "LGPL-2.1": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+        f"{GRANT}: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+        GRANT,
+        "MIT License",
+        "The MIT License (MIT)",
     ),
-    "MPL-2.0": ("Mozilla Public License Version 2.0",),
+    "MPL-2.0": ("Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "PSF-2.0": ("PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
+    "Zlib": ("This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "zlib License"),
 }
-#: Number of the first of FULL among a licence's templates.
-FIRST_FULL = 100
+#: Number of the first of FULL among a licence's templates; the number of its tag.
+FIRST_FULL, TAG = 100, 99
 #: What a comment's line begins with.
 MARK = r"[ \t]*(?:#|//|--|;|%|\*)"
-# Words so common that they tell nothing.
-COMMON = frozenset("a all an and any are as at be by can for form free found from has in into is it may met not of on or person that the this to use was with work you your".split())
+#: What a licence notice is known by: texts, and parts of texts, without any of these are no notice.
+NOTICE = "(?i)licen[cs]|spdx|copyright|redistribut|permission|unencumbered|public domain|waived|creative commons|cc0"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Names of licence files.
 NAMES = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
@@ -82,9 +94,14 @@ def terms(text: str) -> list[str]:
     return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
-def vectors(templates: dict[str, tuple[str, ...]]) -> tuple[dict[str, float], list[tuple[str, int, dict[str, float]]], float]:
-    """The idf of each term, the unit vector of each template, and the idf of terms that no template has."""
-    found = [(name, n, Counter(terms(text))) for name, texts in sorted(templates.items()) for n, text in enumerate(texts)]
+Unit = tuple[str, int, dict[str, float]]
+
+
+def vectors(templates: dict[str, tuple[str, ...]], full: dict[str, tuple[str, ...]]) -> tuple[dict[str, float], list[Unit], float]:
+    """The idf of each term, the unit vector of each template (of every licence its SPDX tag is one), and the idf of terms that no template has."""
+    numbered = [(name, n, text) for texts, first in ((templates, 0), (full, FIRST_FULL)) for name, own in sorted(texts.items()) for n, text in enumerate(own, first)]
+    numbered += [(name, TAG, f"SPDX-License-Identifier: {name}") for name in sorted({*templates, *full})]
+    found = [(name, n, Counter(terms(text))) for name, n, text in numbered]
     df = Counter(t for _, _, tf in found for t in tf)
     idf = {t: round(math.log((1 + len(found)) / (1 + n)) + 1, 9) for t, n in df.items()}
     out = []
@@ -94,17 +111,6 @@ def vectors(templates: dict[str, tuple[str, ...]]) -> tuple[dict[str, float], li
     return idf, out, round(math.log(1 + len(found)) + 1, 9)
 
 
-def full_vectors(full: dict[str, tuple[str, ...]], idf: dict[str, float], unknown: float) -> list[tuple[str, int, dict[str, float]]]:
-    """Unit vectors of more templates, by the idf of others."""
-    out = []
-    for name, texts in sorted(full.items()):
-        for n, text in enumerate(texts, FIRST_FULL):
-            x = {t: c * idf.get(t, unknown) for t, c in Counter(terms(text)).items()}
-            norm = math.sqrt(sum(v * v for v in x.values()))
-            out.append((name, n, {t: v / norm for t, v in x.items()}))
-    return out
-
-
 def paragraphs(low: Column) -> Column:
     """Runs of lines with letters or digits; a run ends too where comment lines begin or end."""
     parted = F.regexp_replace(low, rf"(?m)(^{MARK}[^\n]*\n)(?!{MARK}|$)", "$1\n")
@@ -112,21 +118,6 @@ def paragraphs(low: Column) -> Column:
     return F.split(parted, r"\n(?:[^a-z0-9\n]*\n)+")
 
 
-def anchors(units: list[tuple[str, int, dict[str, float]]], threshold: float) -> list[str]:
-    """Words of which a text must have one to come to the threshold with any template: the terms of a template without such a word make too short a vector. Common words are chosen last, and only where they are needed."""
-    out: set[str] = set()
-    for _, _, unit in units:
-        left = {t: w for t, w in unit.items() if out.isdisjoint(t.split())}
-        while sum(w * w for w in left.values()) >= (threshold - 1e-6) ** 2:
-            gain = Counter()
-            for t, w in left.items():
-                for word in set(t.split()):
-                    gain[word] += w * w
-            out.add(max(gain, key=lambda word: (word not in COMMON and not word.isdigit(), gain[word], word)))
-            left = {t: w for t, w in left.items() if out.isdisjoint(t.split())}
-    return sorted(out)
-
-
 def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -134,67 +125,63 @@ def lowered(text: Column) -> Column:
 def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, full: dict[str, tuple[str, ...]] = FULL) -> DataFrame:
     """``files`` (path, text and more) with ``license``, ``score``, ``origin`` and ``license_from``.
 
-    Every line, every paragraph of several lines and every whole text is a TF-IDF vector of words and word pairs (idf over the templates); the template of the highest cosine names the license, ties going to the smaller name. ``origin`` is "header" for a line or paragraph and "file" for a whole text (the line if both score the same, unless the file's name is a licence file's). A licence file is one whose name says so or whose whole text reaches the threshold; files without a license of their own take that of the licence file in the nearest directory above them ("inherited", with that directory in ``license_from``): of several there the best score, then the smaller name. Else all four are null; so they are for null or empty texts without a licence file above. Null paths have no directory. Rows that repeat are judged alike; an empty table gives no rows; columns of ``files`` with the names added are replaced.
+    Every line, every paragraph of several lines and every whole text that holds a word of ``NOTICE`` is a TF-IDF vector of words and word pairs (idf over the templates); the template of the highest cosine names the license, ties going to the smaller name. ``origin`` is "header" for a line or paragraph and "file" for a whole text (the line if both score the same, unless the file's name is a licence file's). A licence file is one whose name says so or whose whole text reaches the threshold; files without a license of their own take that of the licence file in the nearest directory above them ("inherited", with that directory in ``license_from``): of several there the best score, then the smaller name. Else all four are null; so they are for null or empty texts without a licence file above. Null paths have no directory. Texts may be of any length. Rows that repeat are judged alike; an empty table gives no rows; columns of ``files`` with the names added are replaced; other names are free.
     """
-    added = ("license", "score", "origin", "license_from")
-    columns = [c for c in files.columns if c not in (*added, "__key", "__dir")]
-    directory = F.when(F.col("path").isNotNull(), F.regexp_replace("path", r"(^|/)[^/]*$", ""))
-    files = files.select(*columns).withColumns({"__key": F.xxhash64("path", "text"), "__dir": directory})
-    idf, units, unknown = vectors(templates)
-    units = units + full_vectors(full, idf, unknown)
-    known = {t for _, _, unit in units for t in unit}
-    own = "(?s)(?:^|[^a-z0-9])(?:" + "|".join(anchors(units, threshold)) + ")(?:[^a-z0-9]|$)"
+    rows = carried(files, ("license", "score", "origin", "license_from"))
+    directory = F.when(F.col("row.path").isNotNull(), F.regexp_replace("row.path", r"(^|/)[^/]*$", ""))
+    rows = rows.withColumns({"key": F.xxhash64("row.path", "row.text"), "dir": directory})
+    idf, units, unknown = vectors(templates, full)
     spark = files.sparkSession
-    rows = [{"t": t, "i": idf.get(t, unknown), "w": [{"license": n, "n": k, "w": u[t]} for n, k, u in units if t in u]} for t in sorted(known)]
+    terms_of = [{"t": t, "i": idf[t], "w": [{"license": n, "n": k, "w": u[t]} for n, k, u in units if t in u]} for t in sorted(idf)]
     # A row for each term of the templates, however large the input.
-    weights = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<t: string, i: double, w: array<struct<license: string, n: int, w: double>>>>")))
+    weights = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(terms_of)), "array<struct<t: string, i: double, w: array<struct<license: string, n: int, w: double>>>>")))
 
-    hit = files.withColumn("low", lowered(F.col("text"))).filter(F.col("low").rlike(own))
-    named = F.coalesce(F.col("path").rlike(NAMES), F.lit(False))
+    hit = rows.filter(F.col("row.text").rlike(NOTICE))
+    hit = hit.select("key", "dir", F.coalesce(F.col("row.path").rlike(NAMES), F.lit(False)).alias("named"), lowered(F.col("row.text")).alias("low")).dropDuplicates(["key"])
     # Paragraphs of several lines are numbered from -2 down.
     wrapped = F.filter(F.transform(paragraphs(F.col("low")), lambda x, i: F.struct((-2 - i).alias("no"), x.alias("part"))), lambda p: p["part"].contains("\n"))
     parts = F.concat(F.array(F.struct(F.lit(-1).alias("no"), F.col("low").alias("part"))), F.transform(F.split("low", "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("part"))), wrapped)
-    pieces = hit.select("__key", "__dir", named.alias("named"), F.inline(F.filter(parts, lambda p: p["part"].rlike(own))))
-    words = pieces.dropDuplicates(["__key", "no"]).withColumn("word", F.regexp_extract_all("part", F.lit("[a-z0-9]+"), F.lit(0)))
+    pieces = hit.select("key", "dir", "named", F.inline(F.filter(parts, lambda p: p["part"].rlike(NOTICE))))
+    words = pieces.withColumn("word", F.regexp_extract_all("part", F.lit("[a-z0-9]+"), F.lit(0)))
     pairs = F.zip_with(F.slice("word", 1, F.greatest(F.array_size("word") - 1, F.lit(0))), F.slice("word", 2, F.array_size("word")), lambda a, b: F.concat_ws(" ", a, b))
-    bag = words.select("__key", "__dir", "named", "no", F.explode(F.concat("word", pairs)).alias("t"))
-    tf = bag.groupBy("__key", "__dir", "named", "no", "t").agg(F.count(F.lit(1)).alias("tf"))
+    place = ["key", "dir", "named", "no"]
+    bag = words.select(*place, F.explode(F.concat("word", pairs)).alias("t"))
+    tf = bag.groupBy(*place, "t").agg(F.count(F.lit(1)).alias("tf"))
     weighed = tf.join(F.broadcast(weights), "t", "left").withColumn("x", F.col("tf") * F.coalesce("i", F.lit(unknown)))
-    place = ["__key", "__dir", "named", "no"]
     norm = F.sum(F.when(F.coalesce("k", F.lit(0)) == 0, F.col("x") * F.col("x")))
     # The first of a term's templates carries its share of the length.
     spread = weighed.select(*place, "x", F.posexplode_outer("w").alias("k", "at")).select(*place, "x", "k", "at.*")
     dots = spread.groupBy(*place, "license", "n").agg(F.sum(F.col("x") * F.col("w")).alias("dot"), norm.alias("square"))
     lengths = dots.groupBy(*place).agg(F.sum("square").alias("square"), F.filter(F.collect_list(F.struct("license", "n", "dot")), lambda d: d["license"].isNotNull()).alias("dots"))
-    best = F.array_max(F.transform("dots", lambda d: F.struct(F.round(d["dot"] / F.sqrt("square"), 6).alias("score"), d["license"].alias("license"))))
-    # Of equal scores array_max takes the larger name, so the score decides first and the smallest name of that score is looked up.
-    scored = lengths.withColumn("score", best["score"])
+    best = F.array_max(F.transform("dots", lambda d: F.round(d["dot"] / F.sqrt("square"), 6)))
+    scored = lengths.withColumn("score", best)
     same = F.filter("dots", lambda d: F.round(d["dot"] / F.sqrt("square"), 6) == F.col("score"))
     scored = scored.filter(F.col("score") >= threshold).select(*place, "score", F.array_min(F.transform(same, lambda d: d["license"])).alias("license"), F.exists(same, lambda d: d["n"] >= FIRST_FULL).alias("full"))
     scored = scored.withColumn("whole", F.col("no") == -1)
     # A licence's whole text decides before any paragraph that licences share; of equal scores a line comes before a paragraph.
     full_text, wrapped_at = F.col("whole") & F.col("full"), F.col("no") < -1
-    rank = F.row_number().over(Window.partitionBy("__key").orderBy(F.desc(full_text), F.desc("score"), F.when(F.col("named"), ~F.col("whole")).otherwise(F.col("whole")), wrapped_at, "license", F.abs("no")))
-    found = checkpoint(scored.withColumn("rank", rank).groupBy("__key").agg(*(F.max(F.when(F.col("rank") == 1, F.col(c))).alias(c) for c in ("license", "score", "whole", "named", "__dir")), F.max("whole").alias("file")))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(full_text), F.desc("score"), F.when(F.col("named"), ~F.col("whole")).otherwise(F.col("whole")), wrapped_at, "license", F.abs("no")))
+    found = checkpoint(scored.withColumn("rank", rank).groupBy("key").agg(*(F.max(F.when(F.col("rank") == 1, F.col(c))).alias(c) for c in ("license", "score", "whole", "named", "dir")), F.max("whole").alias("file")))
 
     # One license for each directory that has a licence file.
-    held = found.filter((F.col("named") | F.col("file")) & F.col("__dir").isNotNull())
+    held = found.filter((F.col("named") | F.col("file")) & F.col("dir").isNotNull())
     ranked = F.min(F.struct((-F.col("score")).alias("s"), "license"))
-    given = checkpoint(held.groupBy("__dir").agg(ranked.alias("b")).select(F.col("__dir").alias("up"), F.col("b.license").alias("up_license"), (-F.col("b.s")).alias("up_score")))
+    given = checkpoint(held.groupBy("dir").agg(ranked.alias("b")).select(F.col("dir").alias("up"), F.col("b.license").alias("up_license"), (-F.col("b.s")).alias("up_score")))
     # Directories are few beside files: each looks for the nearest above, and then its files look it up.
-    folders = files.filter("__dir is not null").select("__dir").distinct()
-    steps = F.split("__dir", "/")
-    above = folders.withColumn("depth", F.explode(F.sequence(F.lit(0), F.when(F.col("__dir") == "", 0).otherwise(F.array_size(steps)))))
+    folders = rows.filter("dir is not null").select("dir").distinct()
+    steps = F.split("dir", "/")
+    above = folders.withColumn("depth", F.explode(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.array_size(steps)))))
     above = above.withColumn("up", F.array_join(F.slice(steps, F.lit(1), F.col("depth")), "/"))
-    nearest = above.join(given, "up").groupBy(F.col("__dir").alias("d")).agg(F.max(F.struct("depth", "up", "up_license", "up_score")).alias("n")).select("d", "n.*")
-    out = files.join(small(found.select(F.col("__key").alias("k"), "license", "score", "whole"), 100_000), F.col("__key") == F.col("k"), "left")
-    out = out.join(small(checkpoint(nearest), 100_000), F.col("__dir") == F.col("d"), "left")
+    nearest = above.join(small(given, 100_000), "up").groupBy(F.col("dir").alias("d")).agg(F.max(F.struct("depth", "up", "up_license", "up_score")).alias("n")).select("d", "n.*")
+    out = rows.join(small(found.select(F.col("key").alias("k"), "license", "score", "whole"), 100_000), F.col("key") == F.col("k"), "left")
+    out = out.join(small(checkpoint(nearest), 100_000), F.col("dir") == F.col("d"), "left")
     has = F.col("license").isNotNull()
     origin = F.when(has, F.when(F.col("whole"), "file").otherwise("header")).when(F.col("up_license").isNotNull(), "inherited")
-    return out.select(*columns, F.coalesce("license", "up_license").alias("license"), F.coalesce("score", "up_score").alias("score"), origin.alias("origin"), F.when(~has, F.col("up")).alias("license_from"))
+    return released(out, license=F.coalesce("license", "up_license"), score=F.coalesce("score", "up_score"), origin=origin, license_from=F.when(~has, F.col("up")))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, path, license, score, origin, license_from; cases as in ``scan``."""
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
     return scan(files).select("doc_id", "path", "license", "score", "origin", "license_from")
@@ -202,7 +189,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     """The same rows by SQL, every line and text against every template."""
-    idf, units, unknown = vectors(TEMPLATES)
+    idf, units, unknown = vectors(TEMPLATES, FULL)
     values = ", ".join(f"('{t}', {idf[t]!r})" for t in sorted(idf))
     weights = ", ".join(f"('{name}', {n}, '{t}', {w!r})" for name, n, unit in units for t, w in unit.items())
     return rf"""

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, small, table
+from .common import WORD, carried, checkpoint, released, small, table
 from .subset_sum import closest_fill
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Hash ranges that the documents of one source and length are counted in before the cut among them is looked for.
-RANGES = 256
+RANGES = 4_096
 
 
 def share(sizes: list[int], weights: list[float], most: float) -> list[float]:
@@ -28,34 +30,68 @@ def share(sizes: list[int], weights: list[float], most: float) -> list[float]:
     return target
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, span: int) -> list[int]:
+def seeded(seed: int, *of: object) -> float:
+    """A number in 0 to 1 that depends on nothing but its arguments."""
+    return int.from_bytes(blake2b(repr((seed, *of)).encode(), digest_size=7).digest(), "little") / (1 << 56)
+
+
+def fit(lengths: list[int], counts: list[int], budget: int, span: int, seed: int = 0) -> list[int]:
     """How many documents of each length make up ``budget`` words as nearly as can be, without going over.
 
-    Every length first gives its even share; the rest, at most ``span`` words once the longest have gone in, is fitted exactly by bounded-knapsack dynamic programming over what is left of each length.
+    Every length gives its even share. What the shares leave over in fractions of documents is dealt by systematic rounding along a seeded order of the lengths, so that no length is favoured; the rest, a few documents' worth and at most ``span`` words, is fitted exactly by bounded-knapsack dynamic programming over what is left of each length.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
-    taken = [c * budget // total if total else 0 for c in counts]
+    if not total:
+        return [0] * len(counts)
+    taken = [c * budget // total for c in counts]
+    order = sorted((i for i in range(len(lengths)) if lengths[i]), key=lambda i: seeded(seed, lengths[i]))
+    carry = int(seeded(seed) * total)
+    for i in order:
+        carry += counts[i] * budget % total
+        if carry >= total:
+            carry -= total
+            taken[i] += taken[i] < counts[i]
     rest = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    near = min(span, 8 * total // sum(counts))
+    # Rounding may have gone over, or have left more than the exact fit looks at.
     for i in order:
-        if rest <= span or not lengths[i]:
+        if rest >= 0:
+            break
+        less = min(taken[i], 1)
+        taken[i] -= less
+        rest += less * lengths[i]
+    while rest > near:
+        before = rest
+        for i in order:
+            more = int(taken[i] < counts[i] and lengths[i] <= rest - near // 2)
+            taken[i] += more
+            rest -= more * lengths[i]
+            if rest <= near:
+                break
+        if rest == before:
+            break
+    # Where what is left cannot make up the rest exactly, picks are given back, along the same order, for the fit to choose again.
+    while True:
+        best, chosen = closest_fill(((lengths[i], counts[i] - taken[i]) for i in order), min(rest, span))
+        if best == rest or rest >= min(budget, span):
             break
-        more = min(counts[i] - taken[i], rest // lengths[i])
-        taken[i] += more
-        rest -= more * lengths[i]
-    _, chosen = closest_fill(((lengths[i], counts[i] - taken[i]) for i in order if lengths[i]), rest)
+        near *= 2
+        while rest < min(near, budget, span):
+            for i in order:
+                less = int(taken[i] > 0 and rest < min(near, budget, span))
+                taken[i] -= less
+                rest += less * lengths[i]
     return [t + chosen.get(n, 0) for n, t in zip(lengths, taken, strict=True)]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, span: int = 1 << 16) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies`` (how often the mix takes the document, 0 to ``most``).
 
-    ``size`` is the number of words of the text (null: 0). Sources stand by code point, null last, and weigh ``weights``, repeating. Every document is taken ``target // source_size`` times; the remaining budget picks some once more: counts by exact length are fitted by dynamic programming, and within a source and length the documents of the lowest seeded hash are picked. The hash is over doc_id and text, so rows repeated in full are picked alike; reruns agree. Empty texts are taken with the base count. An empty table gives no rows. Columns of ``docs`` that have the names added are replaced.
+    ``size`` is the number of words of the text (null: 0). Sources stand by code point, null last, and weigh ``weights``, repeating. Every document is taken ``target // source_size`` times; the remaining budget picks some once more: counts by exact length are fitted by dynamic programming, and within a source and length the documents of the lowest seeded hash are picked. The hash is over doc_id and text, so rows repeated in full are picked alike; reruns agree. Empty texts are taken with the base count. An empty table gives no rows. Columns of ``docs`` that have the names added are replaced; other names are free.
     """
-    added = ["size", "source_size", "target", "copies"]
-    docs = docs.drop(*added, "__key")
-    docs = docs.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "__key": F.xxhash64(F.lit(seed), "doc_id", "text")})
-    sized = checkpoint(docs.select("source", "size", F.col("__key").alias("key")))
+    rows = carried(docs, ("size", "source_size", "target", "copies"))
+    rows = rows.withColumns({"source": F.col("row.source"), "size": F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long"), "key": F.xxhash64(F.lit(seed), "row.doc_id", "row.text")})
+    sized = checkpoint(rows.select("source", "size", "key"))
     lengths = checkpoint(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
 
     def targets(frame: pd.DataFrame) -> pd.DataFrame:
@@ -72,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
         base = min(int(most), int(target // source_size)) if source_size else 0
         budget = round(target - base * source_size) if base < most else 0
         frame = frame.sort_values("size", ignore_index=True)
-        once = fit(frame["size"].tolist(), frame["n"].tolist(), min(budget, source_size), span)
+        once = fit(frame["size"].tolist(), frame["n"].tolist(), min(budget, source_size), span, seed)
         return frame.assign(base=base, once=once)[["source", "size", "n", "source_size", "target", "base", "once"]]
 
     # A group is the histogram of one source: a row for each distinct length.
@@ -90,13 +126,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     # Keys are compared as unsigned numbers, as the ranges are; within one range signed order is the same.
     rank = F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("key"))
     cuts = inside.withColumn("i", rank).filter(F.col("i") == F.col("rank")).select("s", "z", "range", F.col("key").alias("last"))
-    full = plan.join(cuts, F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")), "left").select(F.col("source").alias("__s"), F.col("size").alias("__z"), "source_size", "target", "base", "once", "n", F.col("range").alias("__r"), F.col("last").alias("__last"))
-    decided = docs.join(small(checkpoint(full), 200_000), F.col("__s").eqNullSafe(F.col("source")) & (F.col("__z") == F.col("size")))
-    key_at = F.shiftrightunsigned("__key", 64 - RANGES.bit_length() + 1).cast("int")
-    again = F.when(F.col("once") == 0, 0).when(F.col("once") == F.col("n"), 1).otherwise(((key_at < F.col("__r")) | ((key_at == F.col("__r")) & (F.col("__key") <= F.col("__last")))).cast("int"))
-    return decided.withColumn("copies", F.col("base") + again).drop("__s", "__z", "__r", "__last", "__key", "base", "once", "n")
+    full = plan.join(cuts, F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")), "left").select(F.col("source").alias("of"), F.col("size").alias("z"), "source_size", "target", "base", "once", "n", F.col("range").alias("r"), "last")
+    decided = rows.join(small(checkpoint(full), 200_000), F.col("of").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")))
+    again = F.when(F.col("once") == 0, 0).when(F.col("once") == F.col("n"), 1).otherwise(((at < F.col("r")) | ((at == F.col("r")) & (F.col("key") <= F.col("last")))).cast("int"))
+    return released(decided, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"), copies=F.col("base") + again)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, taken and more; cases as in ``mix``."""
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")

@@ -1,24 +1,20 @@
-"""URL filters: rules by host and path; for the rest host names are split into words by unigram Viterbi and multinomial naive Bayes scores the tokens."""
+"""URL filters: rules by host and path; for the rest host names are split into words by unigram Viterbi and multinomial naive Bayes, learnt from labelled URLs, scores the tokens."""
 
 from __future__ import annotations
 
 import math
-import re
-from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small, table
+from .common import carried, checkpoint, released, small, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-# Words that mark a URL as an example of what is to be blocked.
-SEEDS = ("adult", "betting", "bingo", "blackjack", "casino", "escort", "gambling", "jackpot", "keygen", "lottery", "malware", "naked", "nude", "phishing", "pills", "poker", "porn", "roulette", "sex", "slots", "spam", "torrent", "viagra", "warez", "webcam", "xxx")
-#: Letters of a word at most; the number of words that the weight of one never seen is held against, whatever the input's own number, so that splits do not depend on the input's size.
-LONGEST, UNSEEN = 24, 10**9
+#: The number of words that the weight of one never seen is held against, whatever the input's own number, so that splits do not depend on the input's size.
+UNSEEN = 10**9
 WORDS = r"\p{L}+"
 
 
@@ -38,97 +34,95 @@ def by_rules(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return rule, verdict
 
 
-def split_words(name: str, counts: dict[str, int], total: int, seeds: tuple[str, ...] = ()) -> list[str]:
-    """The likeliest words that make up ``name``: a word's probability is its share of all words; one never seen has ten in ``UNSEEN``, a tenth of that for each of its letters. Of equal splits the one whose last word is longest. Seeds within letters that are no known word are split off, however rare they are."""
-    best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
-    log_total = math.log(max(total, 1))
+def split_words(name: str, counts: dict[str, int], total: int) -> list[str]:
+    """The likeliest words that make up ``name``: a word's probability is its share of all words; one never seen has ten in ``UNSEEN``, a tenth of that for each of its letters. Of equal splits the one whose last word is longest."""
+    longest = max(map(len, counts), default=0)
+    log_total, unseen = math.log(max(total, 1)), math.log(10) - math.log(UNSEEN)
+    # The best split up to each place; the best start of an unseen word that ends there, with its letters' cost taken off.
+    best, back, start_of = [0.0], [0], 0
+    open_ = [0.0]
     for end in range(1, len(name) + 1):
-        for start in range(max(0, end - LONGEST), end):
-            n = counts.get(name[start:end], 0)
-            score = best[start] + (math.log(n) - log_total if n else math.log(10) * (1 - (end - start)) - math.log(UNSEEN))
-            if score > best[end] + 1e-12:
-                best[end], back[end] = score, start
+        score, start = open_[-1] + unseen - end * math.log(10), start_of
+        for at in range(max(0, end - longest), end):
+            n = counts.get(name[at:end], 0)
+            if n and (known := best[at] + math.log(n) - log_total) > score + 1e-12:
+                score, start = known, at
+        best.append(score)
+        back.append(start)
+        own = score + end * math.log(10)
+        start_of, value = (end, own) if own > open_[-1] + 1e-12 else (start_of, open_[-1])
+        open_.append(value)
     words, end = [], len(name)
     while end:
         words.append(name[back[end] : end])
         end = back[end]
-    words.reverse()
-    if not seeds:
-        return words
-    seed = re.compile("(" + "|".join(sorted(map(re.escape, seeds), key=len, reverse=True)) + ")")
-    out = []
-    for known, run in groupby(words, lambda w: w in counts):
-        # Letters beyond LONGEST are several words here; a seed may lie across them.
-        run = list(run)
-        parts = seed.split("".join(run))
-        out += run if known or len(parts) == 1 else filter(None, parts)
-    return out
-
-
-def word_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(word, n) of the ``wanted`` words over all of ``texts`` (text), and a row with null for all others."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    known = counts.join(wanted.select("word", F.lit(True).alias("known")), "word", "left")
-    return known.groupBy(F.when(F.col("known"), F.col("word")).alias("word")).agg(F.sum("n").alias("n"))
-
-
-def segment(names: DataFrame, texts: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+    return words[::-1]
+
+
+def segment(names: DataFrame, texts: DataFrame) -> DataFrame:
     """(name, words) of the distinct ``names`` (name), by a unigram model counted over all of ``texts`` (text).
 
-    A name asks only for its own substrings, so the vocabulary is never gathered anywhere.
+    A name asks only for its own substrings that are as long as some word, so the vocabulary is never gathered anywhere, and words may be of any length.
     """
-    at = F.sequence(F.lit(1), F.char_length("name"))
-    last = F.least(F.lit(LONGEST), F.char_length("name") - F.col("i") + 1)
-    subs = names.withColumn("i", F.explode(at)).withColumn("size", F.explode(F.sequence(F.lit(1), last))).select("name", F.substring(F.col("name"), F.col("i"), F.col("size")).alias("word"))
-    subs = checkpoint(subs.distinct())
-    counts = checkpoint(word_counts(texts, subs.select("word").distinct()))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = subs.join(counts, "word", "left").filter("n is not null")
-    # A map holds the substrings of one name, at most LONGEST for each of its letters.
-    maps = known.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
+    found = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))).alias("word"))
+    counts = checkpoint(found.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    # One number for each length that occurs.
+    told = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.sort_array(F.collect_set(F.char_length("word"))).alias("lengths")).first()
+    total, lengths = told["total"], told["lengths"]
+    sizes = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.char_length("name"))
+    spans = names.withColumn("size", F.explode(sizes)).withColumn("i", F.explode(F.sequence(F.lit(1), F.char_length("name") - F.col("size") + 1)))
+    subs = spans.select("name", F.substring(F.col("name"), F.col("i"), F.col("size")).alias("word")).distinct()
+    # A map holds the substrings of one name that are words.
+    maps = subs.join(counts, "word").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
 
     @F.pandas_udf("array<string>")
     def words(name: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series([split_words(n, dict(c) if c is not None else {}, total, seeds) for n, c in zip(name, counts, strict=True)])
+        return pd.Series([split_words(n, dict(c) if c is not None else {}, total) for n, c in zip(name, counts, strict=True)])
 
     return names.join(maps, "name", "left").select("name", words("name", "counts").alias("words"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+def tokens_of(urls: DataFrame, texts: DataFrame) -> DataFrame:
+    """(url, kind, word, tf): the words of the hosts, split, and of the paths of distinct ``urls`` (url)."""
+    host, path = url_parts(F.col("url"))
+    hosts = urls.select("url", F.explode(F.regexp_extract_all(host, F.lit(WORDS), F.lit(0))).alias("name"))
+    split = checkpoint(segment(hosts.select("name").distinct(), texts))
+    of_host = hosts.join(small(split, 100_000), "name").select("url", F.explode("words").alias("word"), F.lit("host").alias("kind"))
+    of_path = urls.select("url", F.explode(F.regexp_extract_all(F.lower(path), F.lit(WORDS), F.lit(0))).alias("word"), F.lit("path").alias("kind"))
+    return of_host.unionByName(of_path).groupBy("url", "kind", "word").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, examples: DataFrame | None = None) -> DataFrame:
     """``pages`` (url, html and more) with ``host``, ``path``, ``rule``, ``score`` (log odds of block) and ``verdict``.
 
-    The longest rule that fits a URL decides; without one, the classifier: block if ``score`` is above 0, else allow. Words of the host (its parts split by Viterbi with word counts of all html) and of the path are tokens of multinomial naive Bayes with add-one smoothing; distinct URLs are its examples, those with a seed word among their tokens of block, the others of allow. Null URLs and those without ``://`` have no tokens and get the odds of the classes alone; null html counts as empty. Rows that repeat are judged alike. An empty table gives no rows. Columns of ``pages`` with the names added are replaced.
+    The longest rule that fits a URL decides; without one, the classifier: block if ``score`` is above 0, else allow. Words of the host (its parts split by Viterbi with word counts of all html) and of the path are tokens of multinomial naive Bayes with add-one smoothing. It learns from ``examples`` (url, verdict: block or allow), those among the URLs of ``pages``; a URL with both verdicts counts for both. By default the examples are the distinct URLs of ``pages`` that a rule decides, so the rest is judged by its likeness to these. Words and URLs may be of any length. Null URLs and those without ``://`` have no tokens and get the odds of the classes alone; null html counts as empty; without any example all scores are 0. Rows that repeat are judged alike. An empty table gives no rows. Columns of ``pages`` with the names added are replaced; other names are free.
     """
-    added = ["host", "path", "rule", "score", "verdict"]
-    columns = [c for c in pages.columns if c not in (*added, "__url")]
-    pages = pages.select(*columns)
-    host, path = url_parts(F.col("url"))
-    urls = checkpoint(pages.select(F.coalesce("url", F.lit("")).alias("__url")).distinct())
-    host_of, path_of = url_parts(F.col("__url"))
-    names = F.regexp_extract_all(host_of, F.lit(WORDS), F.lit(0))
-    hosts = urls.select("__url", F.explode(names).alias("name"))
-    split = checkpoint(segment(hosts.select("name").distinct(), pages.select(F.coalesce("html", F.lit("")).alias("text")), seeds))
-    of_host = hosts.join(small(split, 100_000), "name").select("__url", F.explode("words").alias("word"), F.lit("host").alias("kind"))
-    of_path = urls.select("__url", F.explode(F.regexp_extract_all(F.lower(path_of), F.lit(WORDS), F.lit(0))).alias("word"), F.lit("path").alias("kind"))
-    tokens = of_host.unionByName(of_path).groupBy("__url", "kind", "word").agg(F.count(F.lit(1)).alias("tf"))
-    tokens = checkpoint(tokens)
-    bad = tokens.filter(F.col("word").isin(*seeds)).select("__url").distinct().withColumn("bad", F.lit(1))
-    examples = checkpoint(tokens.join(bad, "__url", "left").withColumn("bad", F.coalesce("bad", F.lit(0))))
-    n_urls, n_bad = urls.count(), bad.count()
-    counted = checkpoint(examples.groupBy("kind", "word").agg(F.sum(F.col("tf") * F.col("bad")).alias("blocked"), F.sum(F.col("tf") * (1 - F.col("bad"))).alias("allowed")))
-    all_ = counted.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(F.sum("allowed"), F.lit(0)).alias("a")).first()
-    odds = F.log((F.col("blocked") + 1) / F.lit(float(all_["b"] + all_["v"]))) - F.log((F.col("allowed") + 1) / F.lit(float(all_["a"] + all_["v"])))
-    prior = math.log((n_bad + 1) / (n_urls - n_bad + 1))
-    weights = small(counted, 100_000).select(F.col("kind"), F.col("word"), odds.alias("w"))
-    scores = tokens.join(weights, ["kind", "word"]).groupBy("__url").agg(F.sum(F.col("tf") * F.col("w")).alias("sum"))
-    out = pages.withColumn("__url", F.coalesce("url", F.lit(""))).join(scores, "__url", "left")
+    rows = carried(pages, ("host", "path", "rule", "score", "verdict"))
+    rows = rows.withColumn("own", F.coalesce("row.url", F.lit("")))
+    urls = checkpoint(rows.select(F.col("own").alias("url")).distinct())
+    tokens = checkpoint(tokens_of(urls, rows.select(F.coalesce("row.html", F.lit("")).alias("text"))))
+    if examples is None:
+        labelled = urls.select("url", by_rules(*url_parts(F.col("url")), rules)[1].alias("verdict"))
+    else:
+        labelled = urls.join(examples.select("url", "verdict").distinct(), "url")
+    labelled = labelled.filter(F.col("verdict").isin("block", "allow"))
+    n = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of_class = tokens.join(labelled, "url").groupBy("kind", "word").agg(*(F.sum(F.when(F.col("verdict") == v, F.col("tf")).otherwise(0)).alias(v) for v in ("block", "allow")))
+    counted = checkpoint(of_class)
+    sums = counted.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("block"), F.lit(0)).alias("b"), F.coalesce(F.sum("allow"), F.lit(0)).alias("a")).first()
+    odds = F.log((F.col("block") + 1) / F.lit(float(sums["b"] + sums["v"]))) - F.log((F.col("allow") + 1) / F.lit(float(sums["a"] + sums["v"])))
+    prior = math.log((n.get("block", 0) + 1) / (n.get("allow", 0) + 1))
+    # Words that no example has say nothing.
+    weights = small(counted, 100_000).select("kind", "word", odds.alias("w"))
+    scores = tokens.join(weights, ["kind", "word"]).groupBy("url").agg(F.sum(F.col("tf") * F.col("w")).alias("sum"))
+    out = rows.join(scores, F.col("own") == F.col("url"), "left").withColumn("odds", F.coalesce("sum", F.lit(0.0)) + F.lit(prior))
+    host, path = url_parts(F.col("own"))
     rule, verdict = by_rules(host, path, rules)
-    out = out.withColumn("score", F.coalesce("sum", F.lit(0.0)) + F.lit(prior))
-    by_score = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return out.select(*columns, host.alias("host"), path.alias("path"), rule.alias("rule"), "score", F.coalesce(verdict, by_score).alias("verdict"))
+    by_score = F.when(F.col("odds") > 0, "block").otherwise("allow")
+    return released(out, host=host, path=path, rule=rule, score=F.col("odds"), verdict=F.coalesce(verdict, by_score))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a page: page_id, host, path, rule, verdict, score; cases as in ``judge_urls``."""
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))

@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkstone.llm import embedding_dedup, license_scan, line_dedup, mixing, ngram_join, packing, quality, queries, subset_sum, substring_dedup, topk, url_filter
@@ -88,8 +90,62 @@ def test_near_threshold(spark):
     assert {r["doc_id"]: r["n_links"] for r in ngram_join.near_texts(documents(spark, rows)).collect()} == want
 
 
-def test_depth():
-    assert ngram_join.depth_for(0.8, 0.9999) == 5 and ngram_join.depth_for(0.6, 0.999) < 5 and ngram_join.depth_for(0.1, 1.0) == 1
+def test_depths():
+    assert ngram_join.depths(0.8, 0.9999) == (3, 5) and ngram_join.depths(0.6, 0.999) == (1, 2)
+    with pytest.raises(ValueError):
+        ngram_join.depths(0.1, 0.9999)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_differ_by_structure_only(spark):
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = documents(spark, [(i, " ".join([f"c{k}" if i < 2 else f"d{k}_{i}" for k in range(20)] + [x] + [f"e{k}" for k in range(20)]), "a") for i, x in enumerate((word, other))])
+    assert [r["n_removed"] for r in substring_dedup.dedup_passages(rows).collect()] == [0, 0]
+    lone = documents(spark, [(1, word, "a"), (2, other, "a"), (3, f"{word} x y", "a"), (4, f"{other} x y", "a")])
+    assert all(r["n_links"] == 0 for r in ngram_join.near_texts(lone).collect())
+
+
+def test_repeats_are_maximal(spark):
+    rows = documents(spark, [(1, f"a b {PASSAGE} c", "a"), (2, f"d {PASSAGE}", "a")])
+    got = {r["doc_id"]: [tuple(x) for x in r["repeats"]] for r in substring_dedup.dedup_passages(rows).collect()}
+    assert got == {1: [(2, 40)], 2: [(1, 40)]}
+
+
+def jaccards(texts):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    return [[len(a & b) / len(a | b) for b in sets] for a in sets]
+
+
+def test_forest_recall(spark, monkeypatch):
+    # Small groups crowd the short prefixes, so roots of all depths and chunks occur.
+    monkeypatch.setattr(ngram_join, "TOGETHER", 6)
+    rng = np.random.default_rng(3)
+    texts = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(120)]
+        texts += [" ".join(x if rng.random() > 0.012 else f"n{g}_{k}_{i}" for i, x in enumerate(base)) for k in range(12)]
+    near = np.array(jaccards(texts)) >= 0.8
+    want = near.sum(1) - 1
+    for slack in (5.0, None):
+        got = {r["doc_id"]: r["n_links"] for r in ngram_join.near_texts(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), slack=slack).collect()}
+        assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in got)
+
+
+def test_exact_shingles():
+    texts = [b"a b c d e f", b"a b c d e", b"x", b"", b"e d c b a x", b"a b"]
+    of, which = ngram_join.exact_shingles(texts, 5)
+    assert np.bincount(of, minlength=6).tolist() == [2, 1, 1, 0, 2, 1] and len(set(which.tolist())) == 6
+    assert ngram_join.shared(of, which, 6)[0, 1] == 1
+
+
+def test_one_is_kept_of_texts_with_one_id(spark):
+    words = [f"t{i}" for i in range(100)]
+    rows = documents(spark, [(1, " ".join(words), "a"), (1, " ".join(words[:-1]), "a"), (2, " ".join(words[1:]), "a")])
+    assert sorted(r["kept"] for r in ngram_join.near_texts(rows).collect()) == [False, False, True]
 
 
 def test_hot_prefix_is_dealt_out(spark, monkeypatch):
@@ -124,6 +180,38 @@ def test_top_k_edges(spark):
     got = topk.top_k(df, df.filter("vec_id < 5"), 5).filter("query_id = 1").orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(6, 65536), (2, 0), (5, -65536)]
     assert topk.top_k(df.limit(0), df).collect() == []
+    # Another vector under a repeated vec_id is a candidate of its own, an equal row counts again; ties go to the smaller vec_id.
+    more = df.union(spark.createDataFrame([(2, [3.0, 0.0]), (6, [1.0, 0.0])], df.schema))
+    got = topk.top_k(more, df.filter("vec_id = 1"), 5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, 196608), (6, 65536), (6, 65536), (2, 0), (5, -65536)]
+    with pytest.raises(Exception, match="2\\*\\*53"):
+        topk.top_k(spark.createDataFrame([(1, [1e20]), (2, [1e30])], df.schema), df.limit(0).union(spark.createDataFrame([(1, [1e20])], df.schema))).collect()
+
+
+def test_top_k_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 64)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((700, 24)) * np.linspace(2, 0.1, 24)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    v = np.floor(256 * x).astype(np.int64)
+    want = {q: [(-s, i) for s, i in sorted((-int(v[q] @ v[i]), i) for i in range(700) if i != q)[:5]] for q in range(0, 700, 50)}
+    got = {}
+    for r in topk.top_k(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    assert got == want
+
+
+def test_embedding_recall_in_many_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 256)
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((600, 64))
+    x = np.concatenate([base + rng.uniform(0.1, 0.45) * rng.standard_normal(base.shape) for _ in range(6)])
+    df = spark.createDataFrame([(i, [float(np.float32(c)) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()}
+    assert sum(got.values()) >= 0.99 * want.sum() and want.sum() > 1000 and all(got[i] <= want[i] for i in got)
 
 
 def test_packing(spark, odd, none):
@@ -157,6 +245,32 @@ def test_packing(spark, odd, none):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.characters(codec="utf-8", max_codepoint=0x24F) | st.sampled_from(" \n'\u0301\u030c\u0130\u0307"), max_size=60))
+def test_ids_are_the_tokenizers(text):
+    own = packing.tokenizer(packing.default_tokenizer())
+    assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == own.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_every_letter():
+    own = packing.tokenizer(packing.default_tokenizer())
+    texts = [f"a{chr(c)} {chr(c)}b {chr(c)}" for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000] + ["Əhməd Ɔhene Ɓauna", "a<|endoftext|>b <|ENDOFTEXT|> x<|startoftext|>", "DON'T. It's I'LL!?", "word" * 30_000]
+    want = [e.ids for e in own.whole.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)] == want
+
+
+def test_closest_fill_is_closest():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        items = [(int(n), int(c)) for n, c in zip(rng.choice(np.arange(1, 12), 3, replace=False), rng.integers(0, 4, 3), strict=True)]
+        capacity = int(rng.integers(0, 40))
+        sums = [sum(n * k for (n, _), k in zip(items, ks, strict=True)) for ks in itertools.product(*(range(c + 1) for _, c in items))]
+        best, chosen = subset_sum.closest_fill(items, capacity)
+        assert best == max(x for x in sums if x <= capacity) and sum(k * n for n, k in chosen.items()) == best and all(chosen.get(n, 0) <= c for n, c in items)
+
+
 def test_closest_fill():
     best, chosen = subset_sum.closest_fill([(7, 3), (5, 2), (3, 1)], 23)
     assert best == 22 and sum(k * n for k, n in chosen.items()) == 22
@@ -191,38 +305,113 @@ def test_mixing(odd, none):
     assert sorted(map(str, mixing.mix(odd).collect())) == sorted(map(str, got)) and mixing.mix(none).collect() == []
 
 
+def test_mixing_favours_no_length(spark):
+    docs = spark.read.parquet(f"{SMALL}/../sf0.01/documents.parquet")
+    got = mixing.mix(docs).groupBy("source").agg(F.avg("size").alias("all"), F.avg(F.when(F.col("copies") > 0, F.col("size"))).alias("taken"), F.sum(F.when(F.col("copies") > 0, 1)).alias("n")).filter("n >= 10").collect()
+    assert len(got) > 3 and np.mean([abs(r["taken"] / r["all"] - 1) < 0.2 for r in got]) > 0.7 and abs(np.mean([r["taken"] / r["all"] for r in got]) - 1) < 0.1
+
+
 def test_mixing_meets_targets(spark):
     got = mixing.mix(spark.read.parquet(f"{SMALL}/../sf0.01/documents.parquet")).groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
     assert all(abs(r["taken"] - r["target"]) <= 0.001 * r["target"] + 5 for r in got)
 
 
+PAGES = "page_id long, url string, html string"
+
+
 def test_urls(spark):
-    rows = [(1, "HTTP://Www.Example.NET/en/x?y", ""), (2, "http://a.net/z", ""), (3, "http://a.org/fr/z", None), (4, "http://example.com/de/#a", ""), (5, None, ""), (6, "nothing", ""), (7, "http://a.net", ""), (8, "http://best-casino.example.com/en/1", ""), (8, "http://best-casino.example.com/en/1", ""), (9, "http://bestcasino.com/", ""), (10, "http://plainwords.com/en/", "plain words and best words")]
-    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    rows = [(1, "HTTP://Www.Example.NET/en/x?y", ""), (2, "http://a.net/z", ""), (3, "http://a.org/fr/z", None), (4, "http://example.com/de/#a", ""), (5, None, ""), (6, "nothing", ""), (7, "http://a.net", ""), (8, "http://s.com/en/1", ""), (8, "http://s.com/en/1", ""), (9, "http://" + "q" * 5000 + ".com/" + "p" * 5000, "x " * 9000)]
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, PAGES)).collect()}
     assert (got[1]["host"], got[1]["path"], got[1]["rule"], got[1]["verdict"]) == ("Www.Example.NET".lower(), "/en/x", "example.net/en/", "allow")
     assert [got[i]["rule"] for i in range(2, 8)] == ["net/", "org/fr/", "example.com/de/", None, None, None]
-    assert got[5]["host"] == got[6]["host"] == "" and got[8]["verdict"] == got[9]["verdict"] == "block" and got[10]["verdict"] == "allow"
-    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+    assert got[5]["host"] == got[6]["host"] == "" and got[9]["path"] == "/" + "p" * 5000 and len(got) == 9
+    assert url_filter.judge_urls(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_urls_are_judged_by_examples(spark):
+    words = "<p>best casino plain words tea</p> " * 5
+    rows = [(i, f"http://{h}.example.com/en/{i}", words) for i, h in enumerate(("bestcasino", "casinotea", "plainwords", "teawords", "casinocasino", "wordstea"))]
+    examples = spark.createDataFrame([(rows[0][1], "block"), (rows[1][1], "block"), (rows[2][1], "allow"), (rows[3][1], "allow")], "url string, verdict string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(rows, PAGES), examples=examples).collect()}
+    assert (got[4], got[5]) == ("block", "allow")
+
+
+def brute_urls(pages):
+    """Rules, Viterbi over all splits and naive Bayes, by hand."""
+    import math
+    import re
+    from collections import Counter
+
+    def parts(url):
+        found = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        return (found[1].lower(), found[2]) if found else ("", "")
+
+    def rule(host, path):
+        fits = [(h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits, key=lambda x: len(x[0]), default=(None, None))
+
+    counts = Counter(w for _, _, html in pages for w in re.findall(r"[^\W\d_]+", (html or "").lower()))
+    total = sum(counts.values())
+
+    def split(name):
+        best = [(0.0, [])]
+        for end in range(1, len(name) + 1):
+            def cost(w):
+                return math.log(counts[w] / total) if w in counts else math.log(10) * (1 - len(w)) - math.log(url_filter.UNSEEN)
+            best.append(max(((best[at][0] + cost(name[at:end]), best[at][1] + [name[at:end]]) for at in range(end)), key=lambda x: round(x[0], 9)))
+        return best[-1][1]
+
+    def tokens(url):
+        host, path = parts(url)
+        return [("host", w) for n in re.findall(r"[^\W\d_]+", host) for w in split(n)] + [("path", w) for w in re.findall(r"[^\W\d_]+", path.lower())]
+
+    urls = {u or "" for _, u, _ in pages}
+    n, seen = Counter(), {"block": Counter(), "allow": Counter()}
+    for u in urls:
+        if v := rule(*parts(u))[1]:
+            n[v] += 1
+            seen[v].update(tokens(u))
+    known = {*seen["block"], *seen["allow"]}
+    sums = {v: sum(c.values()) + len(known) for v, c in seen.items()}
+    out = {}
+    for i, u, _ in pages:
+        (host, path), (r, v) = parts(u), rule(*parts(u))
+        score = math.log((n["block"] + 1) / (n["allow"] + 1)) + sum(math.log((seen["block"][t] + 1) / sums["block"]) - math.log((seen["allow"][t] + 1) / sums["allow"]) for t in tokens(u) if t in known)
+        out[i] = (host, path, r, v or ("block" if score > 0 else "allow"), round(score, 4))
+    return out
+
+
+def test_urls_against_brute_force(spark):
+    pages = [tuple(r) for r in spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url", "html").collect()]
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], round(r["score"], 4)) for r in queries.QUERIES["op8_url_filter"](spark, SMALL).collect()}
+    assert got == brute_urls(pages)
+
+
+def test_url_model_on_held_out_rules(spark):
+    pages = spark.read.parquet(f"{SMALL}/../sf0.1/pages.parquet").select("page_id", "url", "html")
+    host, path = url_filter.url_parts(F.col("url"))
+    ruled = pages.select("url", url_filter.by_rules(host, path, url_filter.RULES)[1].alias("verdict")).filter("verdict is not null").distinct()
+    away = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    # Without rules every URL is scored; a fifth of the labelled ones were no examples.
+    judged = url_filter.judge_urls(pages, rules=(), examples=ruled.filter(~away)).select("url", F.col("verdict").alias("got"))
+    right = judged.join(ruled.filter(away), "url").agg(F.avg((F.col("got") == F.col("verdict")).cast("int"))).first()[0]
+    print("held-out accuracy", right)
+    assert right > 0.9
 
 
 def test_split_words():
-    counts = {"plain": 5, "words": 9, "plainw": 1, "or": 2, "ds": 1}
+    counts = {"plain": 5, "words": 9, "plainw": 1, "or": 2, "ds": 1, "averyveryverylongwordofmorethantwentyfourletters": 1}
     assert url_filter.split_words("plainwords", counts, 100) == ["plain", "words"]
+    assert url_filter.split_words("xaveryveryverylongwordofmorethantwentyfourletters", counts, 100) == ["x", "averyveryverylongwordofmorethantwentyfourletters"]
     assert url_filter.split_words("", counts, 100) == [] and "".join(url_filter.split_words("zzqplain", counts, 100)) == "zzqplain"
 
 
-@pytest.mark.parametrize("name, words", [("xqzporn", ["xqz", "porn"]), ("xqzpornqqj", ["xqz", "porn", "qqj"]), ("xqzpoker", ["xqz", "poker"]), ("xqzcasino", ["xqz", "casino"]), ("qjcasinopoker", ["qj", "casino", "poker"]), ("essex", ["essex"]), ("q" * 22 + "casino" + "j" * 9, ["q" * 22, "casino", "j" * 9])])
-def test_splits_do_not_depend_on_size(name, words):
+def test_splits_do_not_depend_on_size():
     counts = {"essex": 3, "plain": 5, "words": 9}
     for times in (1, 1_000, 1_000_000):
-        assert url_filter.split_words(name, {w: n * times for w, n in counts.items()}, 1_000_000 * times, url_filter.SEEDS) == words
-        assert url_filter.split_words("xqzplain", {w: n * times for w, n in counts.items()}, 1_000_000 * times) == ["xqzplain"]
-
-
-def test_a_rare_seed_is_split_off_on_large_pages(spark):
-    names = spark.createDataFrame([("xqzporn",)], "name string")
-    texts = spark.range(200).select(F.expr("repeat('filler words ', 50000)").alias("text"))
-    assert url_filter.segment(names, texts).first()["words"] == ["xqz", "porn"]
+        more = {w: n * times for w, n in counts.items()}
+        assert url_filter.split_words("plainwordsessex", more, 100 * times) == ["plain", "words", "essex"]
+        assert url_filter.split_words("qqplain", more, 100 * times) == ["qq", "plain"]
 
 
 def test_licenses(spark):
@@ -246,11 +435,79 @@ def test_wrapped_headers_and_full_licence_files(spark):
     assert [got[f"{d}/x.c"] for d in "mnpq"] == [("MIT", "inherited"), ("BSD-2-Clause", "inherited"), ("Apache-2.0", "inherited"), (None, None)]
 
 
+def test_tags_and_titles(spark):
+    cases = {"// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */": "GPL-2.0", "# SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "# SPDX-License-Identifier: Beerware": None, "MIT License\n\nCopyright (c) 2020 Some One": "MIT", "The MIT License (MIT)": "MIT", "ISC License": "ISC", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991": "GPL-2.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999": "LGPL-2.1", "Creative Commons Legal Code\n\nCC0 1.0 Universal": "CC0-1.0", "a text about licences and permission, but none": None, "copyright " * 50_000: None}
+    code = "\n".join(f"value_{i} = compute(other, {i})" for i in range(40))
+    rows = [(f"{i}/x.py", f"{text}\n\n{code}") for i, text in enumerate(cases)]
+    got = {r["path"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[p] for p, _ in rows] == list(cases.values())
+
+
+def test_licence_ties_go_to_the_smaller_name(spark):
+    templates = {"B": ("licensed under this",), "A": ("licensed under this",)}
+    rows = [("x/LICENSE", "licensed under this"), ("x/y", "z")]
+    got = license_scan.scan(spark.createDataFrame(rows, "path string, text string"), templates, full={}).collect()
+    assert [r["license"] for r in got] == ["A", "A"]
+
+
 def test_license_scan_is_native(spark):
     plan = queries.QUERIES["op10_license_scan"](spark, SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Cartesian" not in plan
 
 
+NAMES = "n k d i m c s z up low whole base once least sum word __drops row key no id tkey kept own_node own_id node component chunk url own size_ range last of path_ dir at prefix".split()
+
+
+def with_names(df):
+    """The table with columns of all names that operators might use, and their values by row."""
+    return df.withColumns({n: F.lit(f"v-{n}") for n in NAMES if n not in df.columns})
+
+
+OPERATORS = {
+    "packing": lambda s, d: packing.pack(d, packing.default_tokenizer()),
+    "quality": lambda s, d: quality.score(d, quality.fit(d, s.createDataFrame([(3, 1), (4, 0), (4, 1), (5, None), (None, 1)], "doc_id long, quality int"))),
+    "passages": lambda s, d: substring_dedup.dedup_passages(d),
+    "near": lambda s, d: ngram_join.near_texts(d),
+    "lines": lambda s, d: line_dedup.dedup_lines(d),
+    "mixing": lambda s, d: mixing.mix(d),
+    "urls": lambda s, d: url_filter.judge_urls(d.select(*(c for c in d.columns if c not in ("text", "url")), F.concat(F.lit("http://a.b/"), "source").alias("url"), F.col("text").alias("html"))),
+    "licenses": lambda s, d: license_scan.scan(d.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))),
+    "embeddings": lambda s, d: embedding_dedup.near_duplicates(d.select("*", F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("embedding"), F.lit(1).alias("label"))),
+    "topk": lambda s, d: topk.top_k(*[d.select("*", F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("embedding"))] * 2),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_names_of_columns_are_free(spark, odd, name):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    given = with_names(odd.filter("doc_id is null or doc_id <> 5 and doc_id <> 6"))
+    got = OPERATORS[name](spark, given).collect()
+    assert got and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    if name not in ("packing", "embeddings", "topk"):
+        assert len(got) == given.count()
+        for r in got:
+            assert all(r[n] == f"v-{n}" for n in NAMES if n not in odd.columns and (name, n) not in (("near", "kept"), ("urls", "url")))
+
+
+CONTRACT = {
+    "op1_embedding_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op2_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op3_topk": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op4_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op5_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op6_ngram_jaccard_join": "doc_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op7_line_dedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
+    "op8_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
+    "op9_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+}
+
+
+@pytest.mark.parametrize("name", CONTRACT)
+def test_contract_columns(spark, name):
+    types = dict(queries.QUERIES[name](spark, SMALL).dtypes)
+    assert [f"{c} {types[c]}" for c in (x.split()[0] for x in CONTRACT[name].split(", "))] == CONTRACT[name].split(", ")
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 
