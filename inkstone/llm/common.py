@@ -57,15 +57,19 @@ def short_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
 
 
 def carried(df: DataFrame, added: Iterable[str] = ()) -> DataFrame:
-    """``df`` as one column ``row``, so that no name of its columns can clash with an operator's own; columns with the names ``added`` are left out."""
+    """``df`` with ``in_`` before every column's name, so that none can clash with an operator's own (which never begin so); columns with the names ``added`` are left out."""
     added = set(added)
-    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in added)).alias("row"))
+    return df.select(*(F.col(f"`{c}`").alias(f"in_{c}") for c in df.columns if c not in added))
+
+
+def of_caller(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns if c.startswith("in_")]
 
 
 def released(df: DataFrame, **columns: Column) -> DataFrame:
-    """The columns of ``row`` again, those named here replaced or added at the end."""
-    own = df.schema["row"].dataType.names
-    kept = [columns.pop(c).alias(c) if c in columns else F.col("row").getField(c).alias(c) for c in own]
+    """The caller's columns by their names, those named here replaced or added at the end."""
+    own = [c.removeprefix("in_") for c in df.columns if c.startswith("in_")]
+    kept = [columns.pop(c).alias(c) if c in columns else F.col(f"`in_{c}`").alias(c) for c in own]
     return df.select(*kept, *(c.alias(n) for n, c in columns.items()))
 
 

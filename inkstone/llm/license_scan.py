@@ -128,16 +128,16 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, th
     Every line, every paragraph of several lines and every whole text that holds a word of ``NOTICE`` is a TF-IDF vector of words and word pairs (idf over the templates); the template of the highest cosine names the license, ties going to the smaller name. ``origin`` is "header" for a line or paragraph and "file" for a whole text (the line if both score the same, unless the file's name is a licence file's). A licence file is one whose name says so or whose whole text reaches the threshold; files without a license of their own take that of the licence file in the nearest directory above them ("inherited", with that directory in ``license_from``): of several there the best score, then the smaller name. Else all four are null; so they are for null or empty texts without a licence file above. Null paths have no directory. Texts may be of any length. Rows that repeat are judged alike; an empty table gives no rows; columns of ``files`` with the names added are replaced; other names are free.
     """
     rows = carried(files, ("license", "score", "origin", "license_from"))
-    directory = F.when(F.col("row.path").isNotNull(), F.regexp_replace("row.path", r"(^|/)[^/]*$", ""))
-    rows = rows.withColumns({"key": F.xxhash64("row.path", "row.text"), "dir": directory})
+    directory = F.when(F.col("in_path").isNotNull(), F.regexp_replace("in_path", r"(^|/)[^/]*$", ""))
+    rows = rows.withColumns({"key": F.xxhash64("in_path", "in_text"), "dir": directory})
     idf, units, unknown = vectors(templates, full)
     spark = files.sparkSession
     terms_of = [{"t": t, "i": idf[t], "w": [{"license": n, "n": k, "w": u[t]} for n, k, u in units if t in u]} for t in sorted(idf)]
     # A row for each term of the templates, however large the input.
     weights = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(terms_of)), "array<struct<t: string, i: double, w: array<struct<license: string, n: int, w: double>>>>")))
 
-    hit = rows.filter(F.col("row.text").rlike(NOTICE))
-    hit = hit.select("key", "dir", F.coalesce(F.col("row.path").rlike(NAMES), F.lit(False)).alias("named"), lowered(F.col("row.text")).alias("low")).dropDuplicates(["key"])
+    hit = rows.filter(F.col("in_text").rlike(NOTICE))
+    hit = hit.select("key", "dir", F.coalesce(F.col("in_path").rlike(NAMES), F.lit(False)).alias("named"), lowered(F.col("in_text")).alias("low")).dropDuplicates(["key"])
     # Paragraphs of several lines are numbered from -2 down.
     wrapped = F.filter(F.transform(paragraphs(F.col("low")), lambda x, i: F.struct((-2 - i).alias("no"), x.alias("part"))), lambda p: p["part"].contains("\n"))
     parts = F.concat(F.array(F.struct(F.lit(-1).alias("no"), F.col("low").alias("part"))), F.transform(F.split("low", "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("part"))), wrapped)

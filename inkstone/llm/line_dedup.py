@@ -39,8 +39,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     The filter of keys seen twice, built behind that of keys seen once, picks the suspects; only these shuffle, as text, to be counted exactly.
     """
     spark, rows = docs.sparkSession, carried(docs, ("n_lines", "n_dropped"))
-    text = F.coalesce("row.text", F.lit(""))
-    keyed = rows.withColumns({"id": F.coalesce("row.doc_id", F.lit(-(1 << 63))), "tkey": text_key(F.col("row.text"))})
+    text = F.coalesce("in_text", F.lit(""))
+    keyed = rows.withColumns({"id": F.coalesce("in_doc_id", F.lit(-(1 << 63))), "tkey": text_key(F.col("in_text"))})
     bits = bloom.bits_for(docs.count(), 256)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

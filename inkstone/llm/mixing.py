@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     ``size`` is the number of words of the text (null: 0). Sources stand by code point, null last, and weigh ``weights``, repeating. Every document is taken ``target // source_size`` times; the remaining budget picks some once more: counts by exact length are fitted by dynamic programming, and within a source and length the documents of the lowest seeded hash are picked. The hash is over doc_id and text, so rows repeated in full are picked alike; reruns agree. Empty texts are taken with the base count. An empty table gives no rows. Columns of ``docs`` that have the names added are replaced; other names are free.
     """
     rows = carried(docs, ("size", "source_size", "target", "copies"))
-    rows = rows.withColumns({"source": F.col("row.source"), "size": F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long"), "key": F.xxhash64(F.lit(seed), "row.doc_id", "row.text")})
+    rows = rows.withColumns({"source": F.col("in_source"), "size": F.coalesce(F.regexp_count("in_text", F.lit(WORD)), F.lit(0)).cast("long"), "key": F.xxhash64(F.lit(seed), "in_doc_id", "in_text")})
     sized = checkpoint(rows.select("source", "size", "key"))
     lengths = checkpoint(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bloom, textvec
-from .common import carried, checkpoint, chunk_pairs, released, short_batches, small, table
+from .common import carried, checkpoint, chunk_pairs, of_caller, released, short_batches, small, table
 from .graph import components, forest
 
 #: Prefix trees; minhashes that a tree has to itself; places of the sequence that a tree is sorted by, which goes on with other trees' minhashes.
@@ -238,8 +238,8 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, width: int = 5, target:
     Equal texts are one node. Nodes under one root of a trie whose signatures agree nearly enough are joined, and so form clusters; in these the nodes that have a partner by signature are verified by their words, and only counts and spanning trees leave a task. Groups and clusters of any size are dealt out as pairs of chunks. ``slack`` is how many standard deviations a signature may lie under the threshold to be verified; with None all pairs under a root are.
     """
     spark, rows = docs.sparkSession, carried(docs, ("n_links", "component_id", "kept"))
-    full = F.col("row.text")
-    rows = rows.withColumns({"own_node": F.xxhash64(F.sha2(full, 256)), "own_id": F.coalesce("row.doc_id", F.lit(-(1 << 63)))})
+    full = F.col("in_text")
+    rows = rows.withColumns({"own_node": F.xxhash64(F.sha2(full, 256)), "own_id": F.coalesce("in_doc_id", F.lit(-(1 << 63)))})
     raw = full.cast("binary").alias("text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,12 +350,12 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, width: int = 5, target:
     told = small(checkpoint(near.unionByName(plain.filter("n > 0"))), 100_000)
     out = rows.join(told, F.col("own_node") == F.col("node"), "left")
     stays = F.col("node").isNull() | ((F.col("own_id") == F.col("least")) & (F.col("node") == F.col("keeper")))
-    out = out.select("row", "own_node", "own_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "own_id").alias("component_id"), stays.alias("kept"))
+    out = out.select(*of_caller(out), "own_node", "own_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "own_id").alias("component_id"), stays.alias("kept"))
     # Repeated rows are rare: only if there are any, one of each is chosen.
     repeats = rows.filter(F.length(full) > 0).groupBy(F.col("own_id").alias("i"), F.col("own_node").alias("m")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     if repeats.limit(1).count():
         same = (F.col("own_id") == F.col("i")) & (F.col("own_node") == F.col("m"))
-        nth = F.row_number().over(Window.partitionBy("own_id", "own_node").orderBy(F.xxhash64("row")))
+        nth = F.row_number().over(Window.partitionBy("own_id", "own_node").orderBy(F.xxhash64(*of_caller(out))))
         out = out.join(repeats, same, "left_anti").unionByName(out.join(repeats, same, "left_semi").withColumn("kept", F.col("kept") & (nth == 1)))
     return released(out, n_links=F.col("n_links"), component_id=F.col("component_id"), kept=F.col("kept"))
 

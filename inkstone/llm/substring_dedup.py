@@ -125,11 +125,11 @@ def dedup_passages(docs: DataFrame, window: int = 35) -> DataFrame:
     """
     block, spark = (window + 1) // 2, docs.sparkSession
     rows = carried(docs, ("n_words", "n_removed", "repeats"))
-    text = F.col("row.text")
+    text = F.col("in_text")
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     bits, n_groups = bloom.bits_for(total["bytes"] // (5 * block)), max(total["n"] // TOGETHER, total["bytes"] // REWRITE_BYTES) + 1
     n_buckets = min(MANY, max(FEW, total["bytes"] // CONFIRM_BYTES))
-    keyed = rows.withColumn("key", F.xxhash64("row.doc_id", text_key(text)))
+    keyed = rows.withColumn("key", F.xxhash64("in_doc_id", text_key(text)))
     keyed = keyed.withColumn("group", (F.shiftrightunsigned("key", 1) % F.lit(n_groups)).cast("int"))
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +187,8 @@ def dedup_passages(docs: DataFrame, window: int = 35) -> DataFrame:
     asked = keyed.select("key", text.cast("binary").alias("text")).mapInArrow(probe, "bucket int, known boolean, h binary, h2 binary, key binary, at binary")
     found = asked.groupBy("bucket").applyInArrow(confirm, "group int, key binary, at binary")
 
+    given = rows.columns
+
     def rewrite(texts: pa.Table, repeats: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(repeats["key"].to_pylist()), np.int64)
         at = np.frombuffer(b"".join(repeats["at"].to_pylist()), np.int32)
@@ -195,7 +197,7 @@ def dedup_passages(docs: DataFrame, window: int = 35) -> DataFrame:
         own = texts["key"].to_numpy()
         lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
         kept, n_words, n_removed, gaps = [], [], [], []
-        for c in textvec.chunks([x and x.encode() for x in pa.compute.struct_field(texts["row"], "text").to_pylist()]):
+        for c in textvec.chunks([x and x.encode() for x in texts["in_text"].to_pylist()]):
             edge = np.zeros(len(c.hashes) + 1, np.int32)
             for k in range(len(c.texts)):
                 first = c.first[k] + at[lo[c.at + k] : hi[c.at + k]]
@@ -207,10 +209,10 @@ def dedup_passages(docs: DataFrame, window: int = 35) -> DataFrame:
             n_removed += np.diff(np.concatenate(([0], np.cumsum(gone)))[c.first]).tolist()
             gaps += runs(c, gone)
         span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        return pa.table([texts["row"], pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(gaps, span)], names=schema.names)
+        return pa.table([*(texts[n] for n in given), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(gaps, span)], names=schema.names)
 
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
-    schema = T.StructType([rows.schema["row"], T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("repeats", spans)])
+    schema = T.StructType([*rows.schema, T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("repeats", spans)])
     out = keyed.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(rewrite, schema)
     follows = {"n_chars": F.char_length("kept").cast("long")} if "n_chars" in docs.columns else {}
     return released(out, text=F.col("kept"), n_words=F.col("n_words"), n_removed=F.col("n_removed"), repeats=F.col("repeats"), **follows)

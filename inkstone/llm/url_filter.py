@@ -98,9 +98,9 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     The longest rule that fits a URL decides; without one, the classifier: block if ``score`` is above 0, else allow. Words of the host (its parts split by Viterbi with word counts of all html) and of the path are tokens of multinomial naive Bayes with add-one smoothing. It learns from ``examples`` (url, verdict: block or allow), those among the URLs of ``pages``; a URL with both verdicts counts for both. By default the examples are the distinct URLs of ``pages`` that a rule decides, so the rest is judged by its likeness to these. Words and URLs may be of any length. Null URLs and those without ``://`` have no tokens and get the odds of the classes alone; null html counts as empty; without any example all scores are 0. Rows that repeat are judged alike. An empty table gives no rows. Columns of ``pages`` with the names added are replaced; other names are free.
     """
     rows = carried(pages, ("host", "path", "rule", "score", "verdict"))
-    rows = rows.withColumn("own", F.coalesce("row.url", F.lit("")))
+    rows = rows.withColumn("own", F.coalesce("in_url", F.lit("")))
     urls = checkpoint(rows.select(F.col("own").alias("url")).distinct())
-    tokens = checkpoint(tokens_of(urls, rows.select(F.coalesce("row.html", F.lit("")).alias("text"))))
+    tokens = checkpoint(tokens_of(urls, rows.select(F.coalesce("in_html", F.lit("")).alias("text"))))
     if examples is None:
         labelled = urls.select("url", by_rules(*url_parts(F.col("url")), rules)[1].alias("verdict"))
     else:
@@ -115,7 +115,8 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     # Words that no example has say nothing.
     weights = small(counted, 100_000).select("kind", "word", odds.alias("w"))
     scores = tokens.join(weights, ["kind", "word"]).groupBy("url").agg(F.sum(F.col("tf") * F.col("w")).alias("sum"))
-    out = rows.join(scores, F.col("own") == F.col("url"), "left").withColumn("odds", F.coalesce("sum", F.lit(0.0)) + F.lit(prior))
+    # One row a URL: where there are few, the pages stay where they are.
+    out = rows.join(small(checkpoint(scores), 100_000), F.col("own") == F.col("url"), "left").withColumn("odds", F.coalesce("sum", F.lit(0.0)) + F.lit(prior))
     host, path = url_parts(F.col("own"))
     rule, verdict = by_rules(host, path, rules)
     by_score = F.when(F.col("odds") > 0, "block").otherwise("allow")
