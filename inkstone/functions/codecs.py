@@ -31,6 +31,33 @@ def ctc_encode(text: Column, alphabet: str, length: int) -> Column:
     return padded(ids(text, alphabet), length)
 
 
+def strict(text: Column, alphabet: str, length: int) -> Column:
+    """``text`` if it can be encoded; else the query fails, on a character that is not in ``alphabet`` or on more than ``length``."""
+    bad = F.when(F.char_length(text) > length, F.concat(F.lit("label is longer than "), F.lit(str(length)), F.lit(": "), text)).when(~known(text, alphabet), F.concat(F.lit("label has characters outside the vocabulary: "), text))
+    return F.when(bad.isNotNull(), F.raise_error(bad).cast("string")).otherwise(text)
+
+
+def flat_ids(text: Column, alphabet: str) -> Column:
+    """Ids from 1 without padding, as a row of the flat encoding has them."""
+    return ids(text, alphabet)
+
+
+def flat_decode(all_ids: Column, offset: Column, length: Column, alphabet: str) -> Column:
+    """The text of one row of a flat id vector: blanks and adjacent repeats drop out within the row."""
+    return ctc_decode(F.slice(all_ids, offset + 1, length), alphabet)
+
+
+def attention_decode(values: Column, alphabet: str) -> Column:
+    """All tokens of a row joined, markers too: 0 is ``[GO]``, 1 is ``[s]``, characters follow."""
+    tokens = F.array(F.lit("[GO]"), F.lit("[s]"), *(F.lit(c) for c in alphabet))
+    return F.array_join(F.transform(values, lambda x: F.element_at(tokens, x + 1)), "")
+
+
+def prune_values(values: Column, text: Column, end: str = "[s]") -> Column:
+    """The values (one a character) of what ``prune`` leaves of ``text``."""
+    return F.slice(values, 1, F.greatest(F.lit(0), F.least(F.size(values), F.when(F.instr(text, end) > 0, F.instr(text, end) - 1).otherwise(F.char_length(text) - 1))))
+
+
 def ctc_decode(values: Column, alphabet: str) -> Column:
     """Drop blanks and adjacent repeats (the first of a run stays) and look the rest up."""
     kept = F.filter(values, lambda x, i: (x != 0) & ((i == 0) | (F.get(values, i - 1) != x)))

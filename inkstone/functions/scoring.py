@@ -15,7 +15,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance; bands of growing width come first, as the whole table is dear for long texts. A band that is too narrow says -1."""
-    banded = (let(F.levenshtein(a, b, width), lambda d: F.when(d >= 0, d)) for width in (32, 512, 4096))
+    banded = (let(F.levenshtein(a, b, width), lambda d: F.when(d >= 0, d)) for width in (16, 64, 256, 1024, 4096))
     return F.coalesce(*banded, F.levenshtein(a, b))
 
 
@@ -32,6 +32,13 @@ def softmax(x: Column) -> Column:
     return let(F.array_max(x).cast("double"), lambda top: let(F.transform(x, lambda v: F.exp(v.cast("double") - top)), shares))
 
 
+def log_softmax(x: Column) -> Column:
+    def shifted(top: Column) -> Column:
+        return let(F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v.cast("double") - top))) + top, lambda total: F.transform(x, lambda v: v.cast("double") - total))
+
+    return let(F.array_max(x).cast("double"), shifted)
+
+
 def argmax(x: Column) -> Column:
     """Place (from 0) of the largest value, the first of equals."""
     return (F.array_position(x, F.array_max(x)) - 1).cast("int")
@@ -57,6 +64,11 @@ def centred(x: Column) -> Column:
     return F.transform(x, lambda v: (v.cast("double") - 0.5) / 0.5)
 
 
+def uncentred(x: Column) -> Column:
+    """From -1..1 back to 0..1."""
+    return F.transform(x, lambda v: v.cast("double") * 0.5 + 0.5)
+
+
 def one_hot(k: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: (j == k).cast("int"))
 

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codecs import chars
+from ..functions.scoring import edit_distance
+
 PAIRS = "array<struct<g: string, p: string>>"
-COUNTS = "array<struct<g: string, p: string, times: long>>"
 
 
 #: Costs that are kept whole (cells); of more, rows at a distance are kept and those between worked out again.
@@ -90,13 +92,85 @@ def aligned(gt: Column, pred: Column) -> Column:
     return F.pandas_udf(align_all, PAIRS)(gt, pred)
 
 
-def count_all(gt: pd.Series, pred: pd.Series) -> pd.Series:
-    return pd.Series([[{"g": g, "p": p, "times": n} for (g, p), n in Counter(align(a, b)).items()] if a is not None and b is not None else None for a, b in zip(gt, pred, strict=True)])
-
-
-def counted_pairs(gt: Column, pred: Column) -> Column:
-    """How often each pair comes in the alignment; null if either is null."""
-    return F.pandas_udf(count_all, COUNTS)(gt, pred)
+#: Cells of a batch of tables, and the longest one that goes with others.
+CELLS, NONE = 1 << 23, -1
+
+
+def align_many(gts: list[np.ndarray], preds: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """Arrays (place, label character, predicted character), -1 for a gap, of alignments whose distance is at most ``width``: tables of many pairs are filled side by side within the band, then traced back side by side, by the rules of ``align``."""
+    b, n, m = len(gts), np.array([len(g) for g in gts]), np.array([len(p) for p in preds])
+    rows, wide = int(n.max()), 2 * width + 1
+    g, p = np.full((b, rows), -2, np.int32), np.full((b, rows + wide + 1), -3, np.int32)
+    for k in range(b):
+        g[k, : n[k]] = gts[k]
+        p[k, width : width + m[k]] = preds[k][: rows + width + 1]
+    places = np.arange(wide, dtype=np.int32)
+    row = np.broadcast_to(np.where(places >= width, places - width, np.int32(FAR)), (b, wide))
+    move = np.empty((rows, b, wide), np.uint8)
+    for i in range(rows):
+        across = row + (p[:, i : i + wide] != g[:, i, None])
+        down = np.full((b, wide), FAR, np.int32)
+        down[:, :-1] = row[:, 1:] + 1
+        row = np.minimum.accumulate(np.minimum(across, down) - places, axis=1) + places
+        other = row != across
+        move[i] = other.astype(np.uint8) + (other & (row != down))
+    i, j, at, out = n.copy(), m.copy(), np.arange(b), []
+    while len(at := at[(i[at] > 0) | (j[at] > 0)]):
+        x, y = i[at], j[at]
+        step = np.where(x == 0, 2, move[np.maximum(x - 1, 0), at, np.clip(y - x + width, 0, wide - 1)])
+        back, left = step != 2, step != 1
+        out.append(np.stack((at, np.where(back, g[at, x - 1], NONE), np.where(left, p[at, y - 1 + width], NONE))))
+        i[at] -= back
+        j[at] -= left
+    return out
+
+
+def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each pair of characters comes in the alignments of (gt, pred, d: their distance, n: how often they come), by batch."""
+    for batch in batches:
+        found: list[np.ndarray] = []
+        times = batch["n"].to_numpy()
+
+        def take(of: np.ndarray, g: np.ndarray, p: np.ndarray, found=found, times=times) -> None:
+            # One number a pair, with room for -1.
+            code, at = np.unique((g.astype(np.int64) + 1) << 22 | (p + 1), return_inverse=True)
+            found.append(np.stack((code, np.bincount(at, weights=times[of]).astype(np.int64))))
+
+        todo = []
+        for k, (gt, pred, d) in enumerate(zip(batch["gt"].to_pylist(), batch["pred"].to_pylist(), batch["d"].to_pylist(), strict=True)):
+            g, p = (np.frombuffer(x.encode("utf-32-le"), "<i4") for x in (gt, pred))
+            # Equal ends pair off first, as the trace begins there.
+            short = min(len(g), len(p))
+            differ = np.flatnonzero(g[len(g) - short :][::-1] != p[len(p) - short :][::-1])
+            same = int(differ[0]) if len(differ) else short
+            if same:
+                take(np.full(same, k), g[len(g) - same :], p[len(p) - same :])
+            g, p = g[: len(g) - same], p[: len(p) - same]
+            width = 1 << max(2, int(d).bit_length())
+            if not len(g) or not len(p):
+                gap = np.full(len(g) + len(p), NONE)
+                take(np.full(len(gap), k), *((g, gap) if len(g) else (gap, p)))
+            elif len(g) * (2 * width + 1) > CELLS:
+                pairs = align("".join(map(chr, g)), "".join(map(chr, p)))
+                take(np.full(len(pairs), k), *(np.array([NONE if c is None else ord(c) for c in x]) for x in zip(*pairs, strict=True)))
+            else:
+                todo.append((width, len(g), k, g, p))
+        todo.sort(key=lambda x: x[:3])
+        while todo:
+            width, upto = todo[0][0], 0
+            while upto < len(todo) and todo[upto][0] == width and (upto + 1) * todo[upto][1] * (2 * width + 1) <= CELLS:
+                upto += 1
+            group, todo = todo[: max(1, upto)], todo[max(1, upto) :]
+            names = np.array([x[2] for x in group])
+            traced = np.concatenate(align_many([x[3] for x in group], [x[4] for x in group], width), axis=1)
+            take(names[traced[0]], traced[1], traced[2])
+        if found:
+            code, n = np.concatenate(found, axis=1)
+            code, at = np.unique(code, return_inverse=True)
+            sums = np.zeros(len(code), np.int64)
+            np.add.at(sums, at, n)
+            letters = [pa.array([chr(c) if c >= 0 else None for c in side.tolist()], pa.string()) for side in ((code >> 22) - 1, (code & ((1 << 22) - 1)) - 1)]
+            yield pa.RecordBatch.from_arrays([*letters, pa.array(sums)], ["g", "p", "n"])
 
 
 def char_report(pairs: DataFrame, gt: Column, pred: Column, vocab: DataFrame | None = None) -> DataFrame:
@@ -105,11 +179,28 @@ def char_report(pairs: DataFrame, gt: Column, pred: Column, vocab: DataFrame | N
     With ``vocab`` (ch) characters that never occur are there with zeros and a null accuracy.
     """
     texts = pairs.select(F.replace(gt, F.lit(" "), F.lit("")).alias("gt"), F.replace(pred, F.lit(" "), F.lit("")).alias("pred"))
-    # Each pair of texts is aligned once, however often it comes; by number, as small partitions of costly rows must not be merged.
+    # Each pair of texts is aligned once, however often it comes, equal ones not at all; by number, as small partitions of costly rows must not be merged.
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = texts.repartition(n, "gt", "pred").groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("n"))
-    both = distinct.select("n", counted_pairs(F.col("gt"), F.col("pred")).alias("a")).select("n", F.inline("a")).withColumn("n", F.col("n") * F.col("times"))
+    distinct = texts.filter("gt is not null and pred is not null").repartition(n, "gt", "pred").groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("n"))
+    same = distinct.filter(F.col("gt") == F.col("pred")).select("n", F.explode(chars(F.col("gt"))).alias("g")).select(F.col("g"), F.col("g").alias("p"), "n")
+    other = distinct.filter(F.col("gt") != F.col("pred")).withColumn("d", edit_distance(F.col("gt"), F.col("pred")))
+    aligned_ = other.mapInArrow(count_pairs, "g string, p string, n long")
+    both = aligned_.unionByName(same.groupBy("g", "p").agg(F.sum("n").alias("n")))
     counted = both.groupBy(F.col("g").alias("ch")).agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("g") == F.col("p"), F.col("n"))), F.lit(0)).alias("correct"))
     if vocab is not None:
         counted = counted.join(vocab.select("ch"), "ch", "right").select("ch", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("correct", F.lit(0)).alias("correct"))
     return counted.withColumn("accuracy", F.when(F.col("total") > 0, 100 * F.col("correct") / F.col("total")))
+
+
+def checked(report: DataFrame, letters: str, drop_zero: bool = False) -> DataFrame:
+    """The report's rows for ``letters``; with ``drop_zero`` those of accuracy 0 go as well, which hides the worst characters."""
+    rows = report.filter(F.col("ch").isin(*letters) & (F.col("total") != 0))
+    return rows.filter("accuracy <> 0") if drop_zero else rows
+
+
+def histogram(values: DataFrame, value: str, bins: int = 20) -> DataFrame:
+    """(bin, low, n): counts in ``bins`` equal steps from the least value to the largest, which is in the last one."""
+    ends = values.agg(F.min(value).alias("__a"), F.max(value).alias("__b"))
+    step = (F.col("__b") - F.col("__a")) / bins
+    at = F.when(step > 0, F.least(F.floor((F.col(value) - F.col("__a")) / step), F.lit(bins - 1))).otherwise(0)
+    return values.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).select(at.alias("bin"), (F.col("__a") + at * step).alias("low")).groupBy("bin", "low").agg(F.count(F.lit(1)).alias("n"))

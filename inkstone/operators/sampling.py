@@ -6,24 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(df: DataFrame, key: str, value: Column, name: str, by: tuple[str, ...] = (), ranges: int = 200) -> DataFrame:
-    """The sum of ``value`` over all rows up to this one by a numeric ``key`` (of equal rows in ``by``), without one task for all rows: values are summed by key range, and run on within a range.
+def running_total(df: DataFrame, key: str, value: Column, name: str, by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
+    """The sum of ``value`` over all rows up to this one by ``key`` (of equal rows in ``by``), without one task for all rows: rows are laid out by ranges of the key that hold about as many rows each, summed by range, and run on within a range.
 
-    The ranges' totals are ``ranges`` rows for each of ``by``, however large the input. Ties run on in any order; a null key comes first.
+    The ranges' totals are a row for each range and value of ``by`` in it, however large the input. Keys may be of any type that sorts; ties run on in any order, a null key comes first, a null value adds nothing. ``ranges`` is the number of shuffle partitions unless given.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    placed = df.withColumn("__range", F.coalesce(F.floor((F.col(key) - (low or 0)) / width), F.lit(-1)))
-    totals = placed.groupBy(*by, "__range").agg(F.sum(value).alias("__n"))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    amount = F.coalesce(value, F.lit(0))
+    placed = df.repartitionByRange(ranges, *(F.col(c).asc_nulls_first() for c in (*by, key))).withColumn("__range", F.spark_partition_id())
+    totals = placed.groupBy(*by, "__range").agg(F.sum(amount).alias("__n"))
     before = totals.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__range").alias("__r"), (F.sum("__n").over(Window.partitionBy(*by).orderBy("__range")) - F.col("__n")).alias("__before"))
-    within = F.sum(value).over(Window.partitionBy(*by, "__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum(amount).over(Window.partitionBy(*by, "__range").orderBy(F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     same = F.col("__range") == F.col("__r")
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
     return placed.withColumn("__run", within).join(before, same).withColumn(name, F.col("__run") + F.col("__before")).drop("__range", "__r", "__run", "__before", *(f"__{c}" for c in by))
 
 
-def dense_index(df: DataFrame, key: str, name: str = "idx", by: tuple[str, ...] = (), ranges: int = 200) -> DataFrame:
+def dense_index(df: DataFrame, key: str, name: str = "idx", by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """Number rows (of equal ``by``) from 1 by ``key``, without gaps."""
     return running_total(df, key, F.lit(1), name, by, ranges).withColumn(name, F.col(name).cast("long"))
 
@@ -33,9 +33,45 @@ def batch_quota(size: int, ratio: float) -> int:
     return max(round(size * ratio), 1)
 
 
-def balanced_batches(df: DataFrame, source: str, key: str, size: int, ratio: float) -> DataFrame:
-    """Deal each source's rows to batches of its quota, by ``key``: ``batch_id`` from 0."""
-    return dense_index(df, key, "__i", (source,)).withColumn("batch_id", F.floor((F.col("__i") - 1) / batch_quota(size, ratio))).drop("__i")
+def mini_batches(df: DataFrame, key: str, size: int) -> DataFrame:
+    """Deal rows to batches of ``size`` by ``key``, the last one perhaps shorter: ``batch_id`` from 0."""
+    return dense_index(df, key, "__i").withColumn("batch_id", F.floor((F.col("__i") - 1) / size)).drop("__i")
+
+
+def balanced_batches(df: DataFrame, source: str, key: str, size: int, ratio: float | dict[str, float], batches: int | None = None) -> DataFrame:
+    """Deal each source's rows to batches of its quota, by ``key``: ``batch_id`` from 0.
+
+    ``ratio`` is one share for all sources or one for each; sources without one are left out. With ``batches`` there are so many, and a source that runs out starts again; without, each row comes once.
+    """
+    shares = ratio if isinstance(ratio, dict) else None
+    rows = df.filter(F.col(source).isin(*shares)) if shares else df
+    quota = F.lit(batch_quota(size, ratio)) if shares is None else F.element_at(F.create_map(*(F.lit(x) for s, r in shares.items() for x in (s, batch_quota(size, r)))), F.col(source))
+    numbered = dense_index(rows, key, "__i", (source,)).withColumn("__q", quota.cast("long"))
+    if batches is None:
+        return numbered.withColumn("batch_id", F.floor((F.col("__i") - 1) / F.col("__q"))).drop("__i", "__q")
+    counts = rows.groupBy(F.col(source).alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    # A row stands at its place in every round that still begins within the batches.
+    at = F.filter(F.transform(F.sequence(F.lit(0), F.floor((F.col("__q") * batches - F.col("__i")) / F.col("__n"))), lambda k: F.floor((F.col("__i") - 1 + k * F.col("__n")) / F.col("__q"))), lambda b: b < batches)
+    again = numbered.join(counts, F.col(source).eqNullSafe(F.col("__s"))).filter(F.col("__i") <= F.col("__q") * batches)
+    return again.withColumn("batch_id", F.explode(at)).drop("__i", "__q", "__s", "__n")
+
+
+def total_quota(size: int, ratios: dict[str, float]) -> int:
+    """Rows of one balanced batch."""
+    return sum(batch_quota(size, r) for r in ratios.values())
+
+
+def shuffled(df: DataFrame, epoch: int, key: str) -> DataFrame:
+    """Rows numbered from 1 (``place``) in an order that is new for each epoch and the same in every run."""
+    return dense_index(df.withColumn("__o", seeded_order(epoch, F.col(key))), "__o", "place").drop("__o")
+
+
+def draws(df: DataFrame, index: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows drawn with replacement from rows numbered 1, 2, ... in ``index``: one row for each draw, ``draw`` from 1."""
+    spark, total = df.sparkSession, df.agg(F.max(index).alias("__n"))
+    wanted = spark.range(1, n + 1).select(F.col("id").alias("draw")).crossJoin(F.broadcast(total))
+    wanted = wanted.withColumn("__at", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.col("__n")) + 1).drop("__n")
+    return df.join(F.broadcast(wanted), F.col(index) == F.col("__at")).drop("__at")
 
 
 def prefix_fraction(df: DataFrame, source: str, key: str, ratio: float) -> DataFrame:

@@ -6,16 +6,15 @@ Lines of documents stand in for labels, a fixed corruption of them for predictio
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, scoring
-from ..operators import alignment, sampling
+from ..operators import alignment, evaluation, sampling
 from ..sources import samples
 
-#: Labels longer than this are filtered, as a recogniser's input is.
+#: Characters of a label at most, where the operator has such a limit: the length filter and the encoders of fixed width.
 LONGEST = 100
 ALPHABET = "abcdefghijklmnopqrstuvwxyz ,."
 
@@ -23,17 +22,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None, whole: bool = False):
-    """Register a query and its SQL; with ``whole`` it takes ``longest``, and NAME_whole is the same query over lines of any length."""
+def query(sql: str | None = None):
+    """Register a query and its SQL."""
 
-    def register(f: Callable[..., DataFrame]):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = f"{WITH}{sql}"
-        if whole:
-            QUERIES[f"{f.__name__}_whole"] = partial(f, longest=None)
-            if sql:
-                ORACLE[f"{f.__name__}_whole"] = f"{WITH_WHOLE}{sql}"
+            ORACLE[f.__name__] = sql if sql.startswith("WITH") else f"{WITH}{sql}"
         return f
 
     return register
@@ -43,23 +38,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labels(spark: SparkSession, sf_dir: str, longest: int | None = LONGEST) -> DataFrame:
-    """(doc_id, source, lang, no, label): lines of documents within the label length, or all."""
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, lang, no, label): every line of every document."""
     lines = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("no", "label"))
-    if longest is not None:
-        return lines.filter(F.char_length("label") <= longest)
-    # Long lines are dear to compare, so they are dealt out singly; by number, as small partitions of costly rows must not be merged.
+    # Long lines are dear to compare, so lines are dealt out singly; by number, as small partitions of costly rows must not be merged.
     return lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "no")
 
 
+def short_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that the length filter leaves."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "label"))
+    return lines.filter(F.char_length("label") <= LONGEST)
+
+
 def corrupted(gt: Column) -> Column:
     kind = F.col("doc_id") % 4
     return F.when(kind == 0, gt).when(kind == 1, F.replace(gt, F.lit("e"), F.lit("a"))).when(kind == 2, F.substring(gt, F.lit(2), F.char_length(gt))).otherwise(F.replace(gt, F.lit("n"), F.lit("")))
 
 
-def pairs(spark: SparkSession, sf_dir: str, longest: int | None = LONGEST) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, no, gt, pred, ned) in ASCII."""
-    both = labels(spark, sf_dir, longest).withColumn("gt", F.regexp_replace("label", r"[^\x00-\x7F]", "#")).withColumn("pred", corrupted(F.col("gt")))
+    both = labels(spark, sf_dir).withColumn("gt", F.regexp_replace("label", r"[^\x00-\x7F]", "#")).withColumn("pred", corrupted(F.col("gt")))
     return both.withColumn("ned", scoring.normalized_similarity(F.col("gt"), F.col("pred")))
 
 
@@ -69,7 +68,9 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WITH = rf"""WITH label AS (
-  SELECT * FROM (SELECT doc_id, source, lang, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no, unnest(string_split(text, chr(10))) AS label FROM documents) WHERE length(label) <= {LONGEST}
+  SELECT doc_id, source, lang, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no, unnest(string_split(text, chr(10))) AS label FROM documents
+), short_label AS (
+  SELECT * FROM label WHERE length(label) <= {LONGEST}
 ), gt AS (
   SELECT *, regexp_replace(label, '[^\x00-\x7F]', '#', 'g') AS gt FROM label
 ), guess AS (
@@ -82,29 +83,27 @@ WITH = rf"""WITH label AS (
   SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
 )
 """
-#: The same over lines of any length.
-WITH_WHOLE = WITH.replace(f" WHERE length(label) <= {LONGEST}", "")
 
 
-@query("SELECT source, count(*) AS n, round(100 * avg(CAST(gt = pred AS INTEGER)), 6) AS accuracy, round(sum(ned * length(gt)) / nullif(sum(length(gt)), 0), 6) AS norm_ed, CAST(sum(length(gt)) AS BIGINT) AS chars FROM pair GROUP BY source", whole=True)
-def eval_summary(spark, sf_dir, longest=LONGEST):
+@query("SELECT source, count(*) AS n, round(100 * avg(CAST(gt = pred AS INTEGER)), 6) AS accuracy, round(sum(ned * length(gt)) / nullif(sum(length(gt)), 0), 6) AS norm_ed, CAST(sum(length(gt)) AS BIGINT) AS chars FROM pair GROUP BY source")
+def eval_summary(spark, sf_dir):
     size = F.char_length("gt")
-    return pairs(spark, sf_dir, longest).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg((F.col("gt") == F.col("pred")).cast("int")), 6).alias("accuracy"), F.round(F.sum(F.col("ned") * size) / F.nullif(F.sum(size), F.lit(0)), 6).alias("norm_ed"), F.sum(size).alias("chars"))
+    return pairs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg((F.col("gt") == F.col("pred")).cast("int")), 6).alias("accuracy"), F.round(F.sum(F.col("ned") * size) / F.nullif(F.sum(size), F.lit(0)), 6).alias("norm_ed"), F.sum(size).alias("chars"))
 
 
-@query("SELECT doc_id, no, round(ned, 6) AS ned FROM pair", whole=True)
-def normalized_edit_distance(spark, sf_dir, longest=LONGEST):
-    return pairs(spark, sf_dir, longest).select("doc_id", "no", F.round("ned", 6).alias("ned"))
+@query("SELECT doc_id, no, round(ned, 6) AS ned FROM pair")
+def normalized_edit_distance(spark, sf_dir):
+    return pairs(spark, sf_dir).select("doc_id", "no", F.round("ned", 6).alias("ned"))
 
 
-@query("SELECT doc_id, no, gt, pred FROM pair WHERE round(ned * 100, 6) <= 80", whole=True)
-def threshold_report(spark, sf_dir, longest=LONGEST):
-    return pairs(spark, sf_dir, longest).filter(F.round(F.col("ned") * 100, 6) <= 80).select("doc_id", "no", "gt", "pred")
+@query("SELECT doc_id, no, gt, pred FROM pair WHERE round(ned * 100, 6) <= 80")
+def threshold_report(spark, sf_dir):
+    return pairs(spark, sf_dir).filter(F.round(F.col("ned") * 100, 6) <= 80).select("doc_id", "no", "gt", "pred")
 
 
-@query("SELECT CAST(least(floor(round(ned, 6) * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM pair GROUP BY 1", whole=True)
-def ned_histogram(spark, sf_dir, longest=LONGEST):
-    return pairs(spark, sf_dir, longest).groupBy(F.least(F.floor(F.round("ned", 6) * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+@query("SELECT CAST(least(floor(round(ned, 6) * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM pair GROUP BY 1")
+def ned_histogram(spark, sf_dir):
+    return pairs(spark, sf_dir).groupBy(F.least(F.floor(F.round("ned", 6) * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT ch, count(*) AS total FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch")
@@ -112,18 +111,18 @@ def char_frequency(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(codecs.chars(F.col("text"))).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("total"))
 
 
-@query("SELECT ch, total, correct, round(100.0 * correct / total, 6) AS accuracy FROM (SELECT g AS ch, count(*) AS total, count(*) FILTER (WHERE g = p) AS correct FROM (SELECT unnest(string_split(gt, '')) AS g, unnest(string_split(replace(gt, 'e', 'a'), '')) AS p FROM gt) WHERE g <> '' GROUP BY g)", whole=True)
-def char_accuracy(spark, sf_dir, longest=LONGEST):
+@query("SELECT ch, total, correct, round(100.0 * correct / total, 6) AS accuracy FROM (SELECT g AS ch, count(*) AS total, count(*) FILTER (WHERE g = p) AS correct FROM (SELECT unnest(string_split(gt, '')) AS g, unnest(string_split(replace(gt, 'e', 'a'), '')) AS p FROM gt) WHERE g <> '' GROUP BY g)")
+def char_accuracy(spark, sf_dir):
     gt = F.regexp_replace("label", r"[^\x00-\x7F]", "#")
     zipped = F.arrays_zip(codecs.chars(gt).alias("g"), codecs.chars(F.replace(gt, F.lit("e"), F.lit("a"))).alias("p"))
-    both = labels(spark, sf_dir, longest).select(F.inline(zipped).alias("g", "p"))
+    both = labels(spark, sf_dir).select(F.inline(zipped).alias("g", "p"))
     counted = both.groupBy(F.col("g").alias("ch")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("g") == F.col("p")).alias("correct"))
     return counted.withColumn("accuracy", F.round(100 * F.col("correct") / F.col("total"), 6))
 
 
-@query(whole=True)
-def char_alignment(spark, sf_dir, longest=LONGEST):
-    return alignment.char_report(pairs(spark, sf_dir, longest), F.col("gt"), F.col("pred")).orderBy(F.desc("accuracy"), "ch")
+@query()
+def char_alignment(spark, sf_dir):
+    return alignment.char_report(pairs(spark, sf_dir), F.col("gt"), F.col("pred")).orderBy(F.desc("accuracy"), "ch")
 
 
 @query("SELECT vec_id, coalesce(list_aggregate([substring('abc', ids[i], 1) FOR i IN range(1, len(ids) + 1) IF ids[i] <> 0 AND (i = 1 OR ids[i - 1] <> ids[i])], 'string_agg', ''), '') AS decoded FROM seq")
@@ -177,47 +176,70 @@ def ensemble_mean(spark, sf_dir):
     return long.groupBy("label", "pos").agg(F.round(F.avg("x"), 6).alias("mean"))
 
 
-@query(f"SELECT doc_id, no, array_to_string([coalesce(nullif(strpos('{ALPHABET}', label[i]), 0), 0) FOR i IN range(1, length(label) + 1)] || [0 FOR i IN range(length(label), {LONGEST})], ' ') AS ids, length(label) AS length FROM label")
+@query(f"SELECT doc_id, no, array_to_string([coalesce(nullif(strpos('{ALPHABET}', label[i]), 0), 0) FOR i IN range(1, length(label) + 1)] || [0 FOR i IN range(length(label), {LONGEST})], ' ') AS ids, length(label) AS length FROM short_label")
 def ctc_encode_pad(spark, sf_dir):
-    return labels(spark, sf_dir).select("doc_id", "no", F.array_join(codecs.ctc_encode(F.col("label"), ALPHABET, LONGEST), " ").alias("ids"), F.char_length("label").alias("length"))
+    return short_labels(spark, sf_dir).select("doc_id", "no", F.array_join(codecs.ctc_encode(F.col("label"), ALPHABET, LONGEST), " ").alias("ids"), F.char_length("label").alias("length"))
 
 
-@query(f"SELECT doc_id, no, array_to_string(CASE WHEN len([1 FOR i IN range(1, length(label) + 1) IF strpos('{ALPHABET}', label[i]) = 0]) > 0 THEN [0 FOR i IN range(0, {LONGEST} + 2)] ELSE [0] || [strpos('{ALPHABET}', label[i]) + 1 FOR i IN range(1, length(label) + 1)] || [1] || [0 FOR i IN range(length(label), {LONGEST})] END, ' ') AS ids FROM label")
+@query(f"SELECT doc_id, no, array_to_string(CASE WHEN len([1 FOR i IN range(1, length(label) + 1) IF strpos('{ALPHABET}', label[i]) = 0]) > 0 THEN [0 FOR i IN range(0, {LONGEST} + 2)] ELSE [0] || [strpos('{ALPHABET}', label[i]) + 1 FOR i IN range(1, length(label) + 1)] || [1] || [0 FOR i IN range(length(label), {LONGEST})] END, ' ') AS ids FROM short_label")
 def attn_encode_pad(spark, sf_dir):
-    return labels(spark, sf_dir).select("doc_id", "no", F.array_join(codecs.attention_encode(F.col("label"), ALPHABET, LONGEST), " ").alias("ids"))
+    return short_labels(spark, sf_dir).select("doc_id", "no", F.array_join(codecs.attention_encode(F.col("label"), ALPHABET, LONGEST), " ").alias("ids"))
 
 
-@query("SELECT doc_id, no, CASE WHEN instr(p, '[s]') > 0 THEN left(p, instr(p, '[s]') - 1) ELSE substring(p, 1, greatest(length(p) - 1, 0)) END AS pruned FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN label || '[s]xx' ELSE label END AS p FROM label)", whole=True)
-def attn_prune(spark, sf_dir, longest=LONGEST):
+@query("SELECT doc_id, no, CASE WHEN instr(p, '[s]') > 0 THEN left(p, instr(p, '[s]') - 1) ELSE substring(p, 1, greatest(length(p) - 1, 0)) END AS pruned FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN label || '[s]xx' ELSE label END AS p FROM label)")
+def attn_prune(spark, sf_dir):
     p = F.when(F.col("doc_id") % 2 == 0, F.concat("label", F.lit("[s]xx"))).otherwise(F.col("label"))
-    return labels(spark, sf_dir, longest).select("doc_id", "no", codecs.prune(p).alias("pruned"))
+    return labels(spark, sf_dir).select("doc_id", "no", codecs.prune(p).alias("pruned"))
 
 
-@query(f"SELECT doc_id, no FROM label WHERE regexp_full_match(lower(label), '[{ALPHABET}]*')")
+@query(f"SELECT doc_id, no FROM short_label WHERE regexp_full_match(lower(label), '[{ALPHABET}]*')")
 def label_filter(spark, sf_dir):
-    return labels(spark, sf_dir).filter(codecs.known(F.lower("label"), ALPHABET)).select("doc_id", "no")
-
+    return short_labels(spark, sf_dir).filter(codecs.known(F.lower("label"), ALPHABET)).select("doc_id", "no")
 
-@query(f"SELECT doc_id, no, regexp_replace(label, '[^{ALPHABET}]', '', 'g') AS label FROM label", whole=True)
-def strip_oov(spark, sf_dir, longest=LONGEST):
-    return labels(spark, sf_dir, longest).select("doc_id", "no", codecs.strip_unknown(F.col("label"), ALPHABET).alias("label"))
 
-
-@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS idx FROM documents WHERE n_chars <= 2000")
-def dense_index(spark, sf_dir):
-    return sampling.dense_index(table(spark, sf_dir, "documents").filter("n_chars <= 2000").select("doc_id"), "doc_id")
+@query(f"SELECT doc_id, no, regexp_replace(label, '[^{ALPHABET}]', '', 'g') AS label FROM label")
+def strip_oov(spark, sf_dir):
+    return labels(spark, sf_dir).select("doc_id", "no", codecs.strip_unknown(F.col("label"), ALPHABET).alias("label"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS idx FROM documents")
-def dense_index_whole(spark, sf_dir):
+def dense_index(spark, sf_dir):
     return sampling.dense_index(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-@query("SELECT item_id, CAST(sum(length(text)) OVER (ORDER BY item_id) - length(text) AS BIGINT) AS offset, CAST(length(text) AS BIGINT) AS length FROM benchmark")
+@query("SELECT doc_id, CAST(sum(length(text)) OVER (ORDER BY doc_id) - length(text) AS BIGINT) AS offset, CAST(length(text) AS BIGINT) AS length FROM documents")
 def flat_offsets(spark, sf_dir):
-    size = F.char_length("text").cast("long")
-    total = sampling.running_total(table(spark, sf_dir, "benchmark").withColumn("length", size), "item_id", F.col("length"), "upto")
-    return total.select("item_id", (F.col("upto") - F.col("length")).alias("offset"), "length")
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast("long").alias("length"))
+    total = sampling.running_total(sizes, "doc_id", F.col("length"), "upto")
+    return total.select("doc_id", (F.col("upto") - F.col("length")).alias("offset"), "length")
+
+
+@query(f"SELECT doc_id, no, array_to_string([strpos('{ALPHABET}', label[i]) FOR i IN range(1, length(label) + 1)], ' ') AS ids, length(label) AS length FROM label")
+def flat_encode(spark, sf_dir):
+    return labels(spark, sf_dir).select("doc_id", "no", F.array_join(codecs.flat_ids(F.col("label"), ALPHABET), " ").alias("ids"), F.char_length("label").alias("length"))
+
+
+@query("SELECT vec_id, coalesce(list_aggregate([['[GO]', '[s]', 'a', 'b'][i + 1] FOR i IN ids], 'string_agg', ''), '') AS decoded FROM seq")
+def attn_decode(spark, sf_dir):
+    return sequences(spark, sf_dir).select("vec_id", codecs.attention_decode(F.col("ids"), "ab").alias("decoded"))
+
+
+@query("SELECT vec_id, round(list_min([x - list_max(v) - ln(list_sum([exp(y - list_max(v)) FOR y IN v])) FOR x IN v]), 6) AS least FROM vec")
+def log_softmax(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.array_min(scoring.log_softmax(F.col("embedding"))), 6).alias("least"))
+
+
+@query(r"""SELECT vec_id, gt, pred, round(confidence, 6) AS confidence, pred = gt AS exact, round(CASE WHEN gt = '' OR pred = '' THEN 0.0 ELSE 1 - levenshtein(pred, gt) / CAST(greatest(length(gt), length(pred)) AS DOUBLE) END, 6) AS ned FROM (
+  SELECT vec_id, gt, list_product(p) AS confidence, coalesce(list_aggregate([substring('abc', ids[i], 1) FOR i IN range(1, len(ids) + 1) IF ids[i] <> 0 AND (i = 1 OR ids[i - 1] <> ids[i])], 'string_agg', ''), '') AS pred FROM (
+    SELECT vec_id, substring('abcabcabcabcabc', label + 1, 6) AS gt, [list_position(l, list_max(l)) - 1 FOR l IN steps] AS ids, [1 / list_sum([exp(x - list_max(l)) FOR x IN l]) FOR l IN steps] AS p
+    FROM (SELECT vec_id, label, [v[4 * t + 1 : 4 * t + 4] FOR t IN range(0, len(v) // 4)] AS steps FROM vec)))""")
+def evaluate_logits(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 4).cast("int") - 1), lambda t: F.slice("embedding", 4 * t + 1, 4))
+    logits = vectors.select(F.col("vec_id").alias("sample_id"), F.posexplode(steps).alias("t", "logit"))
+    truth = vectors.select(F.col("vec_id").alias("sample_id"), F.substring(F.lit("abcabcabcabcabc"), F.col("label") + 1, F.lit(6)).alias("label"))
+    rows = evaluation.evaluate(logits, truth, "abc")
+    return rows.select(F.col("sample_id").alias("vec_id"), "gt", "pred", F.round("confidence", 6).alias("confidence"), "exact", F.round("ned", 6).alias("ned"))
 
 
 @query("SELECT printf('label-%09d', doc_id) AS key, text AS value FROM documents UNION ALL SELECT printf('image-%09d', doc_id), md5(text) FROM documents UNION ALL SELECT 'num-samples', CAST(count(*) AS VARCHAR) FROM documents")
@@ -226,11 +248,23 @@ def kv_records(spark, sf_dir):
     return samples.key_values(rows).select("key", F.decode("value", "UTF-8").alias("value"))
 
 
-@query("SELECT item_id, CAST(item_id AS VARCHAR) || '.png' AS image_path, CASE item_id % 4 WHEN 0 THEN text ELSE '' END AS label FROM benchmark WHERE item_id % 4 IN (0, 3) AND NOT (item_id % 4 = 0 AND contains(text, chr(9)))")
+@query("SELECT item_id, CAST(item_id AS VARCHAR) || '.png' AS image_path, text AS label FROM benchmark WHERE NOT contains(text, chr(9)) UNION ALL SELECT item_id, CAST(item_id AS VARCHAR) || '.png', '' FROM benchmark")
 def ingest_tsv(spark, sf_dir):
-    kind, path = F.col("item_id") % 4, F.concat(F.col("item_id").cast("string"), F.lit(".png"))
-    line = F.when(kind == 0, F.concat(path, F.lit("\t"), "text")).when(kind == 1, path).when(kind == 2, F.concat(path, F.lit("\tx\ty"))).otherwise(F.concat(path, F.lit("\t")))
-    return samples.split_fields(table(spark, sf_dir, "benchmark").select("item_id", line.alias("value")))
+    path = F.concat(F.col("item_id").cast("string"), F.lit(".png"))
+    # Each row's own line, one with an empty label, one without a tab and one with too many.
+    lines = F.explode(F.array(F.concat(path, F.lit("\t"), "text"), F.concat(path, F.lit("\t")), path, F.concat(path, F.lit("\tx\ty"))))
+    return samples.split_fields(table(spark, sf_dir, "benchmark").select("item_id", lines.alias("value")))
+
+
+@query("SELECT idx, line, CAST(line AS VARCHAR) || '.png' AS image_path, label FROM (SELECT row_number() OVER (ORDER BY doc_id) AS idx, doc_id AS line, source AS label FROM documents WHERE doc_id % 7 <> 3 AND doc_id % 5 <> 2)")
+def ingest_samples(spark, sf_dir):
+    path = F.concat(F.col("doc_id").cast("string"), F.lit(".png"))
+    # Some lines are malformed, and some files are missing.
+    value = F.when(F.col("doc_id") % 7 == 3, path).otherwise(F.concat(path, F.lit("\t"), "source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    files = docs.filter(F.col("doc_id") % 5 != 2).select(F.concat(F.lit("/base/"), path).alias("path"), path.cast("binary").alias("content"))
+    kept, _ = samples.ingest(docs.select(F.col("doc_id").alias("line"), value.alias("value")), files, "/base")
+    return kept.select("idx", "line", "image_path", "label")
 
 
 @query("SELECT 'documents' AS source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents UNION ALL SELECT 'benchmark', count(*), CAST(sum(length(text)) AS BIGINT) FROM benchmark UNION ALL SELECT 'conversations', count(*), CAST(sum(length(text)) AS BIGINT) FROM conversations")
@@ -252,6 +286,19 @@ def batch_quota(spark, sf_dir):
     return sampling.balanced_batches(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 10, 0.25)
 
 
+@query("""WITH RECURSIVE numbered AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IN ('src0', 'src1')),
+  dealt AS (SELECT doc_id, source, i - 1 AS place, n FROM numbered UNION ALL SELECT doc_id, source, place + n, n FROM dealt WHERE place + n < 3000)
+SELECT doc_id, source, CAST(place // CASE source WHEN 'src0' THEN 8 ELSE 2 END AS BIGINT) AS batch_id FROM dealt WHERE place < 100 * CASE source WHEN 'src0' THEN 8 ELSE 2 END""")
+def batch_restart(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return sampling.balanced_batches(docs, "source", "doc_id", 10, {"src0": 0.75, "src1": 0.25}, batches=100)
+
+
+@query("SELECT event_id, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 32) AS BIGINT) AS batch_id FROM events")
+def mini_batches(spark, sf_dir):
+    return sampling.mini_batches(table(spark, sf_dir, "events").select("event_id"), "event_id", 32)
+
+
 @query("SELECT event_id, event_type, value FROM (SELECT *, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE value > greatest(coalesce(before, -1), -1)")
 def running_best(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
@@ -269,9 +316,9 @@ def label_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.round(F.avg(size), 6).alias("mean_length"), F.max(size).cast("long").alias("max_length"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, md5('3-' || doc_id) AS place FROM documents")
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('3-' || doc_id)) AS place FROM documents")
 def epoch_shuffle(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", sampling.seeded_order(3, F.col("doc_id")).alias("place"))
+    return sampling.shuffled(table(spark, sf_dir, "documents").select("doc_id"), 3, "doc_id")
 
 
 @query("SELECT doc_id, source FROM documents ORDER BY md5('0-' || doc_id) LIMIT 10")

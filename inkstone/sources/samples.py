@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import record_key
+from ..operators.sampling import dense_index
 
 SAMPLES = "idx long, label string, image binary"
 REPORT = "Alphabet string, Accuracy double"
@@ -20,7 +21,58 @@ def split_fields(lines: DataFrame) -> DataFrame:
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    return split_fields(spark.read.text(path))
+    """(line, image_path, label) of a list or a folder of lists: ``line`` rises in file order within a list, without being dense."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
+    return split_fields(lines)
+
+
+def ingest(lines: DataFrame, files: DataFrame, base: str, valid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(samples, rejects) of a ground-truth list (line, value), the files (path, content) and, where they are to be checked, the paths of valid images (path).
+
+    Samples (idx, line, image_path, label, image) are numbered from 1 in the order of their lines, without gaps. Rejects (line, value, reason) are lines without exactly two fields, without a file, or with a file that is no image.
+    """
+    split = F.split(F.regexp_replace("value", "\n$", ""), "\t", -1)
+    two = lines.withColumn("__p", split)
+    good = two.filter(F.size("__p") == 2).select("line", "value", F.col("__p")[0].alias("image_path"), F.col("__p")[1].alias("label"))
+    rejects = two.filter(F.size("__p") != 2).select("line", "value", F.lit("not two fields").alias("reason"))
+    found, missing = with_images(good, files, base)
+    rejects = rejects.unionByName(missing.select("line", "value", F.lit("no file").alias("reason")))
+    if valid is not None:
+        rejects = rejects.unionByName(found.join(valid.select("path"), "path", "left_anti").select("line", "value", F.lit("no image").alias("reason")))
+        found = found.join(valid.select("path"), "path", "left_semi")
+    return dense_index(found.select("line", "image_path", "label", "image"), "line"), rejects
+
+
+def lookup(samples: DataFrame, positions: DataFrame, keep: Column | None = None) -> DataFrame:
+    """The samples at ``positions`` (position, from 1) among those that ``keep`` leaves, in the order of ``idx``: surviving places map to stored ones."""
+    survivors = samples if keep is None else samples.filter(keep)
+    return dense_index(survivors, "idx", "position").join(positions, "position")
+
+
+def leaf_tables(spark: SparkSession, root: str, selected: tuple[str, ...] = ("/",)) -> DataFrame:
+    """All sample tables below a folder as one, ``source`` being the folder of each below ``root``; those whose path holds any of ``selected`` (by default all)."""
+    rows = spark.read.schema(SAMPLES).option("recursiveFileLookup", True).parquet(root)
+    folder = F.regexp_replace(F.regexp_replace("_metadata.file_path", "^[a-z]+:(//)?", ""), "/[^/]*$", "")
+    return select_sources(rows.withColumn("source", folder), "source", list(selected))
+
+
+def substituted(samples: DataFrame, valid: Column, label: str = "[dummy_label]") -> DataFrame:
+    """Samples whose image is not valid keep their place, with no image and a dummy label, and ``substituted`` says so."""
+    bad = ~F.coalesce(valid, F.lit(False))
+    return samples.withColumns({"substituted": bad, "label": F.when(bad, F.lit(label)).otherwise(F.col("label")), "image": F.when(~bad, F.col("image"))})
+
+
+def collate(rows: DataFrame, batch: str, pixels: str = "pixels", width: int | None = None) -> DataFrame:
+    """One row a batch: labels and rows of pixels, all as long as ``width`` or as the batch's longest, filled with their last one; null rows are left out."""
+    kept = rows.filter(F.col(pixels).isNotNull())
+    to = F.lit(width) if width else F.max(F.size(pixels)).over(Window.partitionBy(batch))
+    padded = kept.withColumn("__w", to).withColumn("__p", F.slice(F.concat(pixels, F.array_repeat(F.element_at(pixels, -1), F.col("__w"))), F.lit(1), F.col("__w")))
+    return padded.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("idx", "label", F.col("__p").alias("pixels")))).alias("__s")).select(batch, F.col("__s.label").alias("labels"), F.col("__s.pixels").alias("pixels"))
+
+
+def export_labels(samples: DataFrame, path: str) -> None:
+    """``name`` and label lines, separated by a tab."""
+    samples.select(record_key("image", F.col("idx")).alias("name"), "label").write.mode("error").csv(path, sep="\t", quote="", escape="")
 
 
 def joined_path(base: str, path: Column) -> Column:

@@ -102,22 +102,49 @@ def test_alignment_of_a_very_long_line():
         assert sum(g != p for g, p in got) == max(text.count("e") if "e" not in pred else 0, len(text) - len(pred))
 
 
-WHOLE = ("eval_summary", "normalized_edit_distance", "threshold_report", "ned_histogram", "char_accuracy", "char_alignment", "attn_prune", "strip_oov")
-
-
-def test_whole_queries_read_every_line(spark):
+def test_queries_read_every_line(spark):
     from inkstone.plans import catalog
 
     from .conftest import SMALL
 
     lines = catalog.table(spark, SMALL, "documents").select(F.explode(F.split("text", "\n", -1)).alias("line"))
     want, chars = lines.agg(F.count(F.lit(1)), F.sum(F.char_length("line"))).first()
-    for name in ("normalized_edit_distance", "attn_prune", "strip_oov"):
-        assert catalog.QUERIES[f"{name}_whole"](spark, SMALL).count() == want
-    assert catalog.QUERIES["eval_summary_whole"](spark, SMALL).agg(F.sum("n"), F.sum("chars")).first() == (want, chars)
+    for name in ("normalized_edit_distance", "attn_prune", "strip_oov", "flat_encode"):
+        assert catalog.QUERIES[name](spark, SMALL).count() == want
+    assert catalog.QUERIES["eval_summary"](spark, SMALL).agg(F.sum("n"), F.sum("chars")).first() == (want, chars)
     blanks = lines.agg(F.sum(F.char_length(F.replace("line", F.lit(" "), F.lit(""))))).first()[0]
-    assert catalog.QUERIES["char_alignment_whole"](spark, SMALL).filter("ch is not null").agg(F.sum("total")).first()[0] == blanks
-    assert all(f"{name}_whole" in catalog.QUERIES for name in WHOLE)
+    assert catalog.QUERIES["char_alignment"](spark, SMALL).filter("ch is not null").agg(F.sum("total")).first()[0] == blanks
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ab_é", min_size=1, max_size=14), st.text("ab_é", min_size=1, max_size=14)), min_size=1, max_size=5))
+def test_alignment_side_by_side(pairs):
+    import numpy as np
+
+    width = max(4, *(distance(a, b) for a, b in pairs))
+    steps = alignment.align_many(*([np.array([ord(c) for c in x], np.int32) for x in side] for side in zip(*pairs, strict=True)), width)
+    got = [[] for _ in pairs]
+    for step in steps:
+        for k, g, p in step.T:
+            got[k].append((chr(g) if g >= 0 else None, chr(p) if p >= 0 else None))
+    assert [x[::-1] for x in got] == [alignment.align(*x) for x in pairs]
+
+
+def test_char_report_is_that_of_single_alignments(spark, monkeypatch):
+    from collections import Counter
+
+    texts = [("the seven even 😀", "tha savan avan 😀"), ("the seven even 😀", "he seven even"), ("ab", "ab"), ("", "x"), ("y", ""), ("n" * 300, "n" * 280), ("abcdef" * 60, "abdef" * 60)] * 2
+    want = Counter()
+    for g, p in texts:
+        for a, b in alignment.align(g.replace(" ", ""), p.replace(" ", "")):
+            want[a] += 1
+            want[a, "right"] += a == b
+    for cells in (1 << 23, 64):
+        monkeypatch.setattr(alignment, "CELLS", cells)
+        got = alignment.char_report(spark.createDataFrame(texts, "g string, p string"), F.col("g"), F.col("p")).collect()
+        assert {r["ch"]: (r["total"], r["correct"]) for r in got} == {c: (want[c], want[c, "right"]) for c in want if not isinstance(c, tuple)}
+    kept = alignment.checked(spark.createDataFrame([("a", 2, 0.0), ("b", 0, None), ("c", 1, 50.0)], "ch string, total int, accuracy double"), "ab")
+    assert [r["ch"] for r in kept.collect()] == ["a"] and alignment.checked(kept, "ab", drop_zero=True).collect() == []
 
 
 def test_char_report(spark):
@@ -128,12 +155,82 @@ def test_char_report(spark):
 
 
 def test_numbering(spark):
-    rows = spark.createDataFrame([(i * 7, "s0" if i % 3 else None) for i in range(50)], "id long, source string")
-    assert sorted(r["idx"] for r in sampling.dense_index(rows, "id", ranges=7).collect()) == list(range(1, 51))
+    rows = spark.createDataFrame([(i * 7, "s0" if i % 3 else None) for i in range(50)] + [(10**15, None)], "id long, source string")
+    assert sorted(r["idx"] for r in sampling.dense_index(rows, "id", ranges=7).collect()) == list(range(1, 52))
+    assert [r["idx"] for r in sampling.dense_index(rows.withColumn("k", F.format_string("%020d", "id")), "k", ranges=5).orderBy("id").collect()] == list(range(1, 52))
     assert sampling.dense_index(rows.filter("id < 0"), "id").collect() == []
-    assert sampling.batch_quota(10, 0.25) == 2 and sampling.batch_quota(10, 0.01) == 1
+    assert sampling.batch_quota(10, 0.25) == 2 and sampling.batch_quota(10, 0.01) == 1 and sampling.total_quota(10, {"a": 0.25, "b": 0.75}) == 10
     kept = sampling.prefix_fraction(rows, "source", "id", 0.5).groupBy("source").count().collect()
-    assert {r["source"]: r["count"] for r in kept} == {"s0": 16, None: 8}
+    assert {r["source"]: r["count"] for r in kept} == {"s0": 16, None: 9}
+
+
+def test_one_far_key_does_not_gather_the_rest(spark):
+    rows = spark.range(10_001).select(F.when(F.col("id") == 10_000, F.lit(10**15)).otherwise(F.col("id")).alias("id"))
+    sizes = [r["count"] for r in rows.repartitionByRange(8, "id").groupBy(F.spark_partition_id()).count().collect()]
+    got = sampling.dense_index(rows, "id", ranges=8)
+    assert max(sizes) < 2500 and got.agg(F.max("idx"), F.countDistinct("idx")).first() == (10_001, 10_001)
+
+
+def test_null_values_add_nothing(spark):
+    rows = spark.createDataFrame([(1, 2), (2, None), (3, 4)], "k int, v int")
+    for ranges in (1, 3):
+        assert [r["t"] for r in sampling.running_total(rows, "k", F.col("v"), "t", ranges=ranges).orderBy("k").collect()] == [2, 2, 6]
+
+
+def test_batches_restart(spark):
+    rows = spark.createDataFrame([(i, "a") for i in range(3)] + [(i, "b") for i in range(10, 30)], "id int, s string")
+    got = sampling.balanced_batches(rows, "s", "id", 4, {"a": 0.5, "b": 0.5}, batches=4).orderBy("batch_id", "s", "id").collect()
+    by = {}
+    for r in got:
+        by.setdefault((r["batch_id"], r["s"]), []).append(r["id"])
+    assert all(len(x) == 2 for x in by.values()) and len(by) == 8 and sorted(x for k in range(4) for x in by[k, "a"]) == [0, 0, 0, 1, 1, 1, 2, 2]
+    assert [r["n"] for r in sampling.mini_batches(rows, "id", 10).groupBy("batch_id").agg(F.count("id").alias("n")).orderBy("batch_id").collect()] == [10, 10, 3]
+    numbered = sampling.dense_index(rows, "id")
+    assert [r["draw"] for r in sampling.draws(numbered, "idx", 40).orderBy("draw").collect()] == list(range(1, 41))
+
+
+def test_strict_labels_and_flat_codec(spark):
+    one_row = spark.createDataFrame([("cab",)], "s string")
+    assert one_row.select(codecs.strict(F.col("s"), "abc", 3)).first()[0] == "cab"
+    for alphabet, length in (("ab", 3), ("abc", 2)):
+        with pytest.raises(Exception, match="label"):
+            one_row.select(codecs.strict(F.col("s"), alphabet, length)).collect()
+    row = one(spark, "i array<int>", ([1, 0, 1, 2, 2, 3, 3],), codecs.flat_decode(F.col("i"), F.lit(2), F.lit(3), "abc"), codecs.attention_decode(F.col("i"), "ab"))
+    assert row == ["ab", "[s][GO][s]aabb"]
+    assert one(spark, "v array<double>, s string", ([1.0, 2.0, 3.0], "ab[s]"), codecs.prune_values(F.col("v"), F.col("s")), codecs.prune_values(F.col("v"), F.lit("abc"))) == [[1.0, 2.0], [1.0, 2.0]]
+    assert one(spark, "x array<double>", ([0.25, 1.0],), scoring.uncentred(scoring.centred(F.col("x")))) == [[0.25, 1.0]]
+
+
+def test_evaluation(spark):
+    from inkstone.operators import evaluation
+
+    hot = lambda k: [9.0 if i == k else 0.0 for i in range(4)]
+    logits = spark.createDataFrame([(1, t, hot(k)) for t, k in enumerate((0, 3, 3, 0, 3, 1))] + [(2, t, hot(k)) for t, k in enumerate((2, 3, 1, 2))] + [(3, 0, hot(2))], "sample_id long, t int, logit array<double>")
+    truth = spark.createDataFrame([(1, "cca"), (2, "ab"), (4, "x")], "sample_id long, label string")
+    got = {r["sample_id"]: r for r in evaluation.evaluate(logits, truth, "abc").collect()}
+    assert set(got) == {1, 2} and (got[1]["pred"], got[1]["exact"], got[1]["ned"]) == ("cca", True, 1) and 0.99 < got[1]["confidence"] < 1
+    got = {r["sample_id"]: r["pred"] for r in evaluation.evaluate(logits, truth, "ab", "attention").collect()}
+    assert got[2] == "ab" and evaluation.summary(evaluation.evaluate(logits, truth, "abc")).first()["n"] == 2
+
+
+def test_lookup_substitution_and_collate(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", b"x"), (2, "bb", None), (3, "c", b"y")], "idx long, label string, image binary")
+    at = spark.createDataFrame([(2,)], "position long")
+    assert [r["label"] for r in samples.lookup(rows, at, F.char_length("label") < 2).collect()] == ["c"]
+    got = samples.substituted(rows, F.col("image").isNotNull()).orderBy("idx").collect()
+    assert [(r["label"], r["substituted"]) for r in got] == [("a", False), ("[dummy_label]", True), ("c", False)]
+    pixels = spark.createDataFrame([(1, "a", [1, 2], 0), (2, "b", [3], 0), (3, "c", None, 0)], "idx long, label string, pixels array<int>, b int")
+    assert [(r["labels"], r["pixels"]) for r in samples.collate(pixels, "b").collect()] == [(["a", "b"], [[1, 2], [3, 3]])]
+    for name in ("x/train", "x/test", "y"):
+        samples.write_samples(rows, f"{tmp_path}/{name}")
+    assert samples.leaf_tables(spark, str(tmp_path)).count() == 9 and samples.leaf_tables(spark, str(tmp_path), ("train", "/y")).count() == 6
+    samples.export_labels(rows, f"{tmp_path}/out")
+    assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/out").collect()) == ["image-000000001\ta", "image-000000002\tbb", "image-000000003\tc"]
+
+
+def test_histogram(spark):
+    rows = spark.createDataFrame([(float(i),) for i in range(11)] + [(None,)], "v double")
+    assert [(r["bin"], r["n"]) for r in alignment.histogram(rows, "v", 5).orderBy("bin").collect()] == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 3)]
 
 
 def test_running_best(spark):
@@ -147,7 +244,12 @@ def test_ingest(spark, tmp_path):
         (tmp_path / "img").mkdir(exist_ok=True)
         (tmp_path / "img" / name).write_bytes(name.encode())
     truth = samples.ground_truth(spark, str(tmp_path / "gt.tsv"))
-    assert sorted(map(tuple, truth.collect())) == [("a.png", "lab"), ("c.png", ""), ("missing.png", "z")]
+    assert sorted((r["image_path"], r["label"]) for r in truth.collect()) == [("a.png", "lab"), ("c.png", ""), ("missing.png", "z")]
+    lines = spark.read.text(str(tmp_path / "gt.tsv")).select(F.monotonically_increasing_id().alias("line"), "value")
+    files, images = samples.image_files(spark, str(tmp_path / "img")), spark.createDataFrame([(f"{tmp_path}/img/a.png",)], "path string")
+    kept, rejects = samples.ingest(lines, files, str(tmp_path / "img"), images)
+    assert [(r["idx"], r["image_path"]) for r in kept.collect()] == [(1, "a.png")]
+    assert sorted((r["value"], r["reason"]) for r in rejects.collect()) == [("", "not two fields"), ("b.png\tx\ty", "not two fields"), ("bad line", "not two fields"), ("c.png\t", "no image"), ("missing.png\tz", "no file")]
     found, rejects = samples.with_images(truth, samples.image_files(spark, str(tmp_path / "img")), str(tmp_path / "img"))
     assert [r["image_path"] for r in rejects.collect()] == ["missing.png"]
     numbered = sampling.dense_index(found.withColumn("n", F.ascii("image_path")), "n")
@@ -165,21 +267,10 @@ def test_vocabulary_and_report(spark, tmp_path):
     assert [tuple(r) for r in samples.read_report(spark, str(tmp_path / "report")).collect()] == [("b", 100.0), ("a", 50.0)]
 
 
-def test_pushdown(spark):
+def test_pruning(spark):
     from inkstone.plans import catalog
 
     from .conftest import SMALL
 
     plan = catalog.QUERIES["dense_index"](spark, SMALL)._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(n_chars), LessThanOrEqual(n_chars,2000)]" in plan and "text" not in plan.split("ReadSchema")[1].split("\n")[0]
-    assert "CartesianProduct" not in plan
-
-
-def test_dense_index_whole_numbers_every_document(spark):
-    from inkstone.plans import catalog
-
-    from .conftest import SMALL
-
-    docs = catalog.table(spark, SMALL, "documents").select("doc_id").orderBy("doc_id").collect()
-    got = catalog.QUERIES["dense_index_whole"](spark, SMALL).orderBy("idx").collect()
-    assert [tuple(r) for r in got] == [(r["doc_id"], i) for i, r in enumerate(docs, 1)]
+    assert "text" not in plan.split("ReadSchema")[1].split("\n")[0] and "CartesianProduct" not in plan
