@@ -20,7 +20,7 @@ END = 2
 #: Numbering within a length is dealt over so many hash groups, as one length may hold a third of all pieces.
 SALTS = 64
 #: Parts of texts that a worker's cache may hold; a full cache starts anew.
-CACHED = 400_000
+CACHED = 150_000
 #: Bytes of a text that are cut into parts at a time.
 PIECE = 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
