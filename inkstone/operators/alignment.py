@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -192,6 +193,19 @@ def char_report(pairs: DataFrame, gt: Column, pred: Column, vocab: DataFrame | N
     return counted.withColumn("accuracy", F.when(F.col("total") > 0, 100 * F.col("correct") / F.col("total")))
 
 
+def char_counts(texts: DataFrame, column: str) -> DataFrame:
+    """(ch, total): how often each character comes in a column of texts of any length; null counts as empty. Each task counts its own, so only its distinct characters shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                found.update(text or "")
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["ch", "total"])
+
+    return texts.select(F.col(column).alias("text")).mapInArrow(count, "ch string, total long").groupBy("ch").agg(F.sum("total").alias("total"))
+
+
 def checked(report: DataFrame, letters: str, drop_zero: bool = False) -> DataFrame:
     """The report's rows for ``letters``; with ``drop_zero`` those of accuracy 0 go as well, which hides the worst characters."""
     rows = report.filter(F.col("ch").isin(*letters) & (F.col("total") != 0))

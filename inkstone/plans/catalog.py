@@ -108,7 +108,7 @@ def ned_histogram(spark, sf_dir):
 
 @query("SELECT ch, count(*) AS total FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch")
 def char_frequency(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(codecs.chars(F.col("text"))).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("total"))
+    return alignment.char_counts(table(spark, sf_dir, "documents"), "text")
 
 
 @query("SELECT ch, total, correct, round(100.0 * correct / total, 6) AS accuracy FROM (SELECT g AS ch, count(*) AS total, count(*) FILTER (WHERE g = p) AS correct FROM (SELECT unnest(string_split(gt, '')) AS g, unnest(string_split(replace(gt, 'e', 'a'), '')) AS p FROM gt) WHERE g <> '' GROUP BY g)")

@@ -154,6 +154,12 @@ def test_char_report(spark):
     assert got == {"a": (2, 2), "b": (3, 1), "z": (0, 0)}
 
 
+def test_char_counts(spark):
+    rows = spark.createDataFrame([("a😀a",), (None,), ("",), ("b a\n",), ("z" * 300_000,)], "line string").repartition(3)
+    assert {r["ch"]: r["total"] for r in alignment.char_counts(rows, "line").collect()} == {"a": 3, "😀": 1, "b": 1, " ": 1, "\n": 1, "z": 300_000}
+    assert alignment.char_counts(rows.limit(0), "line").collect() == []
+
+
 def test_numbering(spark):
     rows = spark.createDataFrame([(i * 7, "s0" if i % 3 else None) for i in range(50)] + [(10**15, None)], "id long, source string")
     assert sorted(r["idx"] for r in sampling.dense_index(rows, "id", ranges=7).collect()) == list(range(1, 52))
