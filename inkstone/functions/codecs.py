@@ -15,10 +15,14 @@ def vocabulary(alphabet: str) -> Column:
     return F.array(*(F.lit(c) for c in alphabet))
 
 
+def unknown(alphabet: str) -> str:
+    """A pattern of one character that is not in ``alphabet``."""
+    return f"[^{''.join(f'\\x{{{ord(c):x}}}' for c in alphabet)}]" if alphabet else "(?s)."
+
+
 def ids(text: Column, alphabet: str, first: int = 1) -> Column:
     """Ids from ``first`` by place in ``alphabet``; an unknown character gives ``first`` - 1."""
-    place = F.create_map(*(x for i, c in enumerate(alphabet) for x in (F.lit(c), F.lit(i + first))))
-    return F.transform(chars(text), lambda c: F.coalesce(F.element_at(place, c), F.lit(first - 1)))
+    return F.transform(chars(text), lambda c: F.instr(F.lit(alphabet), c) + F.lit(first - 1))
 
 
 def padded(values: Column, length: int) -> Column:
@@ -86,11 +90,11 @@ def prune(text: Column, end: str = "[s]") -> Column:
 
 def known(text: Column, alphabet: str) -> Column:
     """Whether all characters are in ``alphabet``."""
-    return F.forall(chars(text), lambda c: F.array_contains(vocabulary(alphabet), c))
+    return ~text.rlike(unknown(alphabet))
 
 
 def strip_unknown(text: Column, alphabet: str) -> Column:
-    return F.array_join(F.filter(chars(text), lambda c: F.array_contains(vocabulary(alphabet), c)), "")
+    return F.regexp_replace(text, unknown(alphabet), "")
 
 
 def record_key(kind: str, index: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codecs import chars
-from ..functions.scoring import edit_distance
+from ..functions.scoring import distance
 
 PAIRS = "array<struct<g: string, p: string>>"
 
@@ -127,7 +127,7 @@ def align_many(gts: list[np.ndarray], preds: list[np.ndarray], width: int) -> li
 
 
 def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each pair of characters comes in the alignments of (gt, pred, d: their distance, n: how often they come), by batch."""
+    """How often each pair of characters comes in the alignments of (gt, pred, n: how often they come), by batch."""
     for batch in batches:
         found: list[np.ndarray] = []
         times = batch["n"].to_numpy()
@@ -138,7 +138,7 @@ def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append(np.stack((code, np.bincount(at, weights=times[of]).astype(np.int64))))
 
         todo = []
-        for k, (gt, pred, d) in enumerate(zip(batch["gt"].to_pylist(), batch["pred"].to_pylist(), batch["d"].to_pylist(), strict=True)):
+        for k, (gt, pred) in enumerate(zip(batch["gt"].to_pylist(), batch["pred"].to_pylist(), strict=True)):
             g, p = (np.frombuffer(x.encode("utf-32-le"), "<i4") for x in (gt, pred))
             # Equal ends pair off first, as the trace begins there.
             short = min(len(g), len(p))
@@ -147,7 +147,7 @@ def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if same:
                 take(np.full(same, k), g[len(g) - same :], p[len(p) - same :])
             g, p = g[: len(g) - same], p[: len(p) - same]
-            width = 1 << max(2, int(d).bit_length())
+            width = 1 << max(2, distance(gt, pred).bit_length())
             if not len(g) or not len(p):
                 gap = np.full(len(g) + len(p), NONE)
                 take(np.full(len(gap), k), *((g, gap) if len(g) else (gap, p)))
@@ -184,7 +184,7 @@ def char_report(pairs: DataFrame, gt: Column, pred: Column, vocab: DataFrame | N
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = texts.filter("gt is not null and pred is not null").repartition(n, "gt", "pred").groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("n"))
     same = distinct.filter(F.col("gt") == F.col("pred")).select("n", F.explode(chars(F.col("gt"))).alias("g")).select(F.col("g"), F.col("g").alias("p"), "n")
-    other = distinct.filter(F.col("gt") != F.col("pred")).withColumn("d", edit_distance(F.col("gt"), F.col("pred")))
+    other = distinct.filter(F.col("gt") != F.col("pred"))
     aligned_ = other.mapInArrow(count_pairs, "g string, p string, n long")
     both = aligned_.unionByName(same.groupBy("g", "p").agg(F.sum("n").alias("n")))
     counted = both.groupBy(F.col("g").alias("ch")).agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("g") == F.col("p"), F.col("n"))), F.lit(0)).alias("correct"))

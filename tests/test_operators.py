@@ -37,6 +37,10 @@ def test_prune(spark, text, pruned):
 def test_vocabulary_filters(spark):
     rows = spark.createDataFrame([("ab]",), ("",), ("a€",)], "s string").select(codecs.known(F.col("s"), "ab]-_"), codecs.strip_unknown(F.col("s"), "ab]-_")).collect()
     assert [tuple(r) for r in rows] == [(True, "ab]"), (True, ""), (False, "a")]
+    odd = "^-]&&[a\\\U0001f600\n"
+    rows = spark.createDataFrame([(odd,), ("b\n^",), ("\U0001f601-",), (None,)], "s string").select(codecs.known(F.col("s"), odd), codecs.strip_unknown(F.col("s"), odd), codecs.ids(F.col("s"), odd)).collect()
+    assert [tuple(r) for r in rows] == [(True, odd, [1, 2, 3, 4, 4, 6, 7, 8, 9, 10]), (False, "\n^", [0, 10, 1]), (False, "-", [0, 2]), (None, None, None)]
+    assert one(spark, "s string", ("a\n",), codecs.known(F.col("s"), ""), codecs.strip_unknown(F.col("s"), "")) == [False, ""]
 
 
 def test_vectors(spark):
@@ -59,6 +63,17 @@ def distance(a, b):
     return row[-1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab\U0001f600", max_size=90), st.text("ab\U0001f600", max_size=90))
+def test_distance(a, b):
+    assert scoring.distance(a, b) == distance(a, b)
+
+
+def test_distances_of_columns(spark):
+    rows = [("abc", None), (None, None), ("", ""), ("", "abc"), ("ab\U0001f600", "b\U0001f600"), ("n" * 5000 + "x", "x" + "n" * 4000)]
+    assert [r[0] for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(scoring.edit_distance(F.col("a"), F.col("b"))).collect()] == [None, None, 0, 3, 1, 1001]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab_ ", max_size=8), st.text("ab_ ", max_size=8))
 def test_alignment(a, b):
