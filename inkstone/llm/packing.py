@@ -233,4 +233,5 @@ def default_tokenizer() -> str:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a piece of all documents, packed into sequences of 4096; cases as in ``pack``."""
     return pack(table(spark, sf_dir, "documents"), default_tokenizer())

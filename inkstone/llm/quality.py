@@ -115,6 +115,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, held_out (false without a doc_id), score, predicted; cases as in ``fit`` and ``score``."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
