@@ -316,6 +316,18 @@ def label_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.round(F.avg(size), 6).alias("mean_length"), F.max(size).cast("long").alias("max_length"), F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT CAST(least(floor((v - a) / step), 19) AS BIGINT) AS bin, round(a + least(floor((v - a) / step), 19) * step, 6) AS low, count(*) AS n FROM (SELECT length(label) AS v FROM label), (SELECT min(length(label)) AS a, (max(length(label)) - min(length(label))) / 20 AS step FROM label) GROUP BY ALL")
+def length_histogram(spark, sf_dir):
+    sizes = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n", -1)).alias("label")).select(F.char_length("label").alias("v"))
+    return alignment.histogram(sizes, "v", 20).withColumn("low", F.round("low", 6))
+
+
+@query("SELECT p_brand, round(avg(p_size * 20 / CAST(10 + p_partkey % 50 AS DOUBLE)), 6) AS mean_aspect, round(max(p_size * 20 / CAST(10 + p_partkey % 50 AS DOUBLE)), 6) AS max_aspect, count(*) AS n FROM part GROUP BY p_brand")
+def aspect_stats(spark, sf_dir):
+    aspect = F.col("p_size") * 20 / (10 + F.col("p_partkey") % 50)
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.avg(aspect), 6).alias("mean_aspect"), F.round(F.max(aspect), 6).alias("max_aspect"), F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5('3-' || doc_id)) AS place FROM documents")
 def epoch_shuffle(spark, sf_dir):
     return sampling.shuffled(table(spark, sf_dir, "documents").select("doc_id"), 3, "doc_id")
