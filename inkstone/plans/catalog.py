@@ -98,7 +98,8 @@ def normalized_edit_distance(spark, sf_dir):
 
 @query("SELECT doc_id, no, gt, pred FROM pair WHERE round(ned * 100, 6) <= 80")
 def threshold_report(spark, sf_dir):
-    return pairs(spark, sf_dir).filter(F.round(F.col("ned") * 100, 6) <= 80).select("doc_id", "no", "gt", "pred")
+    # The second condition never holds; with it the first is not moved before the lines are dealt out.
+    return pairs(spark, sf_dir).filter((F.round(F.col("ned") * 100, 6) <= 80) | (F.spark_partition_id() < 0)).select("doc_id", "no", "gt", "pred")
 
 
 @query("SELECT CAST(least(floor(round(ned, 6) * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM pair GROUP BY 1")
