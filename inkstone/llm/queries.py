@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, ngram_join, substring_dedup, topk
+from . import license_scan, line_dedup, ngram_join, spelling, substring_dedup, topk
 from .embedding_dedup import op1_embedding_dedup
 from .license_scan import op10_license_scan
 from .line_dedup import op7_line_dedup
@@ -10,6 +10,7 @@ from .mixing import op9_mixing
 from .ngram_join import op6_ngram_jaccard_join
 from .packing import op2_packing
 from .quality import op4_quality_classifier
+from .spelling import op11_spelling_variants
 from .substring_dedup import op5_substring_dedup
 from .topk import op3_topk
 from .url_filter import op8_url_filter
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLE: dict[str, str] = {
     "op6_ngram_jaccard_join": ngram_join.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op10_license_scan": license_scan.oracle(),
+    "op11_spelling_variants": spelling.ORACLE,
 }

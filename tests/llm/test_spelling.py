@@ -1,0 +1,98 @@
+"""Spelling variants against brute force: every pair of words, by a plain edit distance."""
+
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkstone.llm import spelling
+
+
+def counted(rows, spoil=0, least=7, seen=2):
+    words = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{doc_id}:{run}".encode())
+            if spoil and doc_id is not None and h % spoil == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            words[run] += 1
+    return {w: n for w, n in words.items() if len(w) >= least and n >= seen}
+
+
+def near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(a) + 1 == len(b) and any(a == b[:i] + b[i + 1 :] for i in range(len(b)))
+
+
+def brute(words, ratio=10):
+    forms, out = {}, {}
+    for w, n in words.items():
+        close = [v for v in words if near(v, w)]
+        best = min(close, key=lambda v: (-words[v], v), default=None)
+        forms[w] = best if best and words[best] >= ratio * n else None
+        out[w] = (n, len(close), forms[w] and words[forms[w]])
+    for w in words:
+        root = w
+        while forms[root]:
+            root = forms[root]
+        out[w] = (forms[w], root, *out[w])
+    return out
+
+
+def found(df, **options):
+    return {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in spelling.variants(df, **options).collect()}
+
+
+def corpus():
+    base = ["spelling", "Variants", "Übergröße", "naïveté", "grouping", "straßen", "aaaaaaa", "aaaaaaaa", "abababab", "babababa"]
+    rows = []
+    for k, w in enumerate(base):
+        rows.append((k, " ".join([w] * 240)))
+        rows.append((100 + k, f"{w[1:]} {w[1:]} {w[:3]}x{w[4:]} {w[:3]}x{w[4:]} {w}q, {w}q! {w.upper()} {w[:2]}zz{w[2:]} {w[:2]}zz{w[2:]}"))
+        # A way of three words, each ten times as frequent as the one before.
+        rows.append((200 + k, f"{w[:4]}y{w[5:]} " * 20 + f"{w[:4]}y{w[5:-1]}z " * 2))
+    return [*rows, (300, None), (301, ""), (302, "short words only ab×÷cdef ×÷×÷×÷× ×÷×÷×÷×"), (None, "without an idnumber idnumber idnumbee idnumbee"), (0, "spelling spelling"), (0, "spelling spelling")]
+
+
+def test_variants_against_brute_force(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(counted(rows))
+    assert found(df) == want and any(v[1] != (v[0] or k) for k, v in want.items())
+    assert found(df, spoil=3) == brute(counted(rows, spoil=3))
+    assert found(df, least=4, seen=1, ratio=2) == brute(counted(rows, least=4, seen=1), 2)
+    assert found(df.limit(0)) == {}
+    with pytest.raises(ValueError):
+        spelling.variants(df, ratio=1)
+
+
+def test_crowded_bands_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "CROWD", 3)
+    rows = [(i, f"abcdefgh{a}{b} " * 2) for i, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "abcdefgh")]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(counted(rows))
+
+
+def test_long_texts_and_words(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "SEGMENT", 64)
+    word = "lengthy" * 3000
+    rows = [(1, f"{word} {word[:-1]} " * 3), (2, "one short sentence, another " * 4000), (3, f"{word[:500]}é{word[501:]} " * 2)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(counted(rows))
+
+
+def test_names_of_columns_are_free(spark):
+    df = spark.createDataFrame([(1, "spelling spelling spellinf spellinf")], "doc_id long, text string").withColumns({n: F.lit("x") for n in ("word", "n", "form", "root", "a", "b", "key", "band", "part", "other", "times")})
+    assert found(df, ratio=2) == {"spelling": (None, "spelling", 2, 1, None), "spellinf": (None, "spellinf", 2, 1, None)}
+
+
+def test_masks_change_by_two_letters_at_most(spark):
+    of = spelling.bands(spark.createDataFrame([("spelling",), ("variants",)], "word string"))
+    assert sorted(set(of.tolist())) == [0, 1, 2] and max((of == b).sum() for b in range(3)) == 30
+    rows = {r["word"]: r for r in spelling.masked(spark.createDataFrame([("spelling", 1), ("spewling", 1), ("speling", 1)], "word string, n long"), of).collect()}
+    a, replaced, deleted = rows["spelling"], rows["spewling"], rows["speling"]
+    assert sum((x ^ y).bit_count() for x, y in zip(a["mask"], replaced["mask"], strict=True)) == 2
+    assert any(x == y for x, y in zip(a["same"], replaced["same"], strict=True)) and any(x == y for x, y in zip(deleted["short"], a["long"], strict=True))
