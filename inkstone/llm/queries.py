@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, ngram_join, spelling, substring_dedup, topk
+from . import fill_middle, license_scan, line_dedup, ngram_join, spelling, substring_dedup, topk
 from .embedding_dedup import op1_embedding_dedup
+from .fill_middle import op12_fill_middle
 from .license_scan import op10_license_scan
 from .line_dedup import op7_line_dedup
 from .mixing import op9_mixing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_fill_middle": op12_fill_middle,
 }
 
 ORACLE: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLE: dict[str, str] = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op10_license_scan": license_scan.oracle(),
     "op11_spelling_variants": spelling.ORACLE,
+    "op12_fill_middle": fill_middle.ORACLE,
 }
