@@ -10,6 +10,7 @@ from .line_dedup import op7_line_dedup
 from .mixing import op9_mixing
 from .ngram_join import op6_ngram_jaccard_join
 from .packing import op2_packing
+from .personal_data import op13_personal_data
 from .quality import op4_quality_classifier
 from .spelling import op11_spelling_variants
 from .substring_dedup import op5_substring_dedup
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_fill_middle": op12_fill_middle,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLE: dict[str, str] = {

@@ -1,0 +1,158 @@
+"""Personal data: base spans against the plain patterns, the model against sums over all segmentations, and what it finds."""
+
+import math
+import random
+import re
+import time
+from hashlib import sha256
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from inkstone.llm import personal_data as pd
+
+from ..conftest import SMALL
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def holds(kind, text):
+    n = [int(c) for c in text if c.isdigit()]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in text.split("."))
+    if kind == "card":
+        doubled = [d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(n[::-1])]
+        return 12 <= len(n) <= 19 and sum(doubled) % 10 == 0
+    return kind == "email" or 9 <= len(n) <= 15
+
+
+def brute(text):
+    found = [(k, *m.span()) for k, p in PLAIN.items() for m in re.finditer(p, text) if holds(k, m[0])]
+    return sorted(found, key=lambda s: (s[1], list(PLAIN).index(s[0])))
+
+
+@settings(max_examples=800, deadline=None)
+@given(st.text(st.sampled_from("0123456789 .-+()@aZ_%\n/éx٣"), max_size=60))
+def test_base_is_that_of_the_patterns(text):
+    assert pd.base(text) == brute(text)
+
+
+def test_base_on_made_up_texts():
+    rng = random.Random(1)
+    for _ in range(2000):
+        text = rng.choice(["", "x ", "+", "."]) + rng.choice([" ", ".", "-", "", ", ", "\n"]).join(pd.invented(rng)[0] for _ in range(rng.randint(1, 4)))
+        assert pd.base(text) == brute(text), text
+
+
+def segmentations(lattice):
+    """All ways to choose spans that do not overlap."""
+    def from_(at, chosen):
+        if at == len(lattice.at):
+            yield chosen
+            return
+        yield from from_(at + 1, chosen)
+        for k, s in enumerate(lattice.spans):
+            if s[0] == at:
+                yield from from_(s[1], [*chosen, k])
+
+    yield from from_(0, [])
+
+
+@pytest.mark.parametrize("text", ["1.2.3.4", "(542) 328-6037", "4111 1111 1111 1111", "+1 555 123 4567", "ab at cd dot ef", "12 34 56 78 90 12"])
+def test_dynamic_programme_is_the_sum_over_all(text):
+    lattice, rng = pd.Lattice(text, 0, len(text)), random.Random(text)
+    weights = {f"{s[2]} {f}": rng.uniform(-1, 1.2) for s in lattice.spans for f in s[3]}
+    model = pd.Model(weights)
+    scores = model.scores(lattice)
+    every = [(sum(scores[k] for k in chosen), chosen) for chosen in segmentations(lattice)]
+    total = sum(math.exp(x) for x, _ in every)
+    for k, p in enumerate(model.shares(lattice)):
+        assert p == pytest.approx(sum(math.exp(x) for x, chosen in every if k in chosen) / total)
+    found = model.best(text, pd.tokens(text, 0, len(text)))
+    assert sum(scores[k] for k, s in enumerate(lattice.spans) if s[:3] in found) == pytest.approx(max(x for x, _ in every))
+
+
+def test_training_raises_likelihood():
+    rng = random.Random(3)
+    examples = []
+    for _ in range(200):
+        piece, kind = pd.invented(rng)
+        examples += pd.taught(f"a {piece} b", [(kind, 2, 2 + len(piece))] if kind else [])
+
+    def likelihood(weights):
+        model, out = pd.Model(weights), 0.0
+        for lattice, truth in examples:
+            shares = dict(zip((s[:3] for s in lattice.spans), model.shares(lattice), strict=True))
+            out += sum(math.log(shares[t]) for t in truth)
+        return out
+
+    assert likelihood({}) < likelihood(pd.train(examples, 1)) < likelihood(pd.train(examples, 4))
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    return pd.fit(spark.read.parquet(f"{SMALL}/../sf0.01/documents.parquet"))
+
+
+def test_held_out_notations(weights):
+    rng, model, right, n = random.Random(77), pd.Model(weights), 0, 0
+    for _ in range(1500):
+        piece, kind = pd.invented(rng)
+        text = f"some words {piece} and more"
+        if not pd.base(text):
+            n += 1
+            right += pd.added(text, [], model) == ([(kind, 11, 11 + len(piece))] if kind else [])
+    assert right / n > 0.97
+
+
+def test_what_the_patterns_drop_is_found(weights):
+    text = "Des +1 (826) 555-4081 190.137.223.204 du 7536784127813050 4845168114407329 fin"
+    taken = pd.base(text)
+    more = pd.added(text, taken, pd.Model(weights))
+    assert taken == [("ip", 22, 37)]
+    assert [(k, text[a:b]) for k, a, b in more] == [("phone", "+1 (826) 555-4081"), ("card", "7536784127813050"), ("card", "4845168114407329")]
+
+
+def test_clean_texts_stay_clean(weights):
+    model = pd.Model(weights)
+    for text in ("In 2024-01-15 version 1.2.3 was at 10.20 o'clock", "numbers 4250151432573880 and 12345", "look at this. Then at noon", "1990-1995, ISBN 978-3-16-148410-0", 'token = "908038b7daaf91e730d2f0811099"', "order 2024/00123 of 3.000.000 items"):
+        assert pd.added(text, pd.base(text), model) == [], text
+
+
+def test_documents(spark, weights):
+    rows = [(1, None), (2, ""), (3, "mail a.b@mail.example.com or call (377) 555-0271"), (3, "mail a.b@mail.example.com or call (377) 555-0271"), (4, "😀 é 1.2.3.4"), (None, "4111 1111 1111 1111"), (5, "jane [at] example [dot] org")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("x") for n in ("spans", "n_ip", "found", "kind", "in_text", "weights")})
+    got = pd.find_personal(df, weights).collect()
+    spans = {r["doc_id"]: r["spans"] for r in got}
+    assert len(got) == len(rows) and spans == {1: "", 2: "", 3: "email:5:25,phone:34:48", 4: "ip:4:11", None: "card:0:19", 5: "email:0:27"}
+    row = next(r for r in got if r["doc_id"] == 3)
+    assert (row["n_email"], row["n_phone"], row["n_added"], row["base_spans"], row["found"]) == (1, 0, 1, "email:5:25", "x")
+    assert pd.find_personal(df.limit(0), weights).collect() == [] and pd.fit(df.limit(0)) == {}
+    assert next(r["spans"] for r in pd.find_personal(df.filter("doc_id = 5"), {}).collect()) == ""
+
+
+def test_query(spark):
+    got = {r["doc_id"]: r for r in pd.op13_personal_data(spark, SMALL).collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        spans, r = brute(d["text"]), got[d["doc_id"]]
+        written = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r["base_sha256"] == sha256(written.encode()).hexdigest() and [r[f"n_{k}"] for k in PLAIN] == [sum(s[0] == k for s in spans) for k in PLAIN]
+        assert set(filter(None, written.split(","))) <= set(r["spans"].split(","))
+    again = {r["doc_id"]: r["spans"] for r in pd.op13_personal_data(spark, SMALL).collect()}
+    assert again == {i: r["spans"] for i, r in got.items()}
+
+
+@pytest.mark.parametrize("text", ["1" * 300_000, "1." * 30_000, "1 " * 30_000, "a" * 300_000, "a@" * 150_000, "a.b@c" * 60_000, "+1" * 30_000, "+1((((" * 10_000, " at " * 40_000, "a at b dot " * 10_000, "(" * 300_000 + "1", "[at]" * 70_000, "a dot " * 50_000 + "at b", "1-2" * 20_000], ids=lambda t: t[:6])
+def test_long_runs_take_linear_time(text, weights):
+    began = time.perf_counter()
+    pd.added(text, pd.base(text), pd.Model(weights))
+    assert time.perf_counter() - began < 20
