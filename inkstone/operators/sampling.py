@@ -6,14 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Keys of a random sample that each range's bounds are cut from.
+DRAWN = 32
+
+
+def range_of(df: DataFrame, key: str, ranges: int) -> Column:
+    """The number (from 0) of the range of ``key`` that a row lies in, ranges holding about as many rows each.
+
+    The bounds are cut once, from a random sample of ``DRAWN`` keys a range, and stand in the expression as literals: wherever it is used, whatever columns are read beside it, a row is in the same range. A bound is found by halving. Null keys are in the first range; equal keys are in one.
+    """
+    drawn = df.select(F.col(key).alias("k")).filter("k is not null").orderBy(F.rand(5)).limit(DRAWN * ranges)
+    keys = drawn.agg(F.array_sort(F.collect_list("k")).alias("k")).first()["k"]
+    bounds = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if keys else []
+    kind = df.schema[key].dataType
+
+    def within(lo: int, hi: int) -> Column:
+        # Between lo and hi bounds are at or below the key.
+        if lo == hi:
+            return F.lit(lo)
+        half = (lo + hi) // 2
+        return F.when(F.col(key) < F.lit(bounds[half]).cast(kind), within(lo, half)).otherwise(within(half + 1, hi))
+
+    return F.when(F.col(key).isNull(), 0).otherwise(within(0, len(bounds)))
+
+
 def running_total(df: DataFrame, key: str, value: Column, name: str, by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
-    """The sum of ``value`` over all rows up to this one by ``key`` (of equal rows in ``by``), without one task for all rows: rows are laid out by ranges of the key that hold about as many rows each, summed by range, and run on within a range.
+    """The sum of ``value`` over all rows up to this one by ``key`` (of equal rows in ``by``), without one task for all rows: ranges of the key with about as many rows each are summed, and run on within.
 
-    The ranges' totals are a row for each range and value of ``by`` in it, however large the input. Keys may be of any type that sorts; ties run on in any order, a null key comes first, a null value adds nothing. ``ranges`` is the number of shuffle partitions unless given.
+    The ranges' totals are a row for each range and value of ``by`` in it, however large the input; ``df`` is read three times, for the bounds (the key alone), for the totals (key, ``by`` and value alone) and for the rows, which shuffle once, by range. Keys may be of any type of one value that sorts; ties run on in any order, a null key comes first, a null value adds nothing. There are four ranges to a shuffle partition unless ``ranges`` is given.
     """
-    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     amount = F.coalesce(value, F.lit(0))
-    placed = df.repartitionByRange(ranges, *(F.col(c).asc_nulls_first() for c in (*by, key))).withColumn("__range", F.spark_partition_id())
+    placed = df.withColumn("__range", range_of(df, key, ranges))
     totals = placed.groupBy(*by, "__range").agg(F.sum(amount).alias("__n"))
     before = totals.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__range").alias("__r"), (F.sum("__n").over(Window.partitionBy(*by).orderBy("__range")) - F.col("__n")).alias("__before"))
     within = F.sum(amount).over(Window.partitionBy(*by, "__range").orderBy(F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))

@@ -40,9 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, lang, no, label): every line of every document."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("no", "label"))
-    # Long lines are dear to compare, so lines are dealt out singly; by number, as small partitions of costly rows must not be merged.
-    return lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "no")
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("no", "label"))
 
 
 def short_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +54,15 @@ def corrupted(gt: Column) -> Column:
     return F.when(kind == 0, gt).when(kind == 1, F.replace(gt, F.lit("e"), F.lit("a"))).when(kind == 2, F.substring(gt, F.lit(2), F.char_length(gt))).otherwise(F.replace(gt, F.lit("n"), F.lit("")))
 
 
+def guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, no, gt, pred) in ASCII."""
+    lines = labels(spark, sf_dir).select("doc_id", "source", "no", F.regexp_replace("label", r"[^\x00-\x7F]", "#").alias("gt"))
+    return lines.withColumn("pred", corrupted(F.col("gt")))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, no, gt, pred, ned) in ASCII."""
-    both = labels(spark, sf_dir).withColumn("gt", F.regexp_replace("label", r"[^\x00-\x7F]", "#")).withColumn("pred", corrupted(F.col("gt")))
-    return both.withColumn("ned", scoring.normalized_similarity(F.col("gt"), F.col("pred")))
+    """``guesses`` with their edit similarity, ned."""
+    return evaluation.scored(guesses(spark, sf_dir))
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +101,7 @@ def normalized_edit_distance(spark, sf_dir):
 
 @query("SELECT doc_id, no, gt, pred FROM pair WHERE round(ned * 100, 6) <= 80")
 def threshold_report(spark, sf_dir):
-    # The second condition never holds; with it the first is not moved before the lines are dealt out.
-    return pairs(spark, sf_dir).filter((F.round(F.col("ned") * 100, 6) <= 80) | (F.spark_partition_id() < 0)).select("doc_id", "no", "gt", "pred")
+    return pairs(spark, sf_dir).filter(F.round(F.col("ned") * 100, 6) <= 80).select("doc_id", "no", "gt", "pred")
 
 
 @query("SELECT CAST(least(floor(round(ned, 6) * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM pair GROUP BY 1")
@@ -123,7 +125,7 @@ def char_accuracy(spark, sf_dir):
 
 @query()
 def char_alignment(spark, sf_dir):
-    return alignment.char_report(pairs(spark, sf_dir), F.col("gt"), F.col("pred")).orderBy(F.desc("accuracy"), "ch")
+    return alignment.char_report(guesses(spark, sf_dir), F.col("gt"), F.col("pred")).orderBy(F.desc("accuracy"), "ch")
 
 
 @query("SELECT vec_id, coalesce(list_aggregate([substring('abc', ids[i], 1) FOR i IN range(1, len(ids) + 1) IF ids[i] <> 0 AND (i = 1 OR ids[i - 1] <> ids[i])], 'string_agg', ''), '') AS decoded FROM seq")
