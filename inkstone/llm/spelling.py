@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,10 @@ LETTER, LETTERS = "[a-zÀ-ÿ]", 90
 BANDS = 3
 #: Words of equal length are edited in place, so their letters count by place too, modulo this.
 TURNS = 6
-#: Code points of a text that are searched at a time; distinct words that a task holds before it passes their counts on; words of a band's value that meet in one task.
-SEGMENT, HELD, CROWD = 1 << 20, 1 << 18, 4_096
+#: Code points of a text that are searched at a time; distinct words that a task holds before it passes their counts on; words of a band's value that meet at once; postings of a group, on the average; pairs, or letters of pairs, that are compared at a time.
+SEGMENT, HELD, CROWD, TOGETHER, PAIRS = 1 << 20, 1 << 18, 4_096, 1 << 17, 1 << 20
+#: What a word is to those that it meets: of equal length, the shorter, the longer.
+SAME, SHORT, LONG = 0, 1, 2
 
 
 def runs(text: str, pattern: re.Pattern[str], other: re.Pattern[str] = re.compile(LETTER.replace("[", "[^"))) -> Iterator[list[str]]:
@@ -102,74 +105,139 @@ def bands(words: DataFrame) -> np.ndarray:
     return of
 
 
+def parities(words: pa.Array, of: np.ndarray) -> np.ndarray:
+    """The masks of ``words``, a column for each band: which of its letters come an odd number of times."""
+    codes, row, _ = letters(words)
+    bit, out = np.zeros(LETTERS, np.int64), np.zeros((len(words), BANDS), np.int64)
+    for b in range(BANDS):
+        bit[of == b] = 1 << np.arange((of == b).sum())
+    np.bitwise_xor.at(out, (row, of[codes]), bit[codes])
+    return out
+
+
 def masked(words: DataFrame, of: np.ndarray) -> DataFrame:
-    """``words`` (word, n) with ``size``, ``mask`` (by band, which letters come an odd number of times) and the keys that words must share to be one edit apart: ``same`` by band and length; ``short`` and ``long`` by the two bands beside a band, and the length of the shorter word."""
+    """``words`` (word, n) with the keys that words must share to be one edit apart: ``same`` by a band's mask and the length; ``short`` and ``long`` by the masks of the two bands beside a band, and the length of the shorter word."""
     rng = np.random.default_rng(23)
     # A mask is known by the sum without carry of its bits' random numbers, whatever their number.
     by_letter = rng.integers(0, 1 << 63, LETTERS).astype(np.uint64)
     by_place = rng.integers(0, 1 << 63, (LETTERS, TURNS)).astype(np.uint64)
-    bit = np.zeros(LETTERS, np.int64)
-    for b in range(BANDS):
-        bit[of == b] = 1 << np.arange((of == b).sum())
 
     def key(mask: np.ndarray, kind: int, size: np.ndarray) -> np.ndarray:
         return mix(mask ^ mix(size.astype(np.uint64) * np.uint64(8) + np.uint64(kind))).view(np.int64)
 
-    def summed(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(n, values.dtype)
-        np.bitwise_xor.at(out, row, values)
-        return out
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, row, place = letters(batch["word"])
             n, size = batch.num_rows, np.bincount(row, minlength=batch.num_rows)
-            own = [of[codes] == b for b in range(BANDS)]
-            mask = [summed(bit[codes[m]], row[m], n) for m in own]
-            placed = [summed(by_place[codes[m], place[m] % TURNS], row[m], n) for m in own]
-            beside = [summed(by_letter[codes[~m]], row[~m], n) for m in own]
-            columns = [mask, [key(x, b, size) for b, x in enumerate(placed)], [key(x, BANDS + b, size) for b, x in enumerate(beside)], [key(x, BANDS + b, size - 1) for b, x in enumerate(beside)]]
+            placed, alone = np.zeros((2, n, BANDS), np.uint64)
+            np.bitwise_xor.at(placed, (row, of[codes]), by_place[codes, place % TURNS])
+            np.bitwise_xor.at(alone, (row, of[codes]), by_letter[codes])
+            beside = np.bitwise_xor.reduce(alone, 1)[:, None] ^ alone
+            columns = [[key(placed[:, b], b, size) for b in range(BANDS)], *([key(beside[:, b], BANDS + b, shorter) for b in range(BANDS)] for shorter in (size, size - 1))]
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.stack(c, 1).ravel()), BANDS).cast(pa.list_(pa.int64())) for c in columns]
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], pa.array(size, pa.int32()), *lists], ["word", "n", "size", "mask", "same", "short", "long"])
-
-    return words.select("word", "n").mapInArrow(encode, "word string, n long, size int, mask array<long>, same array<long>, short array<long>, long array<long>")
-
-
-def ends(word: Column, shorter: Column) -> list[Column]:
-    """Hashes of the start and the end of a word that make up the shorter of two; one edit leaves either of them as it is."""
-    head = F.floor(shorter / 2).cast("int")
-    tail = (shorter - head).cast("int")
-    return [F.xxhash64(F.substring(word, F.lit(1), head)).alias("head"), F.xxhash64(F.substring(word, F.char_length(word) - tail + 1, tail)).alias("tail")]
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], *lists], ["word", "n", "same", "short", "long"])
+
+    return words.select("word", "n").mapInArrow(encode, "word string, n long, same array<long>, short array<long>, long array<long>")
+
+
+def shares(codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number for each letter at its place; sums of them tell words, starts and ends apart."""
+    return mix(codes.astype(np.uint64) + np.uint64(1) + (place.astype(np.uint64) << np.uint64(8)))
+
+
+def near_pairs(words: pa.Array, kind: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (p, q), q from ``lo`` to ``hi`` of p, whose words are one edit apart, q's being longer or as long. Their starts or their ends are equal, as one edit cannot be in both; what is left is compared letter by letter. ``kind`` is LONG where a word is the longer of a pair."""
+    codes, row, place = letters(words)
+    size = np.bincount(row, minlength=len(kind))
+    first = np.cumsum(size) - size
+    shorter = size - (kind == LONG)
+    head = shorter // 2
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shares(codes, place))))
+    starts = upto[first + head] - upto[first]
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shares(codes, size[row] - place))))
+    ends = upto[first + size] - upto[first + size - (shorter - head)]
+    n, at = np.maximum(hi - lo, 0), 0
+    total = np.concatenate(([0], np.cumsum(n)))
+    while at < len(n):
+        # So many rows that their pairs fit a block; a row alone has a chunk's words at most.
+        upto_row = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+        m = n[at:upto_row]
+        p = np.repeat(np.arange(at, upto_row), m)
+        q = np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m) + lo[p]
+        some = (starts[p] == starts[q]) | (ends[p] == ends[q])
+        p, q, at = p[some], q[some], upto_row
+        for length in np.unique(size[p]):
+            mine = np.flatnonzero(size[p] == length)
+            for part in np.array_split(mine, max(1, len(mine) * int(length) // PAIRS)):
+                a, b = p[part], q[part]
+                x = codes[first[a][:, None] + np.arange(length)]
+                longer = size[b] > length
+                # Of equal length, one letter differs; else what is equal from the start and what is equal from the end make up the shorter word.
+                y = codes[first[b][:, None] + np.arange(length)]
+                same = x == y
+                near = same.sum(1) == length - 1
+                if longer.any():
+                    z = codes[first[b[longer]][:, None] + 1 + np.arange(length)] == x[longer]
+                    front = np.logical_and.accumulate(same[longer], 1).sum(1)
+                    rear = np.logical_and.accumulate(z[:, ::-1], 1).sum(1)
+                    near[longer] = front + rear >= length
+                yield a[near], b[near]
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """(a, an, b, bn): each pair of distinct ``words`` (word, n) that differ by one inserted, deleted or replaced code point, once.
 
-    One edit changes the parity of two letters at most. The letters lie in three bands: a replacement leaves at least one band's mask as it is, an insertion two of them; words are joined by the equal bands and the length, checked by the number of changed letters and by their starts and ends, and verified. A band's value that many words share is dealt out.
+    One edit changes the parity of two letters at most. The letters lie in three bands: a replacement leaves at least one band's mask as it is, an insertion two of them. Words meet by the equal bands and the length, many bands' values in one group, and are verified there; where two bands are equal, the first of them counts. A band's value that many words share is dealt out over pairs of chunks, so that no group holds all of them.
     """
-    rows = checkpoint(masked(words, bands(words)))
-
-    def posted(kind: str, size: Column) -> DataFrame:
-        return rows.select("word", "n", "size", "mask", F.posexplode(kind).alias("band", "key"), *ends(F.col("word"), size))
-
-    same = posted("same", F.col("size"))
-    left, right = same.unionByName(posted("short", F.col("size"))), same.unionByName(posted("long", F.col("size") - 1))
+    of = bands(words)
+    rows = checkpoint(masked(words, of))
+    posted = rows.select("word", "n", F.posexplode(F.concat("same", "short", "long")).alias("at", "key")).select("word", "n", F.floor(F.col("at") / BANDS).cast("int").alias("kind"), (F.col("at") % BANDS).alias("band"), "key")
     # Few values are crowded, at most one for each CROWD rows.
-    crowd = checkpoint(right.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts")).filter("parts > 1"))
-    crowd = small(crowd, 100_000)
-    left = left.join(crowd, "key", "left").withColumn("part", F.pmod(F.xxhash64("word"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    right = right.join(crowd, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    a, b = left.alias("a"), right.alias("b")
-    changed = [F.bit_count(F.col("a.mask")[k].bitwiseXOR(F.col("b.mask")[k])) for k in range(BANDS)]
-    flips = sum(changed[1:], changed[0])
-    # Where two bands are equal, the first of them finds the pair.
-    first = F.when(F.col("a.band") == 0, True).when(F.col("a.band") == 1, changed[0] > 0).otherwise((changed[0] > 0) & (changed[1] > 0))
-    replaced = (F.col("a.size") == F.col("b.size")) & (F.col("a.word") < F.col("b.word")) & (flips == 2) & first
-    inserted = (F.col("a.size") + 1 == F.col("b.size")) & (flips == 1)
-    alike = (F.col("a.head") == F.col("b.head")) | (F.col("a.tail") == F.col("b.tail"))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.band") == F.col("b.band")) & alike & (replaced | inserted))
-    pairs = met.select(F.col("a.word").alias("a"), F.col("a.n").alias("an"), F.col("b.word").alias("b"), F.col("b.n").alias("bn"))
-    return pairs.filter(F.levenshtein("a", "b", 1) == 1)
+    left, right = F.count_if(F.col("kind") != LONG), F.count_if(F.col("kind") != SHORT)
+    crowd = posted.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(left / CROWD)).cast("int").alias("nl"), F.greatest(F.lit(1), F.ceil(right / CROWD)).cast("int").alias("nr"))
+    crowd = checkpoint(crowd.filter("nl > 1 or nr > 1"))
+    own = posted.join(small(crowd, 100_000), "key", "left").withColumns({"nl": F.coalesce("nl", F.lit(1)), "nr": F.coalesce("nr", F.lit(1))})
+
+    def cell(side: int, other: str, mine: str) -> Column:
+        """A word's chunk on its side beside all chunks of the other one."""
+        chunk = F.pmod(F.xxhash64("word"), F.col(mine)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda k: F.struct(F.lit(side).alias("side"), *((chunk.alias("x"), k.alias("y")) if side == SHORT else (k.alias("x"), chunk.alias("y")))))
+
+    both = F.array(F.struct(F.lit(SAME).alias("side"), F.lit(0).alias("x"), F.lit(0).alias("y")))
+    lone = (F.col("nl") == 1) & (F.col("nr") == 1)
+    cells = F.when((F.col("kind") == SAME) & lone, both).when(F.col("kind") == SAME, F.concat(cell(SHORT, "nr", "nl"), cell(LONG, "nl", "nr"))).when(F.col("kind") == SHORT, cell(SHORT, "nr", "nl")).otherwise(cell(LONG, "nl", "nr"))
+    dealt = own.select("word", "n", "kind", "band", "key", F.inline(cells))
+    n_groups = rows.count() * 3 * BANDS // TOGETHER + 1
+    grouped = dealt.select("word", "n", "kind", "band", "side", F.xxhash64("key", "x", "y").alias("cell")).withColumn("group", F.pmod(F.col("cell"), F.lit(n_groups)).cast("int"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.lexsort((t["side"].to_numpy(), t["band"].to_numpy(), t["cell"].to_numpy()))))
+        cell, side, kind, band = (t[c].to_numpy() for c in ("cell", "side", "kind", "band"))
+        new = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (band[1:] != band[:-1]))))
+        of_cell = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(cell))))
+        end = np.append(new[1:], len(cell))[of_cell]
+        # Words of one kind meet those behind them; those of the left side all of the right one's, which come last.
+        right = end - np.bincount(of_cell, weights=side == LONG, minlength=len(new)).astype(np.int64)[of_cell]
+        place = np.arange(len(cell))
+        lo, hi = np.where(side == SAME, place + 1, right), np.where(side == LONG, 0, end)
+        words_ = t["word"].combine_chunks()
+        found = [x for x in near_pairs(words_, kind, lo, hi) if len(x[0])]
+        p, q = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        a, b = (words_.take(pa.array(x)) for x in (p, q))
+        keep = np.ones(len(p), bool)
+        if len(p):
+            # Words of equal length that were dealt to two sides meet twice, and those that two bands show are of the first.
+            equal = kind[p] == SAME
+            ordered = pa.compute.less(a, b).to_numpy(zero_copy_only=False)
+            mask = [parities(x, of) for x in (a, b)]
+            differ = mask[0] != mask[1]
+            earliest = np.where(~differ[:, 0], 0, np.where(~differ[:, 1], 1, 2))
+            keep = ~equal | ((ordered | (side[p] == SAME)) & (earliest == band[p]))
+        keep = pa.array(np.flatnonzero(keep))
+        n = t["n"].to_numpy()
+        return pa.table([a.take(keep), pa.array(n[p]).take(keep), b.take(keep), pa.array(n[q]).take(keep)], names=["a", "an", "b", "bn"])
+
+    return grouped.groupBy("group").applyInArrow(meet, "a string, an long, b string, bn long")
 
 
 def variants(docs: DataFrame, least: int = 7, seen: int = 2, ratio: int = 10, spoil: int = 0) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,7 +93,9 @@ def test_names_of_columns_are_free(spark):
 def test_masks_change_by_two_letters_at_most(spark):
     of = spelling.bands(spark.createDataFrame([("spelling",), ("variants",)], "word string"))
     assert sorted(set(of.tolist())) == [0, 1, 2] and max((of == b).sum() for b in range(3)) == 30
-    rows = {r["word"]: r for r in spelling.masked(spark.createDataFrame([("spelling", 1), ("spewling", 1), ("speling", 1)], "word string, n long"), of).collect()}
-    a, replaced, deleted = rows["spelling"], rows["spewling"], rows["speling"]
-    assert sum((x ^ y).bit_count() for x, y in zip(a["mask"], replaced["mask"], strict=True)) == 2
+    words = ["spelling", "spewling", "speling"]
+    rows = {r["word"]: r for r in spelling.masked(spark.createDataFrame([(w, 1) for w in words], "word string, n long"), of).collect()}
+    a, replaced, deleted = (rows[w] for w in words)
+    mask = spelling.parities(pa.array(words), of)
+    assert [sum(int(x ^ y).bit_count() for x, y in zip(mask[0], m, strict=True)) for m in mask[1:]] == [2, 1]
     assert any(x == y for x, y in zip(a["same"], replaced["same"], strict=True)) and any(x == y for x, y in zip(deleted["short"], a["long"], strict=True))
