@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codecs, scoring
+from ..functions import codecs, losses, scoring
 from ..operators import alignment, evaluation, sampling
 from ..sources import samples
 
@@ -238,13 +238,40 @@ def log_softmax(spark, sf_dir):
     FROM (SELECT vec_id, label, [v[4 * t + 1 : 4 * t + 4] FOR t IN range(0, len(v) // 4)] AS steps FROM vec)))""")
 def evaluate_logits(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 4).cast("int") - 1), lambda t: F.slice("embedding", 4 * t + 1, 4))
-    logits = vectors.select(F.col("vec_id").alias("sample_id"), F.posexplode(steps).alias("t", "logit"))
+    logits = vectors.select(F.col("vec_id").alias("sample_id"), F.posexplode(steps_of(4)).alias("t", "logit"))
     truth = vectors.select(F.col("vec_id").alias("sample_id"), F.substring(F.lit("abcabcabcabcabc"), F.col("label") + 1, F.lit(6)).alias("label"))
     rows = evaluation.evaluate(logits, truth, "abc")
     return rows.select(F.col("sample_id").alias("vec_id"), "gt", "pred", F.round("confidence", 6).alias("confidence"), "exact", F.round("ned", 6).alias("ned"))
 
 
+def steps_of(width: int) -> Column:
+    """A vector as scores: ``width`` classes a step."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / width).cast("int") - 1), lambda t: F.slice("embedding", width * t + 1, width))
+
+
+# A fifth of the labels are longer than any alignment.
+@query("""WITH RECURSIVE sample AS (
+  SELECT vec_id, [[CAST(x AS DOUBLE) FOR x IN embedding[4 * t + 1 : 4 * t + 4]] FOR t IN range(0, len(embedding) // 4)] AS steps, [1 + (label + i) % 3 FOR i IN range(0, CASE WHEN vec_id % 5 = 0 THEN 20 ELSE 6 END)] AS ids FROM embeddings
+), place AS (
+  SELECT vec_id, len(ids) AS size, 2 * len(ids) + 1 AS n, [CASE WHEN s % 2 = 1 THEN 0 ELSE ids[s // 2] END FOR s IN range(1, 2 * len(ids) + 2)] AS z, [[exp(x - list_max(l)) / list_sum([exp(y - list_max(l)) FOR y IN l]) FOR x IN l] FOR l IN steps] AS p FROM sample
+), front(vec_id, t, a) AS (
+  SELECT vec_id, 1, [CASE WHEN s <= 2 THEN p[1][z[s] + 1] ELSE 0 END FOR s IN range(1, n + 1)] FROM place
+  UNION ALL SELECT front.vec_id, t + 1, [(a[s] + coalesce(a[s - 1], 0) + CASE WHEN s > 2 AND z[s] <> 0 AND z[s] <> z[s - 2] THEN a[s - 2] ELSE 0 END) * p[t + 1][z[s] + 1] FOR s IN range(1, n + 1)] FROM front JOIN place ON front.vec_id = place.vec_id WHERE t < len(p)
+)
+SELECT vec_id, CAST(size AS INTEGER) AS size, round(CASE WHEN a[n] + a[n - 1] > 0 THEN -ln(a[n] + a[n - 1]) ELSE 0 END, 6) AS loss FROM front JOIN place USING (vec_id) WHERE t = len(p)""")
+def ctc_loss(spark, sf_dir):
+    ids = F.transform(F.sequence(F.lit(0), F.when(F.col("vec_id") % 5 == 0, 19).otherwise(5)), lambda i: (1 + (F.col("label") + i) % 3).cast("int"))
+    samples_ = table(spark, sf_dir, "embeddings").select("vec_id", steps_of(4).alias("logits"), ids.alias("ids"))
+    return samples_.select("vec_id", F.size("ids").alias("size"), F.round(losses.ctc_loss(F.col("logits"), F.col("ids")), 6).alias("loss"))
+
+
+@query("SELECT vec_id, round(coalesce(list_sum([CASE WHEN (vec_id + t) % 4 = 0 THEN 0 ELSE ln(list_sum([exp(x) FOR x IN v[4 * t + 1 : 4 * t + 4]])) - v[4 * t + 1 + (vec_id + t) % 4] END FOR t IN range(0, len(v) // 4)]), 0), 6) AS total, CAST(len([1 FOR t IN range(0, len(v) // 4) IF (vec_id + t) % 4 <> 0]) AS BIGINT) AS n FROM vec")
+def cross_entropy(spark, sf_dir):
+    targets = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 4).cast("int") - 1), lambda t: ((F.col("vec_id") + t) % 4).cast("int"))
+    found = table(spark, sf_dir, "embeddings").select("vec_id", losses.cross_entropy(steps_of(4), targets).alias("e"))
+    return found.select("vec_id", F.round("e.total", 6).alias("total"), F.col("e.n").alias("n"))
+
+
 @query("SELECT printf('label-%09d', doc_id) AS key, text AS value FROM documents UNION ALL SELECT printf('image-%09d', doc_id), md5(text) FROM documents UNION ALL SELECT 'num-samples', CAST(count(*) AS VARCHAR) FROM documents")
 def kv_records(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("label"), F.md5("text").cast("binary").alias("image"))
