@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, losses, scoring
-from ..operators import alignment, evaluation, sampling
-from ..sources import samples
+from ..operators import alignment, augmentation, evaluation, sampling
+from ..sources import pixels, samples
 
 #: Characters of a label at most, where the operator has such a limit: the length filter and the encoders of fixed width.
 LONGEST = 100
@@ -373,6 +373,62 @@ def source_select(spark, sf_dir):
     return samples.select_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["c1", "7"])
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as grey images, eight pixels wide: (vec_id, height, width, channels, pixels)."""
+    byte = F.transform("embedding", lambda x: F.lpad(F.hex(F.pmod(F.floor(x.cast("double") * 64), F.lit(256))), 2, "0"))
+    size = {"height": F.floor(F.size("embedding") / 8).cast("int"), "width": F.lit(8), "channels": F.lit(1)}
+    return table(spark, sf_dir, "embeddings").select("vec_id", *(c.alias(n) for n, c in size.items()), F.unhex(F.array_join(byte, "")).alias("pixels"))
+
+
+PICTURE = """WITH picture AS (
+  SELECT vec_id, len(embedding) // 8 AS height, [CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT) & 255 FOR x IN embedding] AS v FROM embeddings
+), pixel AS (
+  SELECT vec_id, height, CAST((i - 1) // 8 AS BIGINT) AS y, CAST((i - 1) % 8 AS BIGINT) AS x, v[i] AS v FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM picture)
+)"""
+
+
+@query(f"{PICTURE} SELECT vec_id, string_agg(printf('%02X', v), '' ORDER BY y, 7 - x) AS pixels FROM pixel GROUP BY vec_id")
+def mirror_pixels(spark, sf_dir):
+    return pixels.mirrored(pictures(spark, sf_dir)).select("vec_id", F.hex("pixels").alias("pixels"))
+
+
+# Every pixel as a sum over a whole image, against two passes along rows and columns.
+@query(f"""{PICTURE}, tap AS (
+  SELECT size, "to", o, i, abs((i + 0.5 - (o + 0.5) * size / "to") / greatest(size / "to", 1)) AS d FROM (SELECT *, unnest(range(CAST(size AS BIGINT))) AS i FROM (SELECT *, unnest(range("to")) AS o FROM (SELECT CAST(8 AS DOUBLE) AS size, 12 AS "to" UNION SELECT DISTINCT CAST(height AS DOUBLE), 5 FROM picture)))
+), kernel AS (
+  SELECT size, "to", o, i, CASE WHEN d < 1 THEN 1.5 * d * d * d - 2.5 * d * d + 1 WHEN d < 2 THEN -0.5 * d * d * d + 2.5 * d * d - 4 * d + 2 ELSE 0 END AS w FROM tap
+), weight AS (
+  SELECT size, "to", o, i, w / sum(w) OVER (PARTITION BY size, "to", o) AS w FROM kernel
+), made AS (
+  SELECT vec_id, r.o AS y, c.o AS x, sum(v * r.w * c.w) AS v FROM pixel JOIN weight r ON r."to" = 5 AND r.size = height AND r.i = y JOIN weight c ON c."to" = 12 AND c.size = 8 AND c.i = x GROUP BY ALL
+)
+SELECT vec_id, string_agg(printf('%02X', CAST(least(greatest(floor(v + 0.5), 0), 255) AS INTEGER)), '' ORDER BY y, x) AS pixels FROM made GROUP BY vec_id""")
+def bicubic_resize(spark, sf_dir):
+    return pixels.resized(pictures(spark, sf_dir), 5, 12).select("vec_id", F.hex("pixels").alias("pixels"))
+
+
+@query(f"""{PICTURE}, kernel AS (
+  SELECT k, exp(-k * k / 2.0) / sum(exp(-k * k / 2.0)) OVER () AS w FROM range(-3, 4) r(k)
+), made AS (
+  SELECT p.vec_id, p.y, p.x, sum(q.v * a.w * b.w) AS v FROM pixel p CROSS JOIN kernel a CROSS JOIN kernel b JOIN pixel q ON q.vec_id = p.vec_id AND q.y = least(greatest(p.y + a.k, 0), p.height - 1) AND q.x = least(greatest(p.x + b.k, 0), 7) GROUP BY ALL
+)
+SELECT vec_id, string_agg(printf('%02X', CAST(floor(v + 0.5) AS INTEGER)), '' ORDER BY y, x) AS pixels FROM made GROUP BY vec_id""")
+def blur_pixels(spark, sf_dir):
+    blurred = augmentation.augmented(pictures(spark, sf_dir), "vec_id", 1, names=("GaussianBlur",), layers=1)
+    return blurred.select("vec_id", F.hex("pixels").alias("pixels"))
+
+
+@query("""WITH op(op, argument) AS (VALUES ('GaussianBlur', 2.0), ('MotionBlur', 10.0), ('GaussianNoise', 12.75), ('PoissonNoise', 20.0), ('SaltAndPepper', 0.05), ('Invert', 0.0), ('BorderCrop', 0.0), ('RandomResize', 0.0)
+), turn AS (
+  SELECT doc_id, op, argument, row_number() OVER (PARTITION BY doc_id ORDER BY substring(md5('7-3-' || doc_id || '-' || op), 1, 13), op) AS turn FROM documents CROSS JOIN op
+)
+SELECT doc_id, string_agg(op || ' ' || CAST(CAST(round(argument * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY turn) AS ops FROM turn WHERE turn <= 3 GROUP BY doc_id""")
+def augment_schedule(spark, sf_dir):
+    ops = augmentation.schedule(F.col("doc_id"), epoch=3, seed=7)
+    named = F.transform(ops, lambda o: F.concat_ws(" ", o["op"], F.round(o["argument"] * 100).cast("long").cast("string")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(named, ",").alias("ops"))
+
+
 @query("SELECT event_id, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d_%H-%M-%S') AS stamp FROM events")
 def run_stamps(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", codecs.run_stamp(F.col("ts").cast("timestamp")).alias("stamp"))
