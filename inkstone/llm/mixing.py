@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.sampling import dense_index
 from .common import WORD, carried, checkpoint, released, small, table
 from .subset_sum import closest_fill
 
@@ -15,19 +16,29 @@ from .subset_sum import closest_fill
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Hash ranges that the documents of one source and length are counted in before the cut among them is looked for.
 RANGES = 4_096
+#: Tasks that rows which repeat are numbered in.
+LANES = 64
 
 
-def share(sizes: list[int], weights: list[float], most: float) -> list[float]:
-    """Split ``sum(sizes)`` by weight with at most ``most`` times its own size for each; what is over is shared again."""
-    target, left, open_ = [0.0] * len(sizes), float(sum(sizes)), set(range(len(sizes)))
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        over = {i for i in open_ if left * weights[i] / weight > most * sizes[i]}
-        for i in over or open_:
-            target[i] = most * sizes[i] if over else left * weights[i] / weight
-        left -= sum(target[i] for i in over)
-        open_ = open_ - over if over else set()
-    return target
+def targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+    """``sources`` (source, source_size) with ``target``: a share of all sizes by weight (``weights`` in code-point order of the sources, null last, repeating), at most ``most`` times the source's size; what is over is shared again.
+
+    Whether a source is at its bound follows from two sums over all sources, which are taken anew until no further source is: a few aggregations, however many sources there are.
+    """
+    named = dense_index(sources.filter("source is not null"), "source", "place")
+    nameless = sources.filter("source is null").withColumn("place", F.lit(sources.filter("source is not null").count() + 1).cast("long"))
+    weighed = checkpoint(named.unionByName(nameless).withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))))
+    size, weight, bounded = F.col("source_size"), F.col("weight"), 0
+    total, heavy = weighed.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(weight), F.lit(0.0))).first()
+    left = float(total)
+    while heavy:
+        full = F.lit(left) * weight / F.lit(heavy) > F.lit(most) * size
+        held, lighter = weighed.agg(F.coalesce(F.sum(F.when(full, size)), F.lit(0)), F.coalesce(F.sum(F.when(~full, weight)), F.lit(0.0))).first()
+        if held == bounded or not lighter:
+            break
+        bounded, heavy, left = held, lighter, total - most * held
+    share = F.lit(left) * weight / F.lit(heavy or 1.0)
+    return weighed.select("source", "source_size", F.least(share, F.lit(most) * size).alias("target"))
 
 
 def seeded(seed: int, *of: object) -> float:
@@ -87,21 +98,14 @@ def fit(lengths: list[int], counts: list[int], budget: int, span: int, seed: int
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, span: int = 1 << 16) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies`` (how often the mix takes the document, 0 to ``most``).
 
-    ``size`` is the number of words of the text (null: 0). Sources stand by code point, null last, and weigh ``weights``, repeating. Every document is taken ``target // source_size`` times; the remaining budget picks some once more: counts by exact length are fitted by dynamic programming, and within a source and length the documents of the lowest seeded hash are picked. The hash is over doc_id and text, so rows repeated in full are picked alike; reruns agree. Empty texts are taken with the base count. An empty table gives no rows. Columns of ``docs`` that have the names added are replaced; other names are free.
+    ``size`` is the number of words of the text (null: 0). Sources stand by code point, null last, and weigh ``weights``, repeating. Every document is taken ``target // source_size`` times; the remaining budget picks some once more: counts by exact length are fitted by dynamic programming, and within a source and length the documents of the lowest seeded hash are picked. The hash is over doc_id and text; of rows that repeat both, as many are picked as are wanted, whichever, since they are the same; reruns agree. Empty texts are taken with the base count. An empty table gives no rows. Columns of ``docs`` that have the names added are replaced; other names are free.
     """
     rows = carried(docs, ("size", "source_size", "target", "copies"))
     rows = rows.withColumns({"source": F.col("in_source"), "size": F.coalesce(F.regexp_count("in_text", F.lit(WORD)), F.lit(0)).cast("long"), "key": F.xxhash64(F.lit(seed), "in_doc_id", "in_text")})
     sized = checkpoint(rows.select("source", "size", "key"))
     lengths = checkpoint(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
 
-    def targets(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place", ignore_index=True)
-        sizes = frame["source_size"].tolist()
-        return frame.assign(target=share(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most))[["source", "source_size", "target"]]
-
-    # One row a source: the shares depend on all of them.
-    placed = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    sources = checkpoint(placed.groupBy().applyInPandas(targets, "source string, source_size long, target double"))
+    sources = checkpoint(targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most))
 
     def fitted(frame: pd.DataFrame) -> pd.DataFrame:
         target, source_size = float(frame["target"].iloc[0]), int(frame["source_size"].iloc[0])
@@ -124,12 +128,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     cut = ranges.filter((F.col("upto") >= F.col("once")) & (F.col("upto") - F.col("n") < F.col("once"))).select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("range").alias("r"), (F.col("once") - F.col("upto") + F.col("n")).alias("rank"))
     inside = wanted.join(cut, F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")) & (F.col("r") == F.col("range")))
     # Keys are compared as unsigned numbers, as the ranges are; within one range signed order is the same.
-    rank = F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("key"))
-    cuts = inside.withColumn("i", rank).filter(F.col("i") == F.col("rank")).select("s", "z", "range", F.col("key").alias("last"))
-    full = plan.join(cuts, F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")), "left").select(F.col("source").alias("of"), F.col("size").alias("z"), "source_size", "target", "base", "once", "n", F.col("range").alias("r"), "last")
-    decided = rows.join(small(checkpoint(full), 200_000), F.col("of").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")))
+    ordered = Window.partitionBy("source", "size", "range").orderBy("key")
+    alike = Window.partitionBy("source", "size", "range", "key")
+    ranked = inside.withColumn("i", F.row_number().over(ordered)).withColumns({"first": F.min("i").over(alike), "same": F.count(F.lit(1)).over(alike)})
+    cuts = ranked.filter(F.col("i") == F.col("rank")).select("s", "z", "range", F.col("key").alias("last"), (F.col("i") - F.col("first") + 1).alias("some"), "same")
+    full = plan.join(cuts, F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")), "left").select(F.col("source").alias("of"), F.col("size").alias("z"), "source_size", "target", "base", "once", "n", F.col("range").alias("r"), "last", "some", (F.col("some") < F.col("same")).alias("parted"))
+    full = checkpoint(full)
+    decided = rows.join(small(full, 200_000), F.col("of").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")))
+    split = F.coalesce(F.col("parted") & (F.col("key") == F.col("last")), F.lit(False))
     again = F.when(F.col("once") == 0, 0).when(F.col("once") == F.col("n"), 1).otherwise(((at < F.col("r")) | ((at == F.col("r")) & (F.col("key") <= F.col("last")))).cast("int"))
-    return released(decided, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"), copies=F.col("base") + again)
+    if full.filter("parted").limit(1).count():
+        # Of rows that repeat some are picked: they are kept apart, dealt to lanes, and numbered along them.
+        lane = F.pmod(F.monotonically_increasing_id(), F.lit(LANES))
+        equal = checkpoint(decided.filter(split).withColumn("lane", lane))
+        before = equal.groupBy("key", "lane").agg(F.count(F.lit(1)).alias("c"))
+        before = before.select(F.col("key").alias("k"), F.col("lane").alias("l"), (F.sum("c").over(Window.partitionBy("key").orderBy("lane")) - F.col("c")).alias("before"))
+        place = F.row_number().over(Window.partitionBy("key", "lane").orderBy("source"))
+        numbered = equal.withColumn("number", place).join(before, (F.col("k") == F.col("key")) & (F.col("l") == F.col("lane")))
+        chosen = numbered.withColumn("again", (F.col("number") + F.col("before") <= F.col("some")).cast("int")).drop("k", "l", "before", "number", "lane")
+        decided = decided.filter(~split).withColumn("again", again).unionByName(chosen)
+    else:
+        decided = decided.withColumn("again", again)
+    return released(decided, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"), copies=F.col("base") + F.col("again"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
