@@ -35,7 +35,7 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document. Texts without words are taken as often as all of their source are at least; rows that repeat in full are picked alike."""
+    """A row for each time that the mix takes a document. Texts without words are taken as often as all of their source are at least; of rows that repeat as many are picked as are wanted."""
     mixed = mixing.mix(docs).filter("copies > 0")
     return mixed.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
