@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,8 +16,8 @@ from .topk import whole
 
 #: Codewords of each half grow with the square root of the vectors, between these; vectors that the codebooks are fitted on at most (those of the lowest hash); vectors of a tile in one task.
 FEWEST, MOST, SAMPLE, CHUNK = 16, 1_024, 20_000, 4_096
-#: Share of links at the threshold that a visit is meant to find, from one of its two ends.
-TARGET = 0.995
+#: Share of links that visits are meant to find, from one of their two ends; vectors whose links with all others it is measured on, links of theirs at least, and the steps of the measure.
+TARGET, ASKED, ENOUGH, STEP = 0.997, 512, 200, 1 / 512
 
 
 def squared(x: np.ndarray, codebook: np.ndarray) -> np.ndarray:
@@ -41,22 +43,27 @@ def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[:, :cut], x[:, cut:]
 
 
-def calibrate(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float, target: float) -> float:
-    """How much farther than its nearest cell (squared) a query must look to meet ``target`` of the vectors that lie just at the threshold from it, in random directions."""
+def excesses(first: np.ndarray, second: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """How much farther than its nearest cell (by the sum of squared distances in both halves) each row must look to come to the cell (u, v)."""
+    at = np.arange(len(first))
+    return first[at, u] + second[at, v] - first.min(1) - second.min(1)
+
+
+def foreseen(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float, target: float) -> float:
+    """The excess that finds ``target`` of partners at the threshold from the rows of ``x``: partners in random directions of the whole space, and of the space that the rows themselves fill, whichever need more. For tables with too few links to measure on."""
     rng = np.random.default_rng(11)
-    noise = rng.standard_normal(x.shape)
-    noise -= (noise * x).sum(1, keepdims=True) * x
-    length = np.linalg.norm(noise, axis=1, keepdims=True)
-    y = threshold * x + np.sqrt(1 - threshold**2) * noise / np.where(length > 0, length, 1)
-    excess = np.zeros(len(x))
-    for a, b, book in zip(halves(x), halves(y), books, strict=True):
-        d = squared(a, book)
-        excess += d[np.arange(len(x)), squared(b, book).argmin(1)] - d.min(1)
-    return float(np.quantile(excess, target))
+    most = 0.0
+    for noise in (rng.standard_normal(x.shape), rng.standard_normal((len(x), len(x))) @ x if len(x) <= SAMPLE // 5 else x[rng.permutation(len(x))] - x):
+        noise -= (noise * x).sum(1, keepdims=True) * x
+        length = np.linalg.norm(noise, axis=1, keepdims=True)
+        y = threshold * x + np.sqrt(1 - threshold**2) * noise / np.where(length > 0, length, 1)
+        (first, second), (u, v) = ([squared(h, b) for h, b in zip(halves(z), books, strict=True)] for z in (x, y))
+        most = max(most, float(np.quantile(excesses(first, second, u.argmin(1), v.argmin(1)), target)))
+    return most
 
 
 def traverse(first: np.ndarray, second: np.ndarray, excess: float) -> tuple[np.ndarray, np.ndarray]:
-    """Multi-sequence traversal for each row: along the two sorted sequences of distances, cells (i, j) by rising sum, until the sum is ``excess`` over the least. Gives how far the second may lie for each i (nothing where that is below the nearest), and the row's bound."""
+    """What a multi-sequence traversal comes to for each row: cells (i, j) by rising sum of the two sequences of distances, until the sum is ``excess`` over the least. The cells come to are a staircase: for each i the second may lie as far as given here (nothing where that is below the nearest); with the row's bound. All rows are worked out at once, so no queue of cells is kept."""
     most = first.min(1) + second.min(1) + excess
     return most[:, None] - first, most
 
@@ -71,12 +78,43 @@ def tiles_of(first: np.ndarray, second: np.ndarray, excess: float, grid: int) ->
     return [np.flatnonzero(x) for x in (far[:, :, None] >= near[:, None, :]).reshape(len(first), -1)]
 
 
+def measured(vectors: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]], asked: list, threshold: float) -> dict[tuple[int, int], int]:
+    """How many links of the vectors ``asked`` (a bounded number of rows: dim, x, node, label) with all ``vectors`` need which excess, by length and step of it, looked for from the end that needs less: every row is compared with those asked."""
+    by_dim = {d: [r for r in asked if r["dim"] == d] for d in books}
+    probes = {d: (np.array([r["node"] for r in rs]), np.array([r["label"] for r in rs]), unit(np.array([r["x"] for r in rs], np.float64))) for d, rs in by_dim.items() if rs}
+    shared = vectors.sparkSession.sparkContext.broadcast((books, probes))
+
+    def count(batches):
+        books, probes = shared.value
+        found: Counter[tuple[int, int]] = Counter()
+        for batch in batches:
+            dims = batch["dim"].to_numpy()
+            for dim in set(dims.tolist()) & set(probes):
+                part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                y = unit(part["x"].flatten().to_numpy().reshape(part.num_rows, dim).astype(np.float64))
+                node, label, x = probes[dim]
+                # A probe's own row is no partner.
+                links = (y @ x.T >= threshold) & (part["label"].to_numpy()[:, None] == label) & (part["node"].to_numpy()[:, None] != node)
+                p, q = np.nonzero(links)
+                if not len(p):
+                    continue
+                far = {k: [squared(h, b) for h, b in zip(halves(z), books[dim], strict=True)] for k, z in (("y", y), ("x", x))}
+                cell = {k: [d.argmin(1) for d in ds] for k, ds in far.items()}
+                there = excesses(*(d[p] for d in far["y"]), *(c[q] for c in cell["x"]))
+                back = excesses(*(d[q] for d in far["x"]), *(c[p] for c in cell["y"]))
+                found.update((dim, int(k)) for k in np.floor(np.minimum(there, back) / STEP))
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], pa.int32()) for i in range(2)] + [pa.array(list(found.values()), pa.int64())], ["dim", "step", "n"])
+
+    rows = vectors.select("dim", "x", "node", F.col("label").cast("long").alias("label")).mapInArrow(count, "dim int, step int, n long")
+    return {(r["dim"], r["step"]): r["n"] for r in rows.groupBy("dim", "step").agg(F.sum("n").alias("n")).collect()}
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target: float = TARGET) -> DataFrame:
     """One row for each of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors with equal, non-null labels and a cosine of ``threshold`` or more, in double precision, are linked; a null vector or label, a zero vector, null or non-finite components, and vectors of another length link with nothing. ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest vec_id reachable. Rows that repeat a vec_id count each; exact copies are collapsed before the search and counted by their number. Vectors may be of any length. An empty table gives no rows; other columns are ignored.
 
-    The grid's cells are kept in tiles of neighbouring cells; a vector lies in its own cell's tile and visits the other tiles that its traversal comes to, once each. A pair is looked for from both ends and counted once; what is found is verified, so no link is below the threshold.
+    The grid's cells are kept in tiles of neighbouring cells; a vector lies in its own cell's tile and visits the other tiles that its traversal comes to, once each. A pair is looked for from both ends and counted once; what is found is verified, so no link is below the threshold. How far a traversal goes is measured: by the links of ``ASKED`` vectors with all rows, so that ``target`` of these are come to; where they have fewer than ``ENOUGH`` links, by made-up partners (``foreseen``).
     """
     kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
     wide = "<f4" if kind == "float" else "<f8"
@@ -93,12 +131,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target: float =
     def learn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         x = unit(np.stack(frame.sort_values("node")["x"].to_list()).astype(np.float64))
         books = tuple(codebook(h, codewords) for h in halves(x))
-        return pd.DataFrame({"dim": [key[0]], "first": [books[0].tobytes()], "second": [books[1].tobytes()], "k1": [len(books[0])], "k2": [len(books[1])], "excess": [calibrate(x[:4000], books, threshold, target)]})
+        return pd.DataFrame({"dim": [key[0]], "first": [books[0].tobytes()], "second": [books[1].tobytes()], "k1": [len(books[0])], "k2": [len(books[1])], "excess": [foreseen(x[:4000], books, threshold, target)]})
 
     # One group a vector length, of a bounded sample; the books of the commonest lengths fit any driver.
     learnt = sample.groupBy("dim").applyInPandas(learn, "dim int, first binary, second binary, k1 int, k2 int, excess double").collect()
-    models = {r["dim"]: ((np.frombuffer(r["first"]).reshape(r["k1"], -1), np.frombuffer(r["second"]).reshape(r["k2"], -1)), r["excess"]) for r in learnt}
-    shared = distinct.sparkSession.sparkContext.broadcast(models)
+    books = {r["dim"]: (np.frombuffer(r["first"]).reshape(r["k1"], -1), np.frombuffer(r["second"]).reshape(r["k2"], -1)) for r in learnt}
+    asked = distinct.select("dim", "x", "node", F.col("label").cast("long").alias("label")).orderBy(F.xxhash64("node", F.lit(9)), "node").limit(ASKED).collect()
+    needed = measured(distinct, books, asked, threshold)
+    excess = {}
+    for r in learnt:
+        steps = sorted((k, n) for (dim, k), n in needed.items() if dim == r["dim"])
+        links = sum(n for _, n in steps)
+        upto = np.cumsum([n for _, n in steps])
+        excess[r["dim"]] = (steps[int(np.searchsorted(upto, target * links))][0] + 1) * STEP if links >= ENOUGH else r["excess"]
+    shared = distinct.sparkSession.sparkContext.broadcast({d: (b, excess[d]) for d, b in books.items()})
 
     def model(dim: int) -> tuple[tuple[np.ndarray, np.ndarray], float]:
         # A length that the sample lacks has a single cell.
