@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, losses, scoring
 from ..operators import alignment, augmentation, batch_scoring, evaluation, sampling
-from ..sources import pixels, samples
+from ..sources import ingest, pixels, samples
 
 #: Characters of a label at most, where the operator has such a limit: the length filter and the encoders of fixed width.
 LONGEST = 100
@@ -417,6 +417,25 @@ def mirror_pixels(spark, sf_dir):
     return pixels.mirrored(pictures(spark, sf_dir)).select("vec_id", F.hex("pixels").alias("pixels"))
 
 
+# Vectors as bitmap files: of five the first ends early, of seven the first has no area, of eleven the first is none.
+@query("""SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE 'bmp' END AS format, CAST(CASE WHEN vec_id % 11 = 0 THEN NULL ELSE 8 END AS INTEGER) AS width,
+  CAST(CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 7 = 0 THEN 0 ELSE len(embedding) // 8 END AS INTEGER) AS height,
+  CASE WHEN vec_id % 11 = 0 THEN 'no image' WHEN vec_id % 7 = 0 THEN 'no area' WHEN vec_id % 5 = 0 THEN 'ends early' END AS reason FROM embeddings""")
+def image_headers(spark, sf_dir):
+    def little(n: Column) -> Column:
+        """Four bytes, the lowest first."""
+        digits = F.lpad(F.hex(n.cast("long")), 8, "0")
+        return F.concat(*(F.substring(digits, 7 - 2 * i, 2) for i in range(4)))
+
+    height = F.when(F.col("vec_id") % 7 == 0, F.lit(0)).otherwise(F.col("height"))
+    size = F.lit(54) + F.octet_length("pixels")
+    head = F.concat(F.when(F.col("vec_id") % 11 == 0, F.lit("4D42")).otherwise(F.lit("424D")), little(size), F.lit("00000000"), *(little(F.lit(n)) for n in (54, 40)), little(F.col("width")), little(height), F.repeat(F.lit("0"), 56))
+    whole = F.concat(head, F.hex("pixels"))
+    content = F.unhex(F.when(F.col("vec_id") % 5 == 0, F.substring(whole, F.lit(1), F.length(whole) - 2)).otherwise(whole))
+    found = ingest.with_header(pictures(spark, sf_dir).select("vec_id", content.alias("content")))
+    return found.select("vec_id", "header.*")
+
+
 # Every pixel as a sum over a whole image, against two passes along rows and columns.
 @query(f"""{PICTURE}, tap AS (
   SELECT size, "to", o, i, abs((i + 0.5 - (o + 0.5) * size / "to") / greatest(size / "to", 1)) AS d FROM (SELECT *, unnest(range(CAST(size AS BIGINT))) AS i FROM (SELECT *, unnest(range("to")) AS o FROM (SELECT CAST(8 AS DOUBLE) AS size, 12 AS "to" UNION SELECT DISTINCT CAST(height AS DOUBLE), 5 FROM picture)))

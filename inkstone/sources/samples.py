@@ -35,12 +35,15 @@ def ingest(lines: DataFrame, files: DataFrame, base: str, valid: DataFrame | Non
     two = lines.withColumn("__p", split)
     good = two.filter(F.size("__p") == 2).select("line", "value", F.col("__p")[0].alias("image_path"), F.col("__p")[1].alias("label"))
     rejects = two.filter(F.size("__p") != 2).select("line", "value", F.lit("not two fields").alias("reason"))
-    found, missing = with_images(good, files, base)
-    rejects = rejects.unionByName(missing.select("line", "value", F.lit("no file").alias("reason")))
+    # Lines are judged and numbered without the files' contents, which are joined last.
+    named, names = good.withColumn("path", joined_path(base, F.col("image_path"))), files.select("path")
+    rejects = rejects.unionByName(named.join(names, "path", "left_anti").select("line", "value", F.lit("no file").alias("reason")))
+    found = named.join(names, "path", "left_semi")
     if valid is not None:
         rejects = rejects.unionByName(found.join(valid.select("path"), "path", "left_anti").select("line", "value", F.lit("no image").alias("reason")))
         found = found.join(valid.select("path"), "path", "left_semi")
-    return dense_index(found.select("line", "image_path", "label", "image"), "line"), rejects
+    numbered = dense_index(found.select("line", "image_path", "label", "path"), "line")
+    return numbered.join(files.select("path", F.col("content").alias("image")), "path").select("idx", "line", "image_path", "label", "image"), rejects
 
 
 def lookup(samples: DataFrame, positions: DataFrame, keep: Column | None = None) -> DataFrame:
