@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codecs import flat_ids
 
 #: Keys of a random sample that each range's bounds are cut from.
 DRAWN = 32
@@ -52,6 +53,12 @@ def dense_index(df: DataFrame, key: str, name: str = "idx", by: tuple[str, ...]
     return running_total(df, key, F.lit(1), name, by, ranges).withColumn(name, F.col(name).cast("long"))
 
 
+def flat_vector(df: DataFrame, key: str, text: str, alphabet: str) -> DataFrame:
+    """``df`` with ``ids`` (from 1; 0 for an unknown character), ``length`` and ``offset``: where they begin in the one vector that all rows' ids make, in the order of ``key``. The vector is the rows' ids in that order and is held nowhere as a whole; a null text has no ids and no length."""
+    encoded = df.withColumns({"ids": flat_ids(F.col(text), alphabet), "length": F.coalesce(F.char_length(F.col(text)), F.lit(0)).cast("long")})
+    return running_total(encoded, key, F.col("length"), "__upto").withColumn("offset", F.col("__upto") - F.col("length")).drop("__upto")
+
+
 def batch_quota(size: int, ratio: float) -> int:
     """How many of a batch come from a source of this share: rounded half to even, at least one."""
     return max(round(size * ratio), 1)

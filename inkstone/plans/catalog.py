@@ -223,6 +223,13 @@ def flat_encode(spark, sf_dir):
     return labels(spark, sf_dir).select("doc_id", "no", F.array_join(codecs.flat_ids(F.col("label"), ALPHABET), " ").alias("ids"), F.char_length("label").alias("length"))
 
 
+# Where each label lies in the one vector of all ids, and what lies there.
+@query(f"SELECT doc_id, no, CAST(sum(length(label)) OVER (ORDER BY doc_id, no) - length(label) AS BIGINT) AS offset, CAST(length(label) AS BIGINT) AS length, array_to_string([strpos('{ALPHABET}', label[i]) FOR i IN range(1, length(label) + 1)], ' ') AS ids FROM label")
+def flat_vector(spark, sf_dir):
+    lines = labels(spark, sf_dir).select("doc_id", "no", "label", F.concat_ws("-", *(F.lpad(c.cast("string"), 19, "0") for c in (F.col("doc_id"), F.col("no")))).alias("at"))
+    return sampling.flat_vector(lines, "at", "label", ALPHABET).select("doc_id", "no", "offset", "length", F.array_join("ids", " ").alias("ids"))
+
+
 @query("SELECT vec_id, coalesce(list_aggregate([['[GO]', '[s]', 'a', 'b'][i + 1] FOR i IN ids], 'string_agg', ''), '') AS decoded FROM seq")
 def attn_decode(spark, sf_dir):
     return sequences(spark, sf_dir).select("vec_id", codecs.attention_decode(F.col("ids"), "ab").alias("decoded"))
@@ -303,6 +310,12 @@ def kv_records(spark, sf_dir):
     return samples.key_values(rows).select("key", F.decode("value", "UTF-8").alias("value"))
 
 
+@query("SELECT doc_id AS idx, text AS label, md5(text) AS image FROM documents")
+def kv_samples(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("label"), F.md5("text").cast("binary").alias("image"))
+    return samples.from_key_values(samples.key_values(rows)).withColumn("image", F.col("image").cast("string"))
+
+
 @query("SELECT item_id, CAST(item_id AS VARCHAR) || '.png' AS image_path, text AS label FROM benchmark WHERE NOT contains(text, chr(9)) UNION ALL SELECT item_id, CAST(item_id AS VARCHAR) || '.png', '' FROM benchmark")
 def ingest_tsv(spark, sf_dir):
     path = F.concat(F.col("item_id").cast("string"), F.lit(".png"))
@@ -473,6 +486,12 @@ def augment_schedule(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(named, ",").alias("ops"))
 
 
+@query("SELECT name, count(*) AS n FROM (SELECT unnest(string_split(source || '-' || lang, '-')) AS name FROM documents) GROUP BY name")
+def option_names(spark, sf_dir):
+    names = samples.option_list(F.concat_ws("-", "source", "lang"))
+    return table(spark, sf_dir, "documents").select(F.explode(names).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT event_id, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d_%H-%M-%S') AS stamp FROM events")
 def run_stamps(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", codecs.run_stamp(F.col("ts").cast("timestamp")).alias("stamp"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +81,25 @@ def export_labels(samples: DataFrame, path: str) -> None:
     samples.select(record_key("image", F.col("idx")).alias("name"), "label").write.mode("error").csv(path, sep="\t", quote="", escape="")
 
 
+def export_images(samples: DataFrame, path: str, ending: str = ".jpg") -> int:
+    """Write each sample's image as a file of its own below ``path``, under the name that ``export_labels`` gives it, by the tasks that hold it; a null image has no file. Gives the number of files. A task that is run again writes the same files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(root)
+        for batch in batches:
+            done = 0
+            for name, image in zip(batch["name"].to_pylist(), batch["image"].to_pylist(), strict=True):
+                if image is not None:
+                    with store.open_output_stream(f"{root}/{name}{ending}") as out:
+                        out.write(image)
+                    done += 1
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
+
+    named = samples.select(record_key("image", F.col("idx")).alias("name"), "image")
+    return named.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def joined_path(base: str, path: Column) -> Column:
     """``path`` under ``base``; an absolute one stays."""
     return F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", F.lit(base.rstrip("/")), path))
@@ -118,6 +140,19 @@ def key_values(samples: DataFrame) -> DataFrame:
     return both.unionByName(samples.agg(F.lit("num-samples").alias("key"), F.encode(F.count(F.lit(1)).cast("string"), "UTF-8").alias("value")))
 
 
+def from_key_values(records: DataFrame) -> DataFrame:
+    """Samples (idx, label, image) back from key-value records: a label and an image meet by the number in their keys; one without the other has null there. Other keys, the count among them, are no samples."""
+    parts = F.regexp_extract("key", r"^(image|label)-([0-9]{9,})$", 1), F.regexp_extract("key", r"^(image|label)-([0-9]{9,})$", 2)
+    kept = records.select(parts[0].alias("kind"), parts[1].alias("number"), "value").filter("kind <> ''")
+    by_number = kept.groupBy(F.col("number").try_cast("long").alias("idx"))
+    return by_number.agg(F.decode(F.max(F.when(F.col("kind") == "label", F.col("value"))), "UTF-8").alias("label"), F.max(F.when(F.col("kind") == "image", F.col("value"))).alias("image"))
+
+
+def option_list(text: Column) -> Column:
+    """The names of an option that joins them by hyphens."""
+    return F.split(text, "-")
+
+
 def select_sources(df: DataFrame, column: str, wanted: list[str]) -> DataFrame:
     """Rows whose source holds any of ``wanted``."""
     return df.filter(reduce(lambda a, b: a | b, (F.col(column).contains(w) for w in wanted)))
@@ -129,10 +164,19 @@ def vocabulary_file(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.concat("lines", F.array(F.lit(" ")))).alias("pos", "ch")).select("ch", (F.col("pos") + 1).alias("id"))
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """The per-character report as one CSV with a header, best first."""
-    rows = report.select(F.col("ch").alias("Alphabet"), F.col("accuracy").alias("Accuracy")).filter("Accuracy is not null")
-    rows.orderBy(F.desc("Accuracy"), "Alphabet").coalesce(1).write.mode("overwrite").csv(path, header=True)
+def ranked(report: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """The report's rows that have an accuracy, best first; equal ones in the order of ``vocab`` (ch, id), or by code point where there is none. Characters outside ``vocab`` come behind its own."""
+    rows = report.filter("accuracy is not null")
+    if vocab is None:
+        return rows.orderBy(F.desc("accuracy"), "ch")
+    ids = vocab.select(F.col("ch").alias("__c"), F.col("id").alias("__i"))
+    return rows.join(ids, F.col("ch") == F.col("__c"), "left").orderBy(F.desc("accuracy"), F.col("__i").asc_nulls_last(), "ch").drop("__c", "__i")
+
+
+def write_report(report: DataFrame, path: str, vocab: DataFrame | None = None) -> None:
+    """The per-character report as one CSV with a header, in the order of ``ranked``."""
+    rows = ranked(report, vocab).select(F.col("ch").alias("Alphabet"), F.col("accuracy").alias("Accuracy"))
+    rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
@@ -143,6 +187,12 @@ def write_rejects(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def write_log(spark: SparkSession, path: str, *entries: object, stamp: str | None = None) -> None:
+    """Append a line to a run's log, the entries by their text, joined by spaces; with ``stamp`` a line with it comes first, as at the start of a run."""
+    lines = [(stamp,)] if stamp else []
+    spark.createDataFrame([*lines, (" ".join(map(str, entries)),)], "value string").coalesce(1).write.mode("append").text(path)
+
+
 def checkpoint_step(name: Column) -> Column:
     """The number at the end of a checkpoint's name, null if there is none."""
     return F.element_at(F.split(F.element_at(F.split(name, "_"), -1), r"\."), 1).try_cast("int")
