@@ -475,6 +475,12 @@ def blur_pixels(spark, sf_dir):
     return blurred.select("vec_id", F.hex("pixels").alias("pixels"))
 
 
+@query()
+def augment_pixels(spark, sf_dir):
+    changed = augmentation.augmented(pictures(spark, sf_dir), "vec_id", epoch=3, seed=7)
+    return changed.select("vec_id", "height", "width", F.hex("pixels").alias("pixels"))
+
+
 @query("""WITH op(op, argument) AS (VALUES ('GaussianBlur', 2.0), ('MotionBlur', 10.0), ('GaussianNoise', 12.75), ('PoissonNoise', 20.0), ('SaltAndPepper', 0.05), ('Invert', 0.0), ('BorderCrop', 0.0), ('RandomResize', 0.0)
 ), turn AS (
   SELECT doc_id, op, argument, row_number() OVER (PARTITION BY doc_id ORDER BY substring(md5('7-3-' || doc_id || '-' || op), 1, 13), op) AS turn FROM documents CROSS JOIN op

@@ -23,10 +23,17 @@ def split_fields(lines: DataFrame) -> DataFrame:
     return lines.select("*", parts.alias("__p")).filter(F.size("__p") == 2).withColumns({"image_path": F.col("__p")[0], "label": F.col("__p")[1]}).drop("value", "__p")
 
 
+def list_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of a list or a folder of lists: lines are numbered from 1 in the order of the lists' names and of their places there, whatever splits the lists are read in."""
+    read = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
+    # Ids rise along a split, and splits are known by where they begin.
+    places = (F.lpad(F.col(c).cast("string"), 20, "0") for c in ("file_block_start", "id"))
+    return dense_index(read.select("value", F.concat_ws("\t", "file_path", *places).alias("__at")), "__at", "line").select("line", "value")
+
+
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """(line, image_path, label) of a list or a folder of lists: ``line`` rises in file order within a list, without being dense."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
-    return split_fields(lines)
+    """(line, image_path, label) of the good lines of a list or a folder of lists, numbered as by ``list_lines``."""
+    return split_fields(list_lines(spark, path))
 
 
 def ingest(lines: DataFrame, files: DataFrame, base: str, valid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -63,6 +63,23 @@ def test_every_cut_of_a_header_is_told(spark):
 LISTS = {"1.tsv": "a.png\tone\nbad line\nb.gif\ttwo\n", "2.tsv": "f.png\tcut\nd.jpg\t\naway.png\tx\na.png\tone again\n", "3.tsv": "l.txt\tx\ne.jpg\tfar\n"}
 
 
+def test_lists_keep_their_order(spark, tmp_path):
+    want = []
+    for name in ("b", "a", "c"):
+        lines = [f"{name}{i:05}.png\tlabel {i}" for i in range(4000 if name == "a" else 30)]
+        (tmp_path / f"{name}.tsv").write_text("\n".join(lines) + "\n")
+    for name in ("a", "b", "c"):
+        want += (tmp_path / f"{name}.tsv").read_text().split("\n")[:-1]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("20000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = samples.list_lines(spark, str(tmp_path)).orderBy("line").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert [(r["line"], r["value"]) for r in got] == list(enumerate(want, 1))
+
+
 def test_one_part(spark, tree):
     lines = spark.createDataFrame(list(enumerate("".join(LISTS.values()).split("\n")[:-1])), "line long, value string").repartition(4)
     out = ingest.write_parts(lines, f"{tree}/img", f"{tree}/out", 0, 0)

@@ -146,3 +146,14 @@ def test_augmentation_does_not_depend_on_partitions(spark):
     assert all(len(v[2]) == v[0] * v[1] * (1 + 2 * (i % 2)) for i, v in one.items() if i != 5)
     with pytest.raises(ValueError, match="Nothing"):
         augmentation.augmented(df, "idx", 1, names=("Nothing",))
+
+
+def test_augmented_query_reads_every_vector(spark):
+    from inkstone.plans import catalog
+
+    from .conftest import SMALL
+
+    got = catalog.QUERIES["augment_pixels"](spark, SMALL).collect()
+    again = catalog.QUERIES["augment_pixels"](spark, SMALL).collect()
+    assert len(got) == catalog.table(spark, SMALL, "embeddings").count() and sorted(map(tuple, got)) == sorted(map(tuple, again))
+    assert all(len(r["pixels"]) == 2 * r["height"] * r["width"] for r in got) and len({(r["height"], r["width"]) for r in got}) > 3
