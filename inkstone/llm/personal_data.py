@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -319,7 +320,7 @@ def invented(rng: random.Random) -> tuple[str, str | None]:
 def examples_of(doc_id: int, text: str) -> Iterator[tuple[str, list[Span]]]:
     """(excerpt, its spans): up to three pieces of personal data, or things like it, side by side between two words of a text; and what looks like it in the text itself without being found by the base patterns, as none."""
     rng = random.Random(f"{SEED} {doc_id} {len(text)}")
-    for lo, hi in list(regions(text, base(text)))[:EXCERPTS]:
+    for lo, hi in islice(regions(text, base(text)), EXCERPTS):
         yield text[max(0, lo - 2) : hi + 2], []
     for _ in range(EXCERPTS):
         at = rng.randint(0, len(text))
@@ -349,9 +350,10 @@ def taught(part: str, spans: list[Span]) -> Iterator[tuple[Lattice, list[tuple[i
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """Weights of a model trained on made-up personal data in excerpts of at most ``sample`` texts, those of the lowest hash of doc_id, in one task; texts without a doc_id are left out, rows that repeat are all examples. Without texts there are no weights, and nothing is added."""
+    """Weights of a model trained on made-up personal data in excerpts of at most ``sample`` texts, those of the lowest hash of doc_id, in one task; texts without a doc_id are left out, and of rows that share one the smallest text is taken. Without texts there are no weights, and nothing is added."""
     chosen = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample)
-    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One text for each of them, however many rows repeat an id.
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
 
     def excerpt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

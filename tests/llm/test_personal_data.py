@@ -101,6 +101,12 @@ def weights(spark):
     return pd.fit(spark.read.parquet(f"{SMALL}/../sf0.01/documents.parquet"))
 
 
+def test_rows_that_share_an_id_are_one_example(spark):
+    rows = [(i, f"some plain text of document {i} " * 20) for i in range(30)]
+    one = pd.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert one and one == pd.fit(spark.createDataFrame(rows + [rows[3]] * 500 + [(4, None), (None, "x")], "doc_id long, text string").repartition(5))
+
+
 def test_held_out_notations(weights):
     rng, model, right, n = random.Random(77), pd.Model(weights), 0, 0
     for _ in range(1500):
