@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.codecs import flat_ids
 
-#: Keys of a random sample that each range's bounds are cut from.
-DRAWN = 32
+#: Keys of a random sample that each range's bounds are cut from; bounds at most that stand in an expression.
+DRAWN, SPELT = 32, 256
 
 
 def range_of(df: DataFrame, key: str, ranges: int) -> Column:
     """The number (from 0) of the range of ``key`` that a row lies in, ranges holding about as many rows each.
 
-    The bounds are cut once, from a random sample of ``DRAWN`` keys a range, and stand in the expression as literals: wherever it is used, whatever columns are read beside it, a row is in the same range. A bound is found by halving. Null keys are in the first range; equal keys are in one.
+    The bounds are cut once, from a random sample of ``DRAWN`` keys a range, and are fixed values of the expression: wherever it is used, whatever columns are read beside it, a row is in the same range. A bound is found by halving: up to ``SPELT`` of them are comparisons of the plan; more, of numbers and strings, are looked up in Arrow batches of the key alone, and keys of other types have no more. Null keys are in the first range; equal keys are in one.
     """
+    kind = df.schema[key].dataType
+    many = isinstance(kind, (T.NumericType, T.StringType))
+    ranges = ranges if many else min(ranges, SPELT + 1)
     drawn = df.select(F.col(key).alias("k")).filter("k is not null").orderBy(F.rand(5)).limit(DRAWN * ranges)
     keys = drawn.agg(F.array_sort(F.collect_list("k")).alias("k")).first()["k"]
     bounds = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if keys else []
-    kind = df.schema[key].dataType
+    # Numbers that are none sort last and bound nothing.
+    bounds = [b for i, b in enumerate(bounds) if b == b and (not i or b != bounds[i - 1])]
 
     def within(lo: int, hi: int) -> Column:
         # Between lo and hi bounds are at or below the key.
@@ -28,7 +36,12 @@ def range_of(df: DataFrame, key: str, ranges: int) -> Column:
         half = (lo + hi) // 2
         return F.when(F.col(key) < F.lit(bounds[half]).cast(kind), within(lo, half)).otherwise(within(half + 1, hi))
 
-    return F.when(F.col(key).isNull(), 0).otherwise(within(0, len(bounds)))
+    @F.arrow_udf("int")
+    def looked_up(keys: pa.Array) -> pa.Array:
+        return pa.array([0 if k is None else bisect_right(bounds, k) for k in keys.to_pylist()], pa.int32())
+
+    place = within(0, len(bounds)) if len(bounds) <= SPELT else looked_up(F.col(key))
+    return F.when(F.col(key).isNull(), 0).otherwise(place)
 
 
 def running_total(df: DataFrame, key: str, value: Column, name: str, by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:

@@ -44,6 +44,19 @@ def test_ranges_hold_like_numbers(wide):
     assert len(sizes) == 16 and max(sizes) < 2 * N / 16
 
 
+def test_many_ranges_are_looked_up(wide):
+    odd = wide.withColumn("x", F.when(F.col("id") % 5 == 0, F.lit(float("nan"))).when(F.col("id") % 7 == 0, None).otherwise(F.sin(F.col("id"))))
+    for key in ("id", "image", "x", "tied"):
+        dense(sampling.dense_index(odd, key, ranges=1000), "idx")
+    got = sampling.dense_index(wide, "id", ranges=1000)
+    assert got.filter(F.col("idx") != F.col("id") + 1).count() == 0 and "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+    ordered = sampling.dense_index(odd.select("x"), "x", ranges=1000).withColumn("kind", F.when(F.col("x").isNull(), 0).when(F.isnan("x"), 2).otherwise(1))
+    spans = ordered.groupBy("kind").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi")).orderBy("kind").collect()
+    assert spans[0]["hi"] + 1 == spans[1]["lo"] and spans[1]["hi"] + 1 == spans[2]["lo"]
+    # Few keys have few bounds, whatever the ranges.
+    assert "Arrow" not in sampling.dense_index(wide.filter("id < 20"), "id", ranges=1000)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_batches(wide):
     sizes = sampling.mini_batches(wide, "id", 32).groupBy("batch_id").count().groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect()
     assert [tuple(r) for r in sizes] == [(32, N // 32)]
