@@ -28,15 +28,16 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> Data
     named = dense_index(sources.filter("source is not null"), "source", "place")
     nameless = sources.filter("source is null").withColumn("place", F.lit(sources.filter("source is not null").count() + 1).cast("long"))
     weighed = checkpoint(named.unionByName(nameless).withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))))
-    size, weight, bounded = F.col("source_size"), F.col("weight"), 0
+    size, weight = F.col("source_size"), F.col("weight")
     total, heavy = weighed.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(weight), F.lit(0.0))).first()
     left = float(total)
     while heavy:
         full = F.lit(left) * weight / F.lit(heavy) > F.lit(most) * size
         held, lighter = weighed.agg(F.coalesce(F.sum(F.when(full, size)), F.lit(0)), F.coalesce(F.sum(F.when(~full, weight)), F.lit(0.0))).first()
-        if held == bounded or not lighter:
+        # A source without words is at its bound too, and leaves its weight to the others.
+        if lighter in (heavy, 0):
             break
-        bounded, heavy, left = held, lighter, total - most * held
+        heavy, left = lighter, total - most * held
     share = F.lit(left) * weight / F.lit(heavy or 1.0)
     return weighed.select("source", "source_size", F.least(share, F.lit(most) * size).alias("target"))
 

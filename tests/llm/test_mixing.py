@@ -40,6 +40,12 @@ def test_targets(spark, seed):
     assert got == {s: pytest.approx(t) for s, t in water(sizes, by_place(sizes), 3.0).items()} and sum(got.values()) == pytest.approx(sum(sizes.values()))
 
 
+def test_sources_without_words_leave_their_weight(spark):
+    sizes = {None: 0, "a": 30_003, "b": 0, "c": 30_182}
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), mixing.WEIGHTS, 3.0).collect()}
+    assert got == {s: pytest.approx(t) for s, t in water(sizes, by_place(sizes), 3.0).items()} and sum(got.values()) == pytest.approx(60_185)
+
+
 def mixed(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.mix(df).collect()
