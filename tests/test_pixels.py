@@ -4,11 +4,13 @@ import itertools
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkstone.operators import augmentation
+from inkstone.plans import catalog
 from inkstone.sources import pixels
 
 SCHEMA = "idx long, height int, width int, channels int, pixels binary"
@@ -82,6 +84,25 @@ def test_resizing(spark):
     assert [a.shape for a in arrays(pixels.kept_ratio(rows(spark, x, y, picture(2, 90)), 5, 30))] == [(5, 10, 1), (5, 3, 3), (5, 30, 1)]
 
 
+#: Pixels of which one comes to a half at 5 by 12, where the order of the sum decides.
+HALVES = (
+    "312b232624352f292f32262f3930274739373735412e343f453b3f3c4b48514e4e4a4c4a4448553e545a514e515b58516259415569556065666a5e5264685b67",
+    "63769a90a499b2bcc3c6d9cbe4eceefc000d0e301f37474d4b5e62677c788f90879ca6afbebfcbdddee3f5fa0c2127182235383d5151516e6e7a8a88939aa1b8",
+    "f5f9fff7010200fe01f5fe04fb0b00fbfefe0dfbf0030819040bfbf8fef7050304f30efa0001fefd12fb05040109f606080502fd1209010a030408f5f903fbfa",
+    "b8c9b7d5ccd7d0d9d4d9d9cdd9e9f0eae8fdecf6f804fc04fbfb061b04181219191d22262e323a344039383f3e4046504f4f505362676a576e70726178656f6b",
+)
+
+
+def test_halves_are_rounded_as_the_sql_rounds_them(spark, tmp_path):
+    # On a handful of rows DuckDB joins, and sums, in another order than on tables.
+    vectors = [(i, [b / 64 for b in bytes.fromhex(x)]) for i, x in enumerate(10 * HALVES)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = catalog.QUERIES["bicubic_resize"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(catalog.ORACLE["bicubic_resize"]).fetchall())
+
+
 def test_model_input(spark):
     x, y = picture(4, 4), picture(4, 30, 3, 2)
     got = [r["input"] for r in pixels.model_input(rows(spark, x, None, y), 4, 12).orderBy("idx").collect()]
