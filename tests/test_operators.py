@@ -74,6 +74,21 @@ def test_distances_of_columns(spark):
     assert [r[0] for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(scoring.edit_distance(F.col("a"), F.col("b"))).collect()] == [None, None, 0, 3, 1, 1001]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc\U0001f600", max_size=12), st.data())
+def test_plain_distance(a, data):
+    b = "".join(data.draw(st.sampled_from((c, c, c, "", "a", c + "b"))) for c in a)
+    assert scoring.plain_distance(a, b) in (None, distance(a, b))
+    assert scoring.distance(a, b) == scoring.bit_distance(a, b) == distance(a, b)
+
+
+def test_distance_of_long_lines_takes_linear_time(monkeypatch):
+    monkeypatch.setattr(scoring, "bit_distance", None)
+    text = "the even number seven is not the end, " * 20_000
+    assert scoring.distance(text, text.replace("e", "a")) == text.count("e")
+    assert scoring.distance(text.replace("n", ""), text) == scoring.distance(text, text.replace("n", "")) == text.count("n")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab_ ", max_size=8), st.text("ab_ ", max_size=8))
 def test_alignment(a, b):
