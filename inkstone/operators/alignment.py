@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codecs import chars
 from ..functions.scoring import distance
 
 PAIRS = "array<struct<g: string, p: string>>"
@@ -126,36 +125,57 @@ def align_many(gts: list[np.ndarray], preds: list[np.ndarray], width: int) -> li
     return out
 
 
+#: Pairs of characters of a batch that are held before they are counted.
+HELD = 1 << 20
+
+
+def count_codes(g: np.ndarray, p: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """(code, n): how often each pair of characters comes, as one number, with room for -1."""
+    g, p = g.astype(np.int64) + 1, p.astype(np.int64) + 1
+    low = (g < 256) & (p < 256)
+    sums = np.bincount(g[low] << 8 | p[low], weights=times[low], minlength=1 << 16).astype(np.int64)
+    at = np.flatnonzero(sums)
+    code, back = np.unique(g[~low] << 22 | p[~low], return_inverse=True)
+    n = np.bincount(back, weights=times[~low], minlength=len(code)).astype(np.int64)
+    return np.concatenate((np.stack((at >> 8 << 22 | at & 255, sums[at])), np.stack((code, n))), axis=1)
+
+
 def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each pair of characters comes in the alignments of (gt, pred, n: how often they come), by batch."""
     for batch in batches:
         found: list[np.ndarray] = []
-        times = batch["n"].to_numpy()
-
-        def take(of: np.ndarray, g: np.ndarray, p: np.ndarray, found=found, times=times) -> None:
-            # One number a pair, with room for -1.
-            code, at = np.unique((g.astype(np.int64) + 1) << 22 | (p + 1), return_inverse=True)
-            found.append(np.stack((code, np.bincount(at, weights=times[of]).astype(np.int64))))
-
-        todo = []
-        for k, (gt, pred) in enumerate(zip(batch["gt"].to_pylist(), batch["pred"].to_pylist(), strict=True)):
+        held: list[tuple[np.ndarray, np.ndarray, int]] = []
+        size, todo, times = 0, [], batch["n"].to_numpy()
+        gts, preds = batch["gt"].to_pylist(), batch["pred"].to_pylist()
+        gaps = np.full(max(map(len, gts + preds), default=0), NONE, np.int32)
+        for k, (gt, pred, n) in enumerate(zip(gts, preds, times.tolist(), strict=True)):
             g, p = (np.frombuffer(x.encode("utf-32-le"), "<i4") for x in (gt, pred))
+            size += len(g) + len(p)
             # Equal ends pair off first, as the trace begins there.
             short = min(len(g), len(p))
-            differ = np.flatnonzero(g[len(g) - short :][::-1] != p[len(p) - short :][::-1])
-            same = int(differ[0]) if len(differ) else short
+            differ = np.flatnonzero(g[len(g) - short :] != p[len(p) - short :])
+            same = short - 1 - int(differ[-1]) if len(differ) else short
             if same:
-                take(np.full(same, k), g[len(g) - same :], p[len(p) - same :])
+                held.append((g[len(g) - same :], p[len(p) - same :], n))
             g, p = g[: len(g) - same], p[: len(p) - same]
-            width = 1 << max(2, distance(gt, pred).bit_length())
-            if not len(g) or not len(p):
-                gap = np.full(len(g) + len(p), NONE)
-                take(np.full(len(gap), k), *((g, gap) if len(g) else (gap, p)))
-            elif len(g) * (2 * width + 1) > CELLS:
-                pairs = align("".join(map(chr, g)), "".join(map(chr, p)))
-                take(np.full(len(pairs), k), *(np.array([NONE if c is None else ord(c) for c in x]) for x in zip(*pairs, strict=True)))
+            cost = distance(gt[: len(g)], pred[: len(p)])
+            if cost == len(g) - len(p):
+                # All of the shorter pairs off, the rest are gaps; likewise below.
+                held += [(g, gaps[: len(g)], n), (p, gaps[: len(p)], -n), (p, p, n)]
+            elif cost == len(p) - len(g):
+                held += [(gaps[: len(p)], p, n), (gaps[: len(g)], g, -n), (g, g, n)]
+            elif len(g) == len(p) and cost == np.count_nonzero(g != p):
+                # No path is cheaper than the diagonal, and a substitution comes first.
+                held.append((g, p, n))
+            elif len(g) * (2 * (width := 1 << max(2, cost.bit_length())) + 1) > CELLS:
+                pairs = align(gt[: len(g)], pred[: len(p)])
+                held.append((*(np.array([NONE if c is None else ord(c) for c in x], np.int32) for x in zip(*pairs, strict=True)), n))
             else:
                 todo.append((width, len(g), k, g, p))
+            if held and (size > HELD or k == len(gts) - 1):
+                left, right, n = zip(*held, strict=True)
+                found.append(count_codes(np.concatenate(left), np.concatenate(right), np.repeat(n, [len(x) for x in left])))
+                held, size = [], 0
         todo.sort(key=lambda x: x[:3])
         while todo:
             width, upto = todo[0][0], 0
@@ -164,12 +184,13 @@ def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group, todo = todo[: max(1, upto)], todo[max(1, upto) :]
             names = np.array([x[2] for x in group])
             traced = np.concatenate(align_many([x[3] for x in group], [x[4] for x in group], width), axis=1)
-            take(names[traced[0]], traced[1], traced[2])
+            found.append(count_codes(traced[1], traced[2], times[names[traced[0]]]))
         if found:
             code, n = np.concatenate(found, axis=1)
             code, at = np.unique(code, return_inverse=True)
             sums = np.zeros(len(code), np.int64)
             np.add.at(sums, at, n)
+            code, sums = code[sums != 0], sums[sums != 0]
             letters = [pa.array([chr(c) if c >= 0 else None for c in side.tolist()], pa.string()) for side in ((code >> 22) - 1, (code & ((1 << 22) - 1)) - 1)]
             yield pa.RecordBatch.from_arrays([*letters, pa.array(sums)], ["g", "p", "n"])
 
@@ -180,13 +201,10 @@ def char_report(pairs: DataFrame, gt: Column, pred: Column, vocab: DataFrame | N
     With ``vocab`` (ch) characters that never occur are there with zeros and a null accuracy.
     """
     texts = pairs.select(F.replace(gt, F.lit(" "), F.lit("")).alias("gt"), F.replace(pred, F.lit(" "), F.lit("")).alias("pred"))
-    # Each pair of texts is aligned once, however often it comes, equal ones not at all; by number, as small partitions of costly rows must not be merged.
+    # Each pair of texts is aligned once, however often it comes; by number, as small partitions of costly rows must not be merged.
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = texts.filter("gt is not null and pred is not null").repartition(n, "gt", "pred").groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("n"))
-    same = distinct.filter(F.col("gt") == F.col("pred")).select("n", F.explode(chars(F.col("gt"))).alias("g")).select(F.col("g"), F.col("g").alias("p"), "n")
-    other = distinct.filter(F.col("gt") != F.col("pred"))
-    aligned_ = other.mapInArrow(count_pairs, "g string, p string, n long")
-    both = aligned_.unionByName(same.groupBy("g", "p").agg(F.sum("n").alias("n")))
+    both = distinct.mapInArrow(count_pairs, "g string, p string, n long")
     counted = both.groupBy(F.col("g").alias("ch")).agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("g") == F.col("p"), F.col("n"))), F.lit(0)).alias("correct"))
     if vocab is not None:
         counted = counted.join(vocab.select("ch"), "ch", "right").select("ch", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("correct", F.lit(0)).alias("correct"))

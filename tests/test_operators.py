@@ -177,6 +177,37 @@ def test_char_report_is_that_of_single_alignments(spark, monkeypatch):
     assert [r["ch"] for r in kept.collect()] == ["a"] and alignment.checked(kept, "ab", drop_zero=True).collect() == []
 
 
+def test_counts_of_long_lines_need_no_table(monkeypatch):
+    import pyarrow as pa
+
+    for name in ("align", "align_many"):
+        monkeypatch.setattr(alignment, name, None)
+    monkeypatch.setattr(scoring, "bit_distance", None)
+    monkeypatch.setattr(alignment, "HELD", 1000)
+    text = "theevennumbersevenisnotthe\U0001f600end," * 20_000
+    batch = pa.RecordBatch.from_pydict({"gt": [text] * 4, "pred": [text, text.replace("e", "a"), text[1:], text.replace("n", "")], "n": [1, 2, 3, 4]})
+    got = {(r["g"], r["p"]): r["n"] for out in alignment.count_pairs(iter([batch])) for r in out.to_pylist()}
+    want = {(c, c): 10 * text.count(c) for c in set(text) - set("ten")}
+    want |= {("t", "t"): 10 * text.count("t") - 3, ("t", None): 3, ("e", "e"): 8 * text.count("e"), ("e", "a"): 2 * text.count("e"), ("n", "n"): 6 * text.count("n"), ("n", None): 4 * text.count("n")}
+    assert got == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("abc\U0001f600", max_size=14), st.data(), st.integers(1, 3)), max_size=5))
+def test_counts_are_those_of_single_alignments(drawn):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rows = [(a, "".join(data.draw(st.sampled_from((c, c, c, "", "a", c + "b"))) for c in a), n) for a, data, n in drawn]
+    want = Counter()
+    for a, b, n in rows:
+        for x in alignment.align(a, b):
+            want[x] += n
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([],) * 3, (pa.string(), pa.string(), pa.int64()), strict=True)], ["gt", "pred", "n"])
+    assert {(r["g"], r["p"]): r["n"] for out in alignment.count_pairs(iter([batch])) for r in out.to_pylist()} == want
+
+
 def test_char_report(spark):
     pairs = spark.createDataFrame([("a b", "ab"), ("abb", "ac"), ("a", None)], "g string, p string")
     vocab = spark.createDataFrame([("a",), ("b",), ("z",)], "ch string")
